@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm._shared import table
+from ferrule.llm.decontam import template_matches
+from ferrule.llm.langid import detect_language, language_dictionaries
 from ferrule.llm.ngram_join import ngram_jaccard_join
+from ferrule.llm.suffix_dedup import suffix_dedup
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = detect_language(docs.select("doc_id", "lang", "text"), language_dictionaries(docs))
+    return found.drop("text")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op7_ngram_jaccard_join, op8_language_id, op9_benchmark_decontamination, op10_suffix_dedup)
+}
 
 SQL: dict[str, str] = {}
