@@ -17,12 +17,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = 4096  # bytes encoded at a time, so that a long text keeps meeting the dictionary and not only itself
-LEVEL = 3
+MATCH = 4  # least bytes of a match: short enough for what the words of one language share
+SEARCH = 5  # log2 of the match candidates looked at
 
 
-def language_dictionaries(docs: DataFrame, most_bytes: int = 96 << 10, most_docs: int = 64, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
+def language_dictionaries(docs: DataFrame, most_bytes: int = 32 << 10, most_docs: int = 64, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Raw dictionary content of each labelled language: texts of at most ``most_docs`` documents, chosen by a hash of their
     id, up to ``most_bytes`` bytes; a bounded training sample, whatever the size of the corpus."""
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -42,10 +44,13 @@ def language_dictionaries(docs: DataFrame, most_bytes: int = 96 << 10, most_docs
 
 def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     own = []
+    how = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=15, chain_log=15, search_log=SEARCH, min_match=MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
     for name, content in sorted(dictionaries.items()):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        own.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        d.precompute_compress(compression_params=how)
+        own.append((name, zstandard.ZstdCompressor(dict_data=d, compression_params=how)))
     return own
 
 
@@ -59,11 +64,11 @@ def judge(text: str | None, own: list[tuple[str, zstandard.ZstdCompressor]], lea
     return best[1], round(margin, 6), margin >= least_margin
 
 
-def detect_language(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.02, *, text: str = "text", out: tuple[str, str, str] = ("lang_found", "lang_margin", "lang_accepted")) -> DataFrame:
+def detect_language(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.01, *, text: str = "text", out: tuple[str, str, str] = ("lang_found", "lang_margin", "lang_accepted")) -> DataFrame:
     """``docs`` with the language found, its margin over the runner-up as a share of that one's size, and whether it is
     accepted; existing columns of those names are replaced."""
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in out))
-    schema = f"{kept._jdf.schema().toDDL()}, {out[0]} string, {out[1]} double, {out[2]} boolean" if kept.columns else ""
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, t) for c, t in zip(out, (T.StringType(), T.DoubleType(), T.BooleanType())))])
     found = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,3 +79,9 @@ def detect_language(docs: DataFrame, dictionaries: dict[str, bytes], least_margi
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(margin, pa.float64()), pa.array(ok, pa.bool_())], [*batch.schema.names, *out])
 
     return kept.mapInArrow(run, schema)
+
+
+def without_unsure(docs: DataFrame, dictionaries: dict[str, bytes], **how) -> DataFrame:
+    """``docs`` without the rows whose language is rejected; their columns as they were."""
+    out = ("__lang_found", "__lang_margin", "__lang_accepted")
+    return detect_language(docs, dictionaries, out=out, **how).where(out[2]).drop(*out)
