@@ -13,6 +13,7 @@ from ferrule.llm.chat import chat_format
 from ferrule.llm.decontam import template_matches
 from ferrule.llm.langid import detect_language, language_dictionaries
 from ferrule.llm.ngram_join import ngram_jaccard_join
+from ferrule.llm.pii import surrogates
 from ferrule.llm.quality import quality_classifier
 from ferrule.llm.sharding import SLOTS, lookup_table, place
 from ferrule.llm.suffix_dedup import suffix_dedup
@@ -30,6 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier,
         op2_bpe,
+        op3_pii_surrogates,
         op4_exact_top_k,
         op5_chat_formatting,
         op6_sharding,
