@@ -269,6 +269,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, *, text: str = "text", count:
         rows = ided.join(lists, "__row", "left").drop("__row")
 
     fields = [f if f.name != text else T.StructField(f.name, T.StringType()) for f in kept.schema.fields]
+    names = [f.name for f in fields]
     schema = T.StructType(fields + ([T.StructField(count, T.IntegerType())] if count else []))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +280,9 @@ def surrogates(docs: DataFrame, key: bytes = KEY, *, text: str = "text", count:
                 for t, n in zip(b.column(text).cast(pa.string()).to_pylist(), own)
             ]
             new = pa.array([t for t, _ in got], pa.string())
-            columns = [new if f.name == text else b.column(f.name) for f in kept.schema.fields]
+            columns = [new if c == text else b.column(c) for c in names]
             if count:
                 columns.append(pa.array([n for _, n in got], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays(columns, names + ([count] if count else []))
 
     return rows.mapInArrow(apply, schema)
