@@ -13,13 +13,14 @@ another as the most similar of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm._bloom import bloom, bloom_size, in_bloom
 from ferrule.llm._shared import U, buffers, chunks, grams, mix, stored, words
 
 BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size of the corpus
@@ -270,40 +271,18 @@ def classes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("members")).select("rep", "members", "size")
 
 
-def _bloom(ids: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A Bloom filter of two hashes over a column, put together by the executors."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words64 = np.unique(bloom_bits(batch.column(0).to_numpy(zero_copy_only=False).view(U), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((words64 >> 6).astype(np.int32)), pa.array((np.ones(1, U) << (words64 & 63).astype(U)).view(np.int64))], ["at", "bit"])
-
-    out = np.zeros(bits // 64, np.int64)
-    got = ids.select(column).distinct().mapInArrow(mark, "at int, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(U)
-
-
-def bloom_bits(x: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(x + U(0x1234567))
-    return np.concatenate([h & U(bits - 1), (h >> U(32)) & U(bits - 1)]).astype(np.int64)
-
-
-def in_bloom(bloom: np.ndarray, x: np.ndarray) -> np.ndarray:
-    bits = len(bloom) * 64
-    at = bloom_bits(x, bits)
-    hit = (bloom[at >> 6] >> (at & 63).astype(U)) & U(1)
-    return (hit[: len(x)] & hit[len(x) :]).astype(bool)
-
+def verified(base: DataFrame, candidates: DataFrame, n: int, least: float) -> DataFrame:
+    """Jaccard of each candidate pair from the whole gram sets, those of at least ``least``.
 
-def bloom_size(n: int) -> int:
-    """Bits of a filter for n keys: 16 a key, between 8 KB and 16 MB. Beyond that it lets more rows through; whatever it
-    lets through is joined exactly."""
-    return 1 << int(min(27, max(16, np.ceil(np.log2(16 * n + 1)))))
+    First by bitmaps of some two bits a gram, each the parity of the grams of its bucket: two sets differ by no less than
+    their bitmaps do, which bounds their similarity from above. Only the sets of pairs that pass are sent whole."""
+    likely = stored(_compared(base, candidates, n, bitmaps, bound).where(F.col("jaccard") >= least).select("doc_a", "doc_b"), "likely")
+    whole = lambda g, at: [g[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+    return _compared(base, likely, n, whole, lambda own, a, b: jaccard([np.frombuffer(x, U) for x in own], a, b)).where((F.col("jaccard") >= least) & (F.col("jaccard") < 1))
 
 
-def verified(base: DataFrame, candidates: DataFrame, n: int, least: float) -> DataFrame:
-    """Jaccard of each candidate pair from the whole gram sets, those of at least ``least``.
+def _compared(base: DataFrame, candidates: DataFrame, n: int, packed: Callable, similarity: Callable) -> DataFrame:
+    """doc_a, doc_b, jaccard of each pair by ``similarity`` of what ``packed`` makes of their gram sets.
 
     Pairs meet at the smallest neighbour of their first document, so the members of a tight group send their sets to one
     place once and not once a pair; a place with many pairs is split."""
@@ -312,42 +291,67 @@ def verified(base: DataFrame, candidates: DataFrame, n: int, least: float) -> Da
     placed = candidates.join(root, candidates.doc_a == root.id).select("doc_a", "doc_b", "root")
     load = placed.groupBy("root").agg(F.ceil(F.count("*") / 200_000).cast("int").alias("parts"))
     placed = stored(placed.join(load, "root").withColumn("part", F.pmod(F.xxhash64("doc_a"), "parts").cast("int")).select("root", "part", "doc_a", "doc_b"), "placed")
-    wanted = placed.select("root", "part", F.col("doc_a").alias("doc_id")).unionByName(placed.select("root", "part", F.col("doc_b").alias("doc_id"))).distinct()
-    n_ids = root.count()
-    if not n_ids:
-        return base.sparkSession.createDataFrame([], "doc_a long, doc_b long, jaccard double")
-    filt = base.sparkSession.sparkContext.broadcast(_bloom(wanted, "doc_id", bloom_size(n_ids)))
+    wanted = stored(placed.select("root", "part", F.col("doc_a").alias("doc_id")).unionByName(placed.select("root", "part", F.col("doc_b").alias("doc_id"))).distinct(), "wanted")
+    ids = wanted.select("doc_id").distinct()
+    filt = base.sparkSession.sparkContext.broadcast(bloom(ids, "doc_id", bloom_size(ids.count())))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = in_bloom(filt.value, batch.column("doc_id").to_numpy(zero_copy_only=False).view(U))
+            hit = in_bloom(filt.value, batch.column("doc_id").to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array(hit))
             for i, g, at in sets(batch.column("text"), n):
                 ids = batch.column("doc_id").slice(i, len(at) - 1)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([g[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(packed(g, at), pa.binary())], ["doc_id", "grams"])
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         out = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
         versions: dict[int, list[int]] = {}
         for i, x in enumerate(left.column("doc_id").to_pylist()):
             versions.setdefault(x, []).append(i)
-        own = [np.frombuffer(x, U) for x in left.column("grams").to_pylist()]
+        own = left.column("grams").to_pylist()
         ids = list(zip(right.column("doc_a").to_pylist(), right.column("doc_b").to_pylist()))
         many = [(i, x, y) for i, (a, b) in enumerate(ids) for x in versions.get(a, ()) for y in versions.get(b, ())]
         if not many:
             return out.empty_table()
         pair, a, b = np.array(many).T
         j = np.zeros(len(ids))
-        np.maximum.at(j, pair, jaccard(own, a, b))
-        keep = pa.array((j >= least) & (j < 1))
-        return pa.table({"doc_a": right.column("doc_a"), "doc_b": right.column("doc_b"), "jaccard": pa.array(j)}, out).filter(keep)
+        np.maximum.at(j, pair, similarity(own, a, b))
+        return pa.table({"doc_a": right.column("doc_a"), "doc_b": right.column("doc_b"), "jaccard": pa.array(j)}, out)
 
     sent = wanted.join(base.mapInArrow(emit, "doc_id long, grams binary"), "doc_id").select(F.col("root").alias("place"), F.col("part").alias("piece"), "doc_id", "grams")
     return sent.groupBy("place", "piece").cogroup(placed.groupBy("root", "part")).applyInArrow(check, "doc_a long, doc_b long, jaccard double")
 
 
+def bitmaps(g: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set its size (4 bytes) and a bitmap of 2 to 4 bits a gram, 64 at least: the parity of each bucket."""
+    size = np.diff(at)
+    bits = (1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)).astype(np.int64)
+    end = np.cumsum(bits)
+    doc = np.repeat(np.arange(len(size)), size)
+    where = (g & (bits[doc] - 1).astype(U)).astype(np.int64) + (end - bits)[doc]
+    flat = np.packbits((np.bincount(where, minlength=int(end[-1]) if len(end) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [int(s).to_bytes(4, "little") + flat[(e - b) // 8 : e // 8] for s, e, b in zip(size, end, bits)]
+
+
+def bound(own: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No less than the Jaccard similarity of sets a[i] and b[i], from their bitmaps; the larger one is folded."""
+    size = np.array([int.from_bytes(x[:4], "little") for x in own])
+    bits = np.array([8 * (len(x) - 4) for x in own])
+    least = np.minimum(bits[a], bits[b])
+    apart = np.zeros(len(a), np.int64)
+    for width in np.unique(least):
+        pairs = np.flatnonzero(least == width)
+        used, back = np.unique(np.concatenate((a[pairs], b[pairs])), return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(own[x], U, offset=4).reshape(-1, width // 64), axis=0) for x in used])
+        step = max(1, (16 << 20) // int(width))
+        for i in range(0, len(pairs), step):
+            x, y = back[: len(pairs)][i : i + step], back[len(pairs) :][i : i + step]
+            apart[pairs[i : i + step]] = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64)
+    total = size[a] + size[b]
+    common = np.minimum((total - apart) // 2, np.minimum(size[a], size[b]))
+    return common / np.maximum(total - common, 1)
+
+
 def jaccard(own: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard of sets a[i] and b[i]: by bitmaps over the grams of all when pairs are many, else by binary search."""
     size = np.array([len(x) for x in own])
