@@ -69,6 +69,12 @@ def script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
+def _family(word: str) -> str:
+    """The kind of a surname: its gender shows in its ending or not at all, so that it's one entity after any title."""
+    of, end = script(word), word[-1:].lower()
+    return f"family:{'u' if of == 'latin' else 'f' if end in ('а', 'я') or of == 'greek' and end != 'ς' else 'm'}:{of}"
+
+
 def _luhn(digits: str) -> bool:
     own = [int(c) for c in digits[::-1]]
     return (sum(own[::2]) + sum(sum(divmod(2 * x, 10)) for x in own[1::2])) % 10 == 0
@@ -88,13 +94,12 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
             own.append(w)
         for i, w in enumerate(own):
             given = i < len(own) - 1
-            kind = "given:" + (_OF.get(w[0]) or f"{gender}:{script(w[0])}") if given else f"family:{gender}:{script(w[0])}"
+            kind = "given:" + (_OF.get(w[0]) or f"{gender}:{script(w[0])}") if given else _family(w[0])
             yield at + w.start(), at + w.end(), part(w[0], kind)
     for m in _NAMED.finditer(text):
         if m[2][:1].isupper() and not text[m.start() - 1 : m.start()].isalnum():
-            gender = _OF[m[1]][0]
             yield m.start(1), m.end(1), part(m[1], "given:" + _OF[m[1]])
-            yield m.start(2), m.end(2), part(m[2], f"family:{gender}:{script(m[2])}")
+            yield m.start(2), m.end(2), part(m[2], _family(m[2]))
     if parts:
         for m in re.finditer(rf"(?<![\w])(?:{'|'.join(sorted(map(re.escape, (p for p in parts if len(p) > 2)), key=len, reverse=True)) or '(?!)'})(?![\w])", text):
             yield m.start(), m.end(), parts[m[0]]
