@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ferrule.llm._shared import SOLID, U, WORD, buffers, chunks, mix, span_hash, spans
 
 BUCKETS = 1 << 17
-LABELLERS = ("symbols", "capitals", "repetition", "function_words", "word_length", "sentences", "length", "digits", "shouting", "separators")
+LABELLERS = ("symbols", "capitals", "repetition", "function_words", "word_length", "sentences", "length", "digits", "shouting", "separators", "symbol_runs", "symbol_ends", "passages")
 FUNCTION_WORDS = (
     "the of and to in is that it for was on with he be by this are or der die und das den von zu ist mit für "
     "nicht ein eine des auf le la les de du et un une en est que qui dans pour sur el los las y del se por con una al su"
@@ -50,6 +50,17 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(total[at])
 
 
+def _repeated(h: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """The share of each text's runs of k words that it has had before."""
+    many = np.maximum(np.diff(row) - k + 1, 0)
+    doc = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + row[doc]
+    key = span_hash(h, at, at + k) ^ mix(doc.astype(U))
+    order = np.argsort(key)  # equal runs of one text stand together
+    key, doc = key[order], doc[order]
+    return np.bincount(doc[1:][key[1:] == key[:-1]], minlength=len(many)) / np.maximum(many, 1)
+
+
 def votes(d: np.ndarray, o: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The votes of each labeller (1 good, -1 poor, 0 abstains) on each text, and which texts have a word."""
     kind = _CLASS[d]
@@ -63,14 +74,13 @@ def votes(d: np.ndarray, o: np.ndarray, known: np.ndarray) -> tuple[np.ndarray,
     some = np.maximum(n, 1)
     at = np.searchsorted(known, h)
     common = _sums(known[np.minimum(at, len(known) - 1)] == h, row) / some
-    # the share of trigrams seen before in the text
-    many = np.maximum(np.diff(row) - 2, 0)
-    doc = np.repeat(np.arange(len(many)), many)
-    g0 = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + row[doc]
-    order = np.argsort(span_hash(h, g0, g0 + 3) ^ mix(doc.astype(U)))  # equal trigrams of one text stand together
-    key, doc = (span_hash(h, g0, g0 + 3) ^ mix(doc.astype(U)))[order], doc[order]
-    same = key[1:] == key[:-1]
-    repeated = np.bincount(doc[1:][same], minlength=len(n)) / np.maximum(many, 1)
+    repeated, passages = (_repeated(h, row, k) for k in (3, 8))
+    triple = np.zeros(len(d), bool)
+    triple[2:] = (kind[2:] >= 4) & (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2])
+    runs = _sums(triple, o)
+    space = np.ones(len(d) + 1, bool)
+    space[:-1] = kind == 0
+    tails = _sums((kind == 5) & space[1:], o)
     ends = _sums((d == 46) | (d == 63) | (d == 33), o)
     bang = _sums(d == 33, o)
     bars = _sums((d == 124) | (d == 9), o)
@@ -80,18 +90,23 @@ def votes(d: np.ndarray, o: np.ndarray, known: np.ndarray) -> tuple[np.ndarray,
     def vote(good: np.ndarray, poor: np.ndarray) -> np.ndarray:
         return np.where(blank, 0, np.where(poor, -1, np.where(good, 1, 0))).astype(np.int8)
 
+    # a fault, or the lack of one, says nothing of the others: those who look for one fault abstain where it is absent
+    never = np.zeros(len(n), bool)
     out = np.stack(
         [
-            vote(count[5] / solid < 0.01, count[5] / solid > 0.06),
-            vote(count[2] / letters < 0.12, count[2] / letters > 0.3),
-            vote((repeated < 0.1) & (n >= 20), repeated > 0.3),
+            vote(never, count[5] / solid > 0.06),
+            vote(never, count[2] / letters > 0.3),
+            vote(never, repeated > 0.3),
             vote(common > 0.15, (common < 0.03) & (n >= 20)),
             vote((length >= 3) & (length <= 8), (length < 2) | (length > 14)),
             vote((ends / some > 1 / 60) & (ends / some < 1 / 3), ((ends == 0) & (n >= 40)) | (ends / some > 0.5)),
             vote(n >= 40, n < 6),
-            vote(count[3] / solid < 0.03, count[3] / solid > 0.2),
-            vote(bang / some < 0.02, bang / some > 0.1),
-            vote(bars / some < 0.01, bars / some > 0.1),
+            vote(never, count[3] / solid > 0.2),
+            vote(never, bang / some > 0.1),
+            vote(never, bars / some > 0.1),
+            vote(never, runs / some > 0.15),
+            vote(never, tails / some > 0.15),
+            vote(never, (passages > 0.2) & (n >= 20)),
         ],
         axis=1,
     )
@@ -122,10 +137,11 @@ def features(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return bucket, w / size[doc], at
 
 
-def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, n: np.ndarray, rounds: int = 60, weight: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of good for each pattern, vote probabilities by class, labeller and vote) from vote patterns and how many
-    texts have each. It starts from the majority, which also decides which class is called good."""
-    score = patterns.sum(1)
+    texts have each. It starts from the balance of the votes, one of poor weighing as much as ``weight`` of good since each
+    fault has few labellers to name it; this also decides which class is called good."""
+    score = (patterns > 0).sum(1) - weight * (patterns < 0).sum(1)
     post = 1 / (1 + np.exp(-score.astype(float)))
     theta = np.zeros((2, patterns.shape[1], 3))
     for _ in range(rounds):
