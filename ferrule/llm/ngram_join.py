@@ -114,10 +114,12 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The counts as one logarithmic byte a bucket (what executors need for the order), and for each level the other
-    documents a gram of it is expected to meet: its count less the mean load of a bucket, which is other grams' noise."""
+    documents a gram of it is expected to meet: its count less the mean load of a bucket, which is other grams' noise, but a
+    share of the count at least, as a gram that the noise hides still meets some."""
     level = np.minimum(np.floor(np.log2(counts.astype(float) + 1) * 6), 255).astype(np.uint8)
     noise = float(counts.mean())
-    return level, np.maximum(2.0 ** (np.arange(256) / 6) - 1 - noise, 0.0)
+    count = 2.0 ** (np.arange(256) / 6) - 1
+    return level, np.maximum(count - noise, 0.05 * count)
 
 
 def choose(g: np.ndarray, at: np.ndarray, level: np.ndarray, cost: np.ndarray, t: float, most: int, verify: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
