@@ -1,40 +1,16 @@
-"""What the operators of this subpackage share: table access, durable intermediate tables, numpy text kernels."""
+"""What the operators of this subpackage share: numpy text kernels, and the library's tables and durable intermediates."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-# --------------------------------------------------------------------------- tables
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark, "_ferrule_dir", None)
-        if not at:
-            at = spark._ferrule_dir = "file://" + tempfile.mkdtemp(prefix="ferrule-")
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: its lineage ends there, so a lost executor
-    costs a re-read and not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ferrule.storage import stored, table
 
+__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "grams", "mix", "span_hash", "spans", "stored", "table", "words"]
 
 # --------------------------------------------------------------------------- numpy text kernels
 
