@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding inside Spark expressions.
 
-Texts are cut into words by the vocabulary's pattern. Runs of documents become blocks: the distinct words of a block as byte
-arrays, and each document as a sequence of places among them. Higher-order functions fold the ranked merges over each
-distinct word: the state of the fold is the word's tokens and the rank of each neighbouring pair, a step merges the first
-pair of the least rank and looks up the two pairs that arise. The rank map is a literal of the plan: two arrays that form a
-perfect hash table from pairs of tokens to the token they merge into, so that a look-up is a few array accesses. Documents
-are then put together from the tokens of their words. Nothing is shuffled, and a word is encoded once a block.
+Texts are cut into words by the vocabulary's pattern. Runs of documents become blocks: the distinct words that the task has
+not had before as byte arrays, and each document as a sequence of places among the task's words. Higher-order functions fold the ranked merges over each
+distinct word: the state of the fold is, for each token of the word, the rank of its pair with the next one and the token
+itself in one number; a step merges the pair of the least number and looks up the two pairs that arise. The rank map is a literal of the plan: a perfect hash
+table from pairs of tokens to the token they merge into, in two arrays, so that a look-up is two array accesses. Documents
+are then put together from the tokens of their words. Nothing is shuffled, and a word is encoded once a task.
 
 Decoding concatenates the pieces of the tokens, taken from a literal array in hexadecimal form, and unhexes the whole.
 
-The fold costs a word's length squared, so words of more than ``LONG`` bytes (text without spaces) are merged beforehand with
-a heap, with the same result; the fold finds nothing left to merge in them.
+Two kinds of words are merged beforehand with a heap, by the same ranks, and the fold finds nothing left to do in them: those
+of more than ``LONG`` bytes (text without spaces), as the fold costs a word's length squared, and those that hold the same
+three bytes twice, where pairs of one rank may differ in their left token and only the place decides.
 
 Defined results: a null text has null tokens, an empty text no tokens; every other text decodes to its own bytes; rows are never
 dropped or merged, whatever their ids; other columns are ignored; an empty table gives no rows; a null token list decodes to
@@ -35,11 +36,11 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _S = r"\p{IsWhite_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?!\P{{IsWhite_Space}})|{_S}+"
 LONG = 192
-TOKENS = 1_000_000  # of a block, about; one longer document is a block by itself
-_SLOTS = 1 << 18
-_BUCKETS = 65_521
-_PRIME = 2_147_483_647
+TOKENS = 400_000  # of a block, about; one longer document is a block by itself
+KNOWN = 1_500_000  # words that a task remembers; then it starts afresh
+_PAD = (1 << 16) - 1  # stands before and after a word and merges with nothing
 _EMPTY = 1 << 62
+_ODD = 40_503
 
 
 @lru_cache(maxsize=4)
@@ -47,8 +48,8 @@ def ranks(path: str) -> tuple[bytes, ...]:
     """The pieces of a vocabulary file by rank."""
     with open(path, "rb") as file:
         own = {int(r): base64.b64decode(p) for p, r in (line.split() for line in file if line.strip())}
-    if sorted(own) != list(range(len(own))) or len(own) >= 1 << 16:
-        raise ValueError(f"{path}: ranks are 0 to n-1, n below 65,536")
+    if sorted(own) != list(range(len(own))) or len(own) >= _PAD:
+        raise ValueError(f"{path}: ranks are 0 to n-1, n below 65,535")
     return tuple(own[i] for i in range(len(own)))
 
 
@@ -67,38 +68,33 @@ def merges(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def perfect_hash(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(slots, displacements, a, b): the entry of a pair (l, r) is slots[h % SLOTS xor displacements[h % BUCKETS]] with
-    h = (l * a + r * b) % PRIME, and holds the pair's key * 65536 + its token."""
+def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, bases): a pair (l, r) has the group g = (l * _ODD + r) % 65536, and slots[bases[g] + r] is g << 32 | t << 16 if
+    it merges into t. Within a group r tells pairs apart, so a group needs only a base at which its slots are free."""
     key, to = merges(path)
     left, right = key >> 16, key & 0xFFFF
-    for seed in range(1000):
-        a, b = (int(x) | 1 for x in np.random.default_rng(seed).integers(1 << 29, 1 << 30, 2))
-        h = (left * a + right * b) % _PRIME
-        x, bucket = h & (_SLOTS - 1), h % _BUCKETS
-        if len(np.unique(bucket * _SLOTS + x)) < len(key):
-            continue
-        order = np.argsort(bucket, kind="stable")
-        sizes = np.bincount(bucket, minlength=_BUCKETS)
-        end = np.cumsum(sizes)
-        slots, shift = np.full(_SLOTS, _EMPTY, np.int64), np.zeros(_BUCKETS, np.int64)
-        rng = np.random.default_rng(seed)
-        for k in np.argsort(-sizes, kind="stable"):
-            if not sizes[k]:
-                return slots, shift, a, b
-            own = order[end[k] - sizes[k] : end[k]]
-            for _ in range(100_000):
-                d = int(rng.integers(_SLOTS))
-                at = x[own] ^ d
-                if (slots[at] == _EMPTY).all():
-                    slots[at] = key[own] << 16 | to[own]
-                    shift[k] = d
-                    break
-            else:
+    group = (left * _ODD + right) & 0xFFFF
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    size = 1 << int(np.ceil(np.log2(2 * len(key) + 1)))
+    slots, bases = np.full(size + (1 << 16), _EMPTY, np.int64), np.zeros(1 << 16, np.int64)
+    rng = np.random.default_rng(0)
+    for own in sorted(np.split(order, first[1:]), key=lambda x: -len(x)):
+        for base in rng.integers(size, size=10_000):
+            at = base + right[own]
+            if (slots[at] == _EMPTY).all():
                 break
         else:
-            return slots, shift, a, b
-    raise ValueError(f"{path}: no perfect hash found")
+            raise ValueError(f"{path}: the rank table is full")
+        slots[at] = group[own] << 32 | to[own] << 16
+        bases[group[own[0]]] = base
+    return slots, bases
+
+
+def entries(left: np.ndarray, right: np.ndarray, slots: np.ndarray, bases: np.ndarray) -> np.ndarray:
+    """The state of a pair within a word: the token it merges into, or more than any token, and the left token below it."""
+    group = (left * _ODD + right) & 0xFFFF
+    return slots[bases[group] + right] ^ ((group << 32) + left)
 
 
 def heap_merge(tokens: list[int], to: dict[int, int]) -> list[int]:
@@ -126,49 +122,43 @@ def _literal(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
-def _let(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def merged(words: Column, path: str) -> Column:
-    """The tokens of each of an array of words, given as arrays of the tokens of their bytes."""
-    slots, shift, a, b = perfect_hash(path)
-    tables = F.array(F.struct(_literal(slots, "bigint").alias("slots"), _literal(shift, "int").alias("shift")))
-    least = F.lit(1 << 16).cast("long")
+    """The final states of an array of words, given as arrays of the states of their bytes."""
+    slots, bases = rank_table(path)
+    tables = F.array(F.struct(_literal(slots, "bigint").alias("slots"), _literal(bases, "bigint").alias("bases")))
+    none, rest, token, odd = F.lit(1 << 32), F.lit(1 << 30), F.lit(0xFFFF).cast("long"), F.lit(_ODD).cast("long")
 
     def of_word(word: Column, t: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            """The token of a pair, or a number of at least 65536 if it merges into none."""
-            left, right = left.cast("long"), right.cast("long")
-            h = (left * F.lit(a) + right * F.lit(b)) % F.lit(_PRIME)
-            at = h.bitwiseAND(F.lit(_SLOTS - 1)).bitwiseXOR(F.get(t["shift"], (h % F.lit(_BUCKETS)).cast("int")).cast("long"))
-            return F.get(t["slots"], at.cast("int")).bitwiseXOR((left * F.lit(65536) + right) * F.lit(65536))
+        def entry(left: Column, right: Column) -> Column:
+            group = (left * odd + right).bitwiseAND(token)
+            return F.get(t["slots"], F.get(t["bases"], group) + right).bitwiseXOR(group * none + left)
 
         def step(state: Column, _: Column) -> Column:
-            ids, of = state["ids"], state["ranks"]
-
             def merge(at: Column) -> Column:  # at: the place, from 1, of the first pair of the least rank
-                at = at.cast("int")
-                new = F.get(of, at - 1)
-                left = F.when(at > 1, F.concat(F.slice(of, 1, at - 2), F.array(rank(F.get(ids, at - 2), new)))).otherwise(F.slice(of, 1, 0))
-                right = F.when(at < F.size(of), F.concat(F.array(rank(new, F.get(ids, at + 1))), F.slice(of, at + 2, F.size(of)))).otherwise(F.slice(of, 1, 0))
-                return F.struct(
-                    F.concat(F.slice(ids, 1, at - 1), F.array(new.cast("int")), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                    F.concat(left, right).alias("ranks"),
-                )
+                new = F.shiftright(F.get(state, at - 1), 16)
+                before, after = F.get(state, at - 2).bitwiseAND(token), F.get(state, at + 1).bitwiseAND(token)
+                return F.concat(F.slice(state, 1, at - 2), F.array(entry(before, new), entry(new, after)), F.slice(state, at + 2, rest))
+
+            def least(m: Column) -> Column:
+                return F.when(m < none, F.get(F.transform(F.array(F.array_position(state, m).cast("int")), merge), 0)).otherwise(state)
 
-            return _let(F.array_min(of), lambda low: F.when(low < least, _let(F.array_position(of, low), merge)).otherwise(state))
+            return F.get(F.transform(F.array(F.array_min(state)), least), 0)
 
-        pairs = F.zip_with(F.slice(word, 1, F.size(word) - 1), F.slice(word, 2, F.size(word)), rank)
-        start = F.struct(word.alias("ids"), pairs.alias("ranks"))
-        whole = F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step, lambda s: s["ids"])
-        return F.when(F.size(word) > 1, whole).otherwise(word)
+        return F.aggregate(F.sequence(F.lit(4), F.size(word)), word, step)
 
-    return _let_each(tables, words, of_word)
+    return F.get(F.transform(tables, lambda t: F.transform(words, lambda w: F.when(F.size(w) > 3, of_word(w, t)).otherwise(w))), 0)
 
 
-def _let_each(tables: Column, words: Column, of_word) -> Column:
-    return F.get(F.transform(tables, lambda t: F.transform(words, lambda w: of_word(w, t))), 0)
+def _repeats(data: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which words hold the same three bytes at two places."""
+    out = np.zeros(len(of) - 1, bool)
+    if len(data) > 2:
+        word = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        inside = word[2:] == word[:-2]
+        code = (word[2:] << 24 | data[:-2] % 256 << 16 | data[1:-1] % 256 << 8 | data[2:] % 256)[inside]
+        code.sort()
+        out[code[1:][code[1:] == code[:-1]] >> 24] = True
+    return out
 
 
 def _spread(at: np.ndarray, of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,17 +171,19 @@ def _spread(at: np.ndarray, of: np.ndarray, values: np.ndarray) -> tuple[np.ndar
 def bpe_encode(docs: DataFrame, path: str = RANKS, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids, the tokens of the text, of every row."""
     pieces = ranks(path)
-    byte = np.zeros(256, np.int32)
+    byte = np.zeros(256, np.int64)
     for i, p in enumerate(pieces):
         if len(p) == 1:
             byte[p[0]] = i
     if len({p for p in pieces if len(p) == 1}) < 256:
         raise ValueError(f"{path}: a byte-level vocabulary has all bytes")
     pairs = docs.sparkSession.sparkContext.broadcast(merges(path))
+    lookup = docs.sparkSession.sparkContext.broadcast(rank_table(path))
     split = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.regexp_extract_all(F.col(text).cast("string"), F.lit(PATTERN), F.lit(0)).alias("words"))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long: dict[int, int] = {}
+        seen: dict[bytes, int] = {}
         for batch in batches:
             column = batch.column("words")
             count = pc.list_value_length(column)
@@ -201,41 +193,67 @@ def bpe_encode(docs: DataFrame, path: str = RANKS, *, text: str = "text", doc_id
             while i < batch.num_rows:
                 j = min(max(int(np.searchsorted(at, at[i] + TOKENS, "right")) - 1, i + 1), batch.num_rows)
                 own = flat.slice(at[i], at[j] - at[i]).dictionary_encode()
-                known = own.dictionary.cast(pa.large_binary())
+                if fresh := len(seen) > KNOWN:
+                    seen.clear()
+                n, words = len(seen), own.dictionary.cast(pa.binary()).to_pylist()
+                at_words = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+                known = own.dictionary.filter(pa.array(at_words >= n)).cast(pa.large_binary())  # in the order of their numbers
                 raw = known.buffers()
                 of = np.frombuffer(raw[1], np.int64)[known.offset : known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int64)
-                data = byte[np.frombuffer(raw[2], np.uint8)[of[0] : of[-1]]] if len(known) else np.zeros(0, np.int32)
+                data = byte[np.frombuffer(raw[2], np.uint8)[of[0] : of[-1]]] if len(known) else np.zeros(0, np.int64)
                 of = of - of[0]
-                if (np.diff(of) > LONG).any():
+                hard = np.flatnonzero((np.diff(of) > LONG) | _repeats(data, of))
+                if len(hard):
                     if not long:
                         long = dict(zip(*(x.tolist() for x in pairs.value)))
-                    lists = [data[a:b] if b - a <= LONG else np.array(heap_merge(data[a:b].tolist(), long), np.int32) for a, b in zip(of[:-1], of[1:])]
-                    data, of = np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+                    size = np.diff(of)
+                    lists = [np.array(heap_merge(data[of[x] : of[x + 1]].tolist(), long), np.int64) for x in hard]
+                    keep = np.ones(len(data), bool)
+                    for x, tokens in zip(hard, lists):
+                        data[of[x] : of[x] + len(tokens)] = tokens
+                        keep[of[x] + len(tokens) : of[x + 1]] = False
+                        size[x] = len(tokens)
+                    data, of = data[keep], np.concatenate(([0], np.cumsum(size)))
+                # a pad before and after each word
+                word = np.repeat(np.arange(len(of) - 1), np.diff(of))
+                padded = np.full(len(data) + 2 * (len(of) - 1) + 1, _PAD, np.int64)
+                padded[np.arange(len(data)) + 2 * word + 1] = data
+                states = entries(padded[:-1], padded[1:], *lookup.value)
+                states_at = of + 2 * np.arange(len(of))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
                         pa.array([count.slice(i, j - i).to_pylist()], pa.list_(pa.int32())),
-                        pa.array([own.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, len(of) - 1], pa.int32()), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(data))),
+                        pa.array([fresh or not n]),
+                        pa.array([at_words[own.indices.to_numpy(zero_copy_only=False)].astype(np.int32).tobytes()], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, len(of) - 1], pa.int32()), pa.ListArray.from_arrays(pa.array(states_at.astype(np.int32)), pa.array(states))),
                     ],
-                    ["doc_ids", "counts", "places", "words"],
+                    ["doc_ids", "counts", "fresh", "places", "words"],
                 )
                 i = j
 
     def unblock(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_at = np.zeros(0, np.int64), np.zeros(1, np.int64)  # the tokens of the task's words so far
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column("words").slice(k, 1).flatten()
                 of = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)))).astype(np.int64)
-                values, end = _spread(np.frombuffer(batch.column("places")[k].as_py(), np.int32), of, words.flatten().to_numpy(zero_copy_only=False))
+                tokens = words.flatten().to_numpy(zero_copy_only=False) & _PAD
+                real = tokens != _PAD
+                of, tokens = np.concatenate(([0], np.cumsum(real)))[of], tokens[real]
+                if batch.column("fresh")[k].as_py():
+                    held, held_at = tokens, of
+                else:
+                    held, held_at = np.concatenate((held, tokens)), np.concatenate((held_at, of[1:] + held_at[-1]))
+                values, end = _spread(np.frombuffer(batch.column("places")[k].as_py(), np.int32), held_at, held)
                 counts = batch.column("counts").slice(k, 1).flatten()
                 at = np.concatenate(([0], np.cumsum(pc.fill_null(counts, 0).to_numpy(zero_copy_only=False).astype(np.int64))))
                 null = np.append(counts.is_null().to_numpy(zero_copy_only=False), False)
                 ids = pa.ListArray.from_arrays(pa.array(end[at].astype(np.int32), mask=null), pa.array(values.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids").slice(k, 1).flatten(), ids], ["doc_id", "ids"])
 
-    blocks = split.mapInArrow(block, "doc_ids array<long>, counts array<int>, places binary, words array<array<int>>")
-    return blocks.select("doc_ids", "counts", "places", merged(F.col("words"), path).alias("words")).mapInArrow(unblock, "doc_id long, ids array<int>")
+    blocks = split.mapInArrow(block, "doc_ids array<long>, counts array<int>, fresh boolean, places binary, words array<array<long>>")
+    return blocks.select("doc_ids", "counts", "fresh", "places", merged(F.col("words"), path).alias("words")).mapInArrow(unblock, "doc_id long, ids array<int>")
 
 
 def bpe_decode(ids: Column, path: str = RANKS) -> Column:
