@@ -2,7 +2,8 @@
 
 Each language has a zstandard raw-content dictionary made of its own text. A text is encoded, piece by piece and as a whole,
 once with each dictionary; the language whose dictionary makes it smallest is chosen, and the choice is rejected when the
-runner-up is nearly as small.
+runner-up is nearly as small. zstandard stores a very short text raw, whatever the dictionary; so a text of fewer than ``SHORT``
+bytes, or of fewer than four times as many and the same size in all languages, is encoded behind a carrier that always compresses, once from each of its bytes on, and what it adds is summed.
 
 Defined results: a null, empty or blank text, and one whose margin is below ``least_margin``, is rejected (accepted false;
 lang null where there is no text to judge); of equal sizes the alphabetically first language is taken, with margin 0; rows
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 PIECE = 4096  # bytes encoded at a time, so that a long text keeps meeting the dictionary and not only itself
 MATCH = 4  # least bytes of a match: short enough for what the words of one language share
 SEARCH = 5  # log2 of the match candidates looked at
+SHORT = 64  # bytes; a text below is measured behind the carrier
+CARRIER = bytes(64)
 
 
 def language_dictionaries(docs: DataFrame, most_bytes: int = 32 << 10, most_docs: int = 64, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
@@ -42,10 +45,11 @@ def language_dictionaries(docs: DataFrame, most_bytes: int = 32 << 10, most_docs
     return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 
-def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+def compressors(dictionaries: dict[str, bytes], short: bool = False) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """By language; with ``short``, those for short texts: matches of three bytes and an optimal parse."""
     own = []
     how = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=15, chain_log=15, search_log=SEARCH, min_match=MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
+        strategy=zstandard.STRATEGY_BTULTRA2 if short else zstandard.STRATEGY_LAZY2, window_log=18, hash_log=15, chain_log=15, search_log=SEARCH, min_match=3 if short else MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     for name, content in sorted(dictionaries.items()):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -54,13 +58,22 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zst
     return own
 
 
-def judge(text: str | None, own: list[tuple[str, zstandard.ZstdCompressor]], least_margin: float) -> tuple[str | None, float | None, bool]:
+def added(raw: bytes, c: zstandard.ZstdCompressor) -> int:
+    """Bytes that a short text, set apart by spaces, adds to the carrier, summed over its suffixes."""
+    words = b" " + b" ".join(raw.split()) + b" "
+    ends = range(max(len(words) - 3, 1))
+    return sum(len(c.compress(CARRIER + words[i:])) for i in ends) - len(ends) * len(c.compress(CARRIER))
+
+
+def judge(text: str | None, own: list[tuple[str, zstandard.ZstdCompressor]], least_margin: float, short: list[tuple[str, zstandard.ZstdCompressor]] | None = None) -> tuple[str | None, float | None, bool]:
     raw = (text or "").strip().lower().encode("utf-8", "replace")
     if not raw or not own:
         return None, None, False
     sizes = sorted((sum(len(c.compress(raw[i : i + PIECE])) for i in range(0, len(raw), PIECE)), name) for name, c in own)
+    if short and (len(raw) < SHORT or len(raw) < 4 * SHORT and sizes[0][0] == sizes[-1][0]):
+        sizes = sorted((added(raw, c), name) for name, c in short)
     best = sizes[0]
-    margin = (sizes[1][0] - best[0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+    margin = (sizes[1][0] - best[0]) / max(sizes[1][0], 1) if len(sizes) > 1 else 1.0
     return best[1], round(margin, 6), margin >= least_margin
 
 
@@ -72,9 +85,10 @@ def detect_language(docs: DataFrame, dictionaries: dict[str, bytes], least_margi
     found = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = compressors({k: v.lower() if v.isascii() else v.decode("utf-8", "ignore").lower().encode() for k, v in found.value.items()})
+        lower = {k: v.lower() if v.isascii() else v.decode("utf-8", "ignore").lower().encode() for k, v in found.value.items()}
+        own, short = compressors(lower), compressors(lower, short=True)
         for batch in batches:
-            got = [judge(t.as_py(), own, least_margin) for t in batch.column(text)]
+            got = [judge(t.as_py(), own, least_margin, short) for t in batch.column(text)]
             lang, margin, ok = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(margin, pa.float64()), pa.array(ok, pa.bool_())], [*batch.schema.names, *out])
 

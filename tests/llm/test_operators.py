@@ -289,6 +289,20 @@ def test_language(spark, awkward, nothing):
     assert langid.judge(r["text"], own, 0.01)[0] == sizes[0][1]
 
 
+def test_language_of_short_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    d = table(spark, sf, "documents")
+    clean = d.where("doc_id % 2 = 1").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id").where("size(split(trim(text), '[ \\n]+')) < 10")
+    got = langid.detect_language(clean, langid.language_dictionaries(d.where("doc_id % 2 = 0"))).collect()
+    rate = {}
+    for r in got:
+        rate.setdefault(len(r["text"].split()) < 5, []).append((r["lang_accepted"], r["lang_found"] == r["lang"]))
+    assert all(len(own) >= 10 for own in rate.values())
+    assert sum(a for a, _ in rate[True]) / len(rate[True]) > 0.7 and sum(a for a, _ in rate[False]) / len(rate[False]) > 0.95
+    ok = [right for own in rate.values() for a, right in own if a]
+    assert sum(ok) / len(ok) > 0.9
+
+
 # --------------------------------------------------------------------------- 9
 
 
