@@ -408,10 +408,24 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, n: int = 2, threshold: float = 0.6, **how) -> DataFrame:
     """``docs`` without near copies: of each group of documents linked by similarity the one with the smallest id stays.
-    Rows with a null id and rows similar to nothing stay; of repeated rows of one id and text one stays."""
-    cls, pairs = jaccard_classes(docs, n, threshold, **how)
+    Rows with a null id and rows similar to nothing stay; of repeated rows of one id and text one stays; the texts of an id
+    with several are judged each for itself, as documents of their own (under a 64-bit hash of id and text)."""
+    own = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id")
+    often = stored(own.agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select(F.col("doc_id").alias("__id"), (F.col("lo") != F.col("hi")).alias("__several")), "often")
+    marked = docs.join(often, docs["doc_id"] == often["__id"], "left").drop("__id")
+    marked = marked.withColumn("__node", F.when(F.col("__several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    names = marked.where("__several").select(F.col("__node").alias("id"), F.col("doc_id").alias("of")).distinct()
+
+    cls, pairs = jaccard_classes(marked, n, threshold, doc_id="__node", **how)
     cls = stored(cls.where(F.size("members") > 1).select("rep", "members"), "classes")
-    copies = cls.select("rep", F.explode("members").alias("id")).where("id <> rep")
     groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = stored(copies.select("id").unionByName(groups.where("id <> root").select("id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    nodes = cls.select(F.explode("members").alias("id"), "rep").unionByName(groups.select("id", F.col("id").alias("rep"))).distinct()
+    # a rep is in both parts, a copy in the first only
+    nodes = nodes.join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    nodes = stored(nodes.join(names, "id", "left").select("root", F.struct(F.coalesce("of", "id").alias("of"), "id").alias("who")), "nodes")
+    first = nodes.groupBy("root").agg(F.min("who").alias("first"))
+    gone = stored(nodes.join(first, "root").where("who <> first").select(F.col("who.id").alias("gone")), "gone")
+
+    kept = marked.join(gone, marked["__node"] == gone["gone"], "left_anti").drop("__node")
+    once = kept.where("__several is null").drop("__several")
+    return once.unionByName(kept.where("__several is not null").drop("__several").dropDuplicates(["doc_id", "text"]))

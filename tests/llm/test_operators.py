@@ -258,6 +258,18 @@ def test_ngram_join_against_all_pairs(spark, awkward, nothing):
     assert ngram_join.ngram_jaccard_join(nothing).count() == 0
 
 
+def test_one_of_each_group_counts_rows(spark, awkward):
+    rng = random.Random(77)
+    a, b, c, e = (sentence(rng, 40) for _ in range(4))
+    near = b.rsplit(" ", 1)[0]
+    rows = [(1, a), (1, a), (1, b), (2, c), (2, c), (3, near), (4, a), (5, e), (7, e), (7, c), (7, None), (7, None), (8, ""), (8, ""), (None, a), (None, a)]
+    want = [(1, a), (1, b), (2, c), (5, e), (7, None), (8, ""), (None, a), (None, a)]
+    d = docs(spark, rows).repartition(3)
+    got = ngram_join.one_of_each_group(d)
+    assert got.columns == d.columns and sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in got.collect())
+    assert ngram_join.one_of_each_group(awkward).count() == awkward.count() - 3
+
+
 def test_bitmaps_never_bound_too_low():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 1 << 12, rng.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)) for _ in range(60)]
