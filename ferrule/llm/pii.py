@@ -2,13 +2,14 @@
 
 Entities are found in the whole text: e-mail addresses, IPv4 addresses, payment cards, telephone numbers, social security
 numbers, IBANs, secrets (values assigned to a key, token or password, and well-known token forms) and names (after a title,
-or a known given name with a surname, and their parts wherever the text repeats them). Each is replaced by one of its own
+or a known given name, all capitalised words and initials that follow, and their parts, initials aside, wherever the text repeats
+them). An assigned secret runs to its closing quote or to white space. Each is replaced by one of its own
 kind, derived from a secret key: digits for digits and letters for letters in the same format and case, a valid check digit
 where there was one, a given name of the same gender and script, a surname of the same script. An entity is the same in all
 its spellings, so it has one surrogate in all documents, and all addresses of a domain share a surrogate domain.
 
 All distinct entities of the corpus are checked: where two would share a surrogate, or one would be given what is another's
-real value, all but the first get the surrogate of a further attempt, until none collide. Only those exceptions travel to the
+real value (initials aside: there are too few letters), all but the first get the surrogate of a further attempt, until none collide. Only those exceptions travel to the
 documents: as a broadcast table up to ``most_shipped`` of them, by a join beyond.
 
 Defined results: a null text stays null; empty texts and texts without entities stay as they are; where findings overlap the
@@ -45,10 +46,12 @@ SYLLABLES = {"latin": "ba be bo ca da de di do fa ga go ha ka la le li lo ma me
 TITLES = {t: g for g, own in (("m", "Mr Herr Monsieur Señor Sr господин г-н Κύριος"), ("f", "Mrs Ms Miss Mme Mlle Madame Frau Señora Sra госпожа г-жа Κυρία"), ("u", "Dr Prof")) for t in own.split()}
 
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_TITLED = re.compile(rf"\b({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})(?:\. ?| )({_WORD}(?: {_WORD}){{0,2}})")
+_TITLED = re.compile(rf"\b({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})(?:\. ?| )(?=[^\W\d_])")
+_PIECE = re.compile(rf"([^\W\d_])\.|({_WORD})")  # an initial or a word
 _OF = {n: k for k, own in GIVEN.items() for n in own.split()}
-_NAMED = re.compile(rf"({'|'.join(sorted(_OF, key=len, reverse=True))}) ({_WORD})")
-_ASSIGNED = re.compile(r"[:=][ \t]*[\"'“]?([A-Za-z0-9+/_\-]{8,})")
+_NAMED = re.compile(rf"(?<![^\W_])({'|'.join(sorted(_OF, key=len, reverse=True))})(?= [^\W\d_])")
+_ASSIGNED = re.compile(r"""[:=][ \t]*(?:Bearer )?(?:"([^"\n]+)"|'([^'\n]+)'|“([^”\n]+)”|["'“]?(\S+))""")
+_PASSWORD = re.compile(r"(?:passw(?:or)?d|pwd)[\"' \t]*$", re.I)
 _NAME_OF_SECRET = re.compile(r"(?:api[_ -]?key|access[_ -]?key|secret|token|passw(?:or)?d|pwd|key)[\"' \t]*$", re.I)
 _TOKEN = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"[\w.+%\-]{1,64}\Z")
@@ -86,22 +89,34 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
     def part(word: str, kind: str) -> str:
         return parts.setdefault(word, kind)
 
-    for m in _TITLED.finditer(text):
-        gender, at, own = TITLES[m[1]], m.start(2), []
-        for w in re.finditer(_WORD, m[2]):
-            if not w[0][:1].isupper():
+    def run(at: int) -> list[re.Match]:
+        """The capitalised words and initials from a place on."""
+        own: list[re.Match] = []
+        while (m := _PIECE.match(text, at)) and m[0][:1].isupper():
+            own.append(m)
+            at = m.end() + (text[m.end() : m.end() + 1] == " ")
+            if at == m.end() and not m[1]:
                 break
-            own.append(w)
-        for i, w in enumerate(own):
-            given = i < len(own) - 1
-            kind = "given:" + (_OF.get(w[0]) or f"{gender}:{script(w[0])}") if given else _family(w[0])
-            yield at + w.start(), at + w.end(), part(w[0], kind)
+        return own
+
+    def name(own: list[re.Match], gender: str) -> Iterator[tuple[int, int, str]]:
+        for i, m in enumerate(own):
+            if len(own) > 1 and (m[1] or len(m[2]) == 1):
+                yield m.start(), m.start() + 1, "initial"
+            else:
+                w = m[1] or m[2]
+                kind = "given:" + (_OF.get(w) or f"{gender}:{script(w)}") if i < len(own) - 1 else _family(w)
+                yield m.start(), m.start() + len(w), part(w, kind)
+
+    for m in _TITLED.finditer(text):
+        yield from name(run(m.end()), TITLES[m[1]])
+    end = 0
     for m in _NAMED.finditer(text):
-        if m[2][:1].isupper() and not text[m.start() - 1 : m.start()].isalnum():
-            yield m.start(1), m.end(1), part(m[1], "given:" + _OF[m[1]])
-            yield m.start(2), m.end(2), part(m[2], _family(m[2]))
+        if m.start() >= end and len(own := run(m.start())) > 1:
+            end = own[-1].end()
+            yield from name(own, _OF[m[1]][0])
     if parts:
-        for m in re.finditer(rf"(?<![\w])(?:{'|'.join(sorted(map(re.escape, (p for p in parts if len(p) > 2)), key=len, reverse=True)) or '(?!)'})(?![\w])", text):
+        for m in re.finditer(rf"(?<![\w])(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})(?![\w])", text):
             yield m.start(), m.end(), parts[m[0]]
 
 
@@ -110,8 +125,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, int, str, str]] = []
     if "=" in text or ":" in text:
         for m in _ASSIGNED.finditer(text):
-            if _DIGIT.search(m[1]) and _NAME_OF_SECRET.search(text, max(0, m.start() - 24), m.start()):
-                found.append((m.start(1), 0, m.end(1), "secret", m[1]))
+            if not _NAME_OF_SECRET.search(text, max(0, m.start() - 24), m.start()):
+                continue
+            value = m[m.lastindex] if m.lastindex < 4 else m[4].rstrip(",.;:)]}>\"'”")
+            solid = sum(c.isalpha() or "0" <= c <= "9" for c in value)
+            if solid >= 4 and _PASSWORD.search(text, max(0, m.start() - 24), m.start()) or solid >= 8 and (_DIGIT.search(value) or solid >= 16 and " " not in value):
+                found.append((m.start(m.lastindex), 0, m.start(m.lastindex) + len(value), "secret", value))
     if "AKIA" in text or "gh" in text or "sk-" in text:
         found += [(m.start(), 0, m.end(), "secret", m[0]) for m in _TOKEN.finditer(text)]
     i = text.find("@")
@@ -188,6 +207,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "iban":
         body = _letters(value[4:], s)
         return f"{value[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + value[:2] + '00')) % 97:02d}{body}"
+    if kind == "initial":
+        own = SYLLABLES_LETTERS[script(value)].replace(value, "")
+        return own[s.below(len(own))]
     if kind.startswith("given"):
         own = GIVEN[kind[6:]].split()
         tail = "" if attempt < 4 else "".join(SYLLABLES[kind.rpartition(":")[2]][s.below(20)] for _ in range(1 + attempt // 4))  # the list is short: longer names after a few attempts
@@ -207,7 +229,7 @@ def _dressed(surface: str, kind: str, new: str) -> str:
         return "".join(next(own, "") if c.isalnum() else c for c in surface)
     if kind == "email":
         return "".join(b.upper() if a.isupper() else b for a, b in zip(surface, new)) if len(surface) == len(new) else new
-    if kind[:5] in ("given", "famil"):
+    if kind[:5] in ("given", "famil", "initi"):
         return new.upper() if surface.isupper() and len(surface) > 1 else new[:1].upper() + new[1:]
     return new
 
@@ -255,7 +277,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, *, text: str = "text", count:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], pa.string()) for i in (0, 1)], ["kind", "value"])
 
     found = stored(texts.mapInArrow(find, "kind string, value string").distinct(), "entities")
-    need = stored(attempts_needed(found, key), "attempts")
+    need = stored(attempts_needed(found.where("kind <> 'initial'"), key), "attempts")
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != count))
     tables = None
     if need.count() <= most_shipped:

@@ -136,6 +136,23 @@ def test_surrogates(spark, nothing):
     assert got[1]["source"] == "s" and pii.surrogates(nothing, count="n").count() == 0
 
 
+def test_surrogates_leave_no_part():
+    for text, gone in (
+        ("Anna Maria Schmidt came; Schmidt left.", ("Anna", "Maria", "Schmidt")),
+        ("then John went with John F. Kennedy. Kennedy spoke", ("John", " F.", "Kennedy")),
+        ("by John Fitzgerald Kennedy, and Kennedy again", ("John", "Fitzgerald", "Kennedy")),
+        ("Mr. Li met Dr. Ng. Later Li and Ng spoke", ("Li", "Ng")),
+        ("Dr. J.F. Anders Berg, then Berg", ("J.F", "Anders", "Berg")),
+        ("token: eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27u end", ("eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0In0", "dBjftJeZ4CVP", "mB92K27u")),
+        ("password = S3cr3t!Pass99 end", ("S3cr3t", "Pass99")),
+        ('{"password": "correct horse"} pwd=hunter, end', ("correct", "horse", "hunter")),
+    ):
+        new, n = pii.replaced(text, pii.KEY, {})
+        assert n and not [g for g in gone if g in new], new
+    for text in ("the key: remember this", "password: !!!!!!!!", "Li and Ng spoke", "John went home"):
+        assert pii.replaced(text, pii.KEY, {}) == (text, 0)
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"{n} Person" for n in pii.GIVEN["m:latin"].split()] + [f"Dr. Alex{c} Person" for c in "abcdefghij"]
     rows = docs(spark, [(i, f"Mr. {n.removeprefix('Dr. ')}") for i, n in enumerate(names)])
