@@ -3,7 +3,8 @@
 Texts become sequences of typed tokens: numbers, names and units of measure turn into placeholders, all else is lower-cased.
 Windows of ``window`` tokens of a benchmark item are hash-joined with those of the documents. Where they match, the values
 behind the placeholders are set side by side: along one alignment of item and document every value of the item must stand for
-one value of the document, so a re-parameterised question is caught and a chance meeting of templates is not.
+one value of the document, so a re-parameterised question is caught and a chance meeting of templates is not. Where windows of
+an alignment contradict each other, those whose values are all equal count, or where there are none, one that is sound in itself.
 
 Defined results: an item of fewer than ``window`` tokens is looked for as a whole if it has ``least_words`` plain words; a
 window of fewer than ``least_words`` plain words never counts; null or empty texts, null ids and empty tables give no rows;
@@ -187,12 +188,22 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, *,
     right = items.select("item_id", F.col("at").alias("item_at"), "size", "key", F.col("slots").alias("item_slots"))
     met = own.join(right, ["size", "key"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pair = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
-    lined = met.withColumn("pairs", pair).groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    # windows that contradict themselves go; of an alignment whose windows contradict each other those with all values equal stay
+    sound = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda p: p["b"])))
+    changed = lambda c: F.filter(c, lambda p: p["b"] != p["d"])
+    met = met.withColumn("pairs", F.array_distinct(pair)).where(sound("pairs")).withColumn("same", F.size(changed("pairs")) == 0)
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    lined = met.groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set("item_at").alias("all_ats"), merged("pairs").alias("all_pairs"), F.collect_set(F.when(F.col("same"), F.col("item_at"))).alias("same_ats"), merged(F.when(F.col("same"), F.col("pairs"))).alias("same_pairs"), F.max_by("pairs", F.struct(F.size("pairs"), "item_at")).alias("one_pairs"), F.max_by("item_at", F.struct(F.size("pairs"), "item_at")).alias("one_at")
+    )
+    whole, copied = sound("all_pairs"), F.size("same_ats") > 0
+    lined = lined.select(
+        "doc_id", "item_id",
+        F.when(whole, F.col("all_ats")).when(copied, F.col("same_ats")).otherwise(F.array("one_at")).alias("ats"),
+        F.when(whole, F.col("all_pairs")).when(copied, F.col("same_pairs")).otherwise(F.col("one_pairs")).alias("pairs"),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
     total = items.groupBy("item_id").agg(F.countDistinct("at").alias("of"))
-    best = lined.where(consistent).groupBy("doc_id", "item_id").agg(
+    best = lined.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("windows"),
         F.max_by(F.size("pairs"), F.struct(F.size("ats"), F.size("pairs"))).cast("long").alias("slots"),
         F.max_by(F.size(F.filter("pairs", lambda p: p["b"] != p["d"])), F.struct(F.size("ats"), F.size("pairs"))).cast("long").alias("changed"),

@@ -358,6 +358,13 @@ def test_decontamination(spark, awkward, nothing):
     assert decontam.template_matches(awkward, bench).count() == 0 and decontam.template_matches(nothing, bench).count() == 0 and decontam.template_matches(d, bench.limit(0)).count() == 0
 
 
+def test_a_leak_with_one_of_two_equal_values_edited(spark):
+    item = "the farmer sold exactly 12 sheep at the old market before the long winter and then after the spring she bought back 12 sheep from the same buyer"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.template_matches(docs(spark, [(1, f"so {item}"), (2, f"so {item[::-1].replace('21', '54', 1)[::-1]}")]), bench).collect()
+    assert {r["doc_id"]: r["changed"] for r in got} == {1: 0, 2: 0}
+
+
 def test_leaks_of_the_driver_tables(spark):
     sf = "/root/testdata/sf0.01"
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
