@@ -417,4 +417,4 @@ def wordpiece_ids(spark: SparkSession, sf: str) -> DataFrame:
 def encode_pair(spark: SparkSession, sf: str) -> DataFrame:
     turn = Window.partitionBy("conv_id").orderBy("turn")
     own = table(spark, sf, "conversations").withColumn("query", F.lag("text").over(turn)).where("query is not null")
-    return wordpiece.encode_pairs(own.select("conv_id", "turn", "query", F.col("text").alias("content")), VOCAB, size=128).drop("query", "content")
+    return wordpiece.encode_pairs(own.select("conv_id", "turn", "query", F.col("text").alias("content")), VOCAB).drop("query", "content")

@@ -210,3 +210,33 @@ def test_stream(spark, tmp_path):
     index_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out/postings")).where("term = 'cherry'").orderBy("doc_id").collect()
     assert [(r["doc_id"], r["tf"]) for r in got] == [(1, 1), (2, 2)]
+
+
+def test_encode_pair_has_the_reference_size(spark, tmp_path):
+    from ferrule.queries import VOCAB, encode_pair
+
+    turns = [(1, 0, "user", "a short question"), (1, 1, "assistant", "the answer " * 30), (1, 2, "user", "er " * 900), (2, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: r for r in encode_pair(spark, str(tmp_path)).collect()}
+
+    def ids(text):
+        out = []
+        for word in text.split():
+            at, own = 0, []
+            while at < len(word):
+                lead = "##" if at else ""
+                end = next((e for e in range(len(word), at, -1) if lead + word[at:e] in VOCAB), None)
+                if end is None:
+                    own = [VOCAB.get("[UNK]", 100)]
+                    break
+                own.append(VOCAB[lead + word[at:end]])
+                at = end
+            out += own
+        return out
+
+    cls, sep, pad = (VOCAB.get(t, d) for t, d in (("[CLS]", 101), ("[SEP]", 102), ("[PAD]", 0)))
+    assert set(got) == {1, 2}
+    for turn in (1, 2):
+        q = ids(turns[turn - 1][3])
+        want = ([cls, *q, sep, *ids(turns[turn][3])[: max(512 - 3 - len(q), 0)], sep])[:512]
+        assert got[turn]["input_ids"] == want + [pad] * (512 - len(want)) and sum(got[turn]["attention_mask"]) == len(want)
