@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one of our own only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``. Only a session in one process may do without; it gets a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark, "_ferrule_dir", None)
         if not at:
             at = spark._ferrule_dir = "file://" + tempfile.mkdtemp(prefix="ferrule-")
@@ -26,4 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back: its lineage ends there, so a lost executor costs a re-read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ferrule_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_ferrule_path", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
