@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ferrule.storage import stored, table
+from ferrule.storage import free, shared_dir, stored, table
 
-__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "grams", "mix", "span_hash", "spans", "stored", "table", "words"]
+__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "free", "grams", "mix", "released", "shared_dir", "span_hash", "spans", "stored", "table", "words"]
 
-# --------------------------------------------------------------------------- numpy text kernels
+# numpy text kernels
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_pow: np.ndarray = np.ones(1, U)
-_inv: np.ndarray = np.ones(1, U)
+_BLOCK = 1 << 16
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64 and their inverses, grown on demand."""
-    global _pow, _inv
-    if len(_pow) < n:
-        m = max(n, 1 << 16)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), U)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-        def powers(base: int) -> np.ndarray:
-            a = np.full(m, base, U)
-            a[0] = 1
-            return np.multiply.accumulate(a)
 
-        _pow, _inv = powers(_P), powers(_PINV)
-    return _pow, _inv
+_TABLES = [(base, _powers(base, _BLOCK)) for base in (_P, pow(_P, -1, 1 << 64))]
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """n powers of an odd multiplier modulo 2**64 and n of its inverse; only the first block of each is kept."""
+    return [own[:n] if n <= _BLOCK else np.multiply.outer(_powers(pow(base, _BLOCK, 1 << 64), -(-n // _BLOCK)), own).ravel()[:n] for base, own in _TABLES]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -118,3 +116,22 @@ def grams(tokens: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     doc = np.repeat(np.arange(len(count)), many)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + row[doc]
     return span_hash(tokens, at, np.minimum(at + n, row[doc + 1])), doc
+
+
+# memory of Python workers
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at the end of a task the worker, which is used again, gives back what it no longer needs."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return own

@@ -19,7 +19,8 @@ from ferrule.llm.sharding import SLOTS, lookup_table, place
 from ferrule.llm.suffix_dedup import suffix_dedup
 from ferrule.llm.topk import exact_top_k
 
-
+#: a published byte-level vocabulary of this machine; the operators take the path as a parameter
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
 
 
@@ -28,7 +29,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"))
+    return bpe_round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from ferrule.llm import bpe, chat, decontam, langid, ngram_join, pii, quality, sharding, suffix_dedup, topk
-from ferrule.llm._shared import table
+from ferrule.llm._shared import buffers, table
+from ferrule.llm.queries import RANKS
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, score double, shard string, ids string, bucket int"
@@ -37,7 +38,7 @@ def nothing(spark):
     return docs(spark, []).limit(0)
 
 
-# --------------------------------------------------------------------------- 1
+# 1
 
 
 def test_em_finds_accuracies():
@@ -72,53 +73,77 @@ def test_quality_awkward(spark, awkward, nothing):
     assert quality.quality_classifier(nothing).count() == 0
 
 
-# --------------------------------------------------------------------------- 2
+# 2
 
 
 def test_bpe_is_the_published_tokenizer(spark, awkward, nothing):
     import public_tokenizers
     import tiktoken
 
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(bpe.ranks(bpe.RANKS))}, special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(bpe.ranks(RANKS))}, special_tokens={})
     more = docs(spark, [(20, "it's  a\ttest 日本語テキスト 😀 ababababa banana aaaaaaaaaaaa " + "xyz" * 500 + " 1234567890 end  "), (21, "\n\n x\x1c\x85y  z")])
     rows = awkward.unionByName(more).unionByName(docs(spark, [(1000 + r["doc_id"], r["text"]) for r in table(spark, SF, "documents").limit(60).collect()]))
-    got = bpe.bpe_round_trip(rows).collect()
+    got = bpe.bpe_round_trip(rows, RANKS).collect()
     assert len(got) == rows.count()
     want = sorted(repr((r["doc_id"], None if r["text"] is None else enc.encode_ordinary(r["text"]), r["text"])) for r in rows.collect())
     assert sorted(repr((r["doc_id"], r["ids"], r["decoded"])) for r in got) == want
     assert all(r["n_tokens"] == (None if r["ids"] is None else len(r["ids"])) for r in got)
-    assert bpe.bpe_round_trip(nothing).count() == 0
+    assert bpe.bpe_round_trip(nothing, RANKS).count() == 0
 
 
 def test_bpe_of_many_blocks(spark, monkeypatch):
     rng = random.Random(2)
     rows = docs(spark, [(i, " ".join("".join(rng.choice("abcdetho") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice([0, 5, 200])))) for i in range(80)])
-    want = sorted((r["doc_id"], r["ids"]) for r in bpe.bpe_encode(rows).collect())
-    for tokens, known in ((60, 1 << 30), (60, 100), (1, 0)):
-        monkeypatch.setattr(bpe, "TOKENS", tokens)
-        monkeypatch.setattr(bpe, "KNOWN", known)
-        assert sorted((r["doc_id"], r["ids"]) for r in bpe.bpe_encode(rows.coalesce(1)).collect()) == want
+    want = sorted((r["doc_id"], r["ids"]) for r in bpe.bpe_encode(rows, RANKS).collect())
+    monkeypatch.setattr(bpe, "TOKENS", 60)
+    monkeypatch.setattr(bpe, "FAMILY", 3)
+    assert sorted((r["doc_id"], r["ids"]) for r in bpe.bpe_encode(rows.coalesce(1), RANKS).collect()) == want
     assert any(want[i][1] for i in range(80))
 
 
-def test_heap_merge_is_the_plain_algorithm():
+def test_words_are_those_of_the_pattern():
+    import public_tokenizers
+    import regex
+
+    rng = random.Random(4)
+    signs = ["'", "s", "t", "re", "ll", "d", "x", " ", "  ", "\n", "\t", "\x85", "\u3000", "1", "²", "é", "日", "!", "'s", "😀", "\x1c", "-"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    d, o = buffers(pa.array(texts))
+    cut = bpe.word_starts(d, o).tolist() + [len(d)]
+    got = [bytes(d[a:b]).decode() for a, b in zip(cut, cut[1:])]
+    assert got == [w for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)]
+
+
+def test_folds_are_the_plain_algorithm(spark, tmp_path, monkeypatch):
+    """A vocabulary in which pairs of one rank differ in their left token, and words folded flat and in segments."""
+    import base64
+
     rng = random.Random(3)
-    to = {a << 16 | b: 10 + k for k, (a, b) in enumerate(itertools.product(range(5), repeat=2)) if rng.random() < 0.6}
-    for a, b in [(11, 2), (12, 13), (1, 12), (14, 11)]:
-        to[a << 16 | b] = 40 + a
-    for _ in range(300):
-        word = [rng.randrange(5) for _ in range(rng.randint(1, 14))]
-        plain = list(word)
+    pieces = [bytes([b]) for b in range(256)]
+    while len(pieces) < 330:
+        new = rng.choice(pieces[97:100] + pieces[256:]) + rng.choice(pieces[97:100] + pieces[256:])
+        if new not in pieces and len(new) < 9:
+            pieces.append(new)
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(pieces)))
+    rank = {p: i for i, p in enumerate(pieces)}
+    texts = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 20, 300, 1500]))) for _ in range(60)] + ["a" * 5000]
+    monkeypatch.setattr(bpe, "SEGMENT", 4)
+
+    def plain(text):
+        word = [bytes([b]) for b in text.encode()]
         while True:
-            ranked = [(to[x << 16 | y], i) for i, (x, y) in enumerate(zip(plain, plain[1:])) if x << 16 | y in to]
+            ranked = [(rank[x + y], i) for i, (x, y) in enumerate(zip(word, word[1:])) if x + y in rank]
             if not ranked:
-                break
-            r, i = min(ranked)
-            plain[i : i + 2] = [r]
-        assert bpe.heap_merge(word, to) == plain
+                return [rank[w] for w in word]
+            i = min(ranked)[1]
+            word[i : i + 2] = [word[i] + word[i + 1]]
+
+    got = {r["doc_id"]: r["ids"] for r in bpe.bpe_encode(docs(spark, list(enumerate(texts))), str(path)).collect()}
+    assert all(got[i] == plain(t) for i, t in enumerate(texts[:-1])) and b"".join(pieces[x] for x in got[len(texts) - 1]) == texts[-1].encode()
 
 
-# --------------------------------------------------------------------------- 3
+# 3
 
 
 def test_surrogates(spark, nothing):
@@ -164,7 +189,7 @@ def test_surrogates_stay_distinct(spark):
     assert got == first
 
 
-# --------------------------------------------------------------------------- 4
+# 4
 
 
 def test_top_k_against_all_scores(spark, awkward, nothing):
@@ -195,7 +220,7 @@ def test_top_k_against_all_scores(spark, awkward, nothing):
     assert topk.exact_top_k(nothing, q).count() == 0 and topk.exact_top_k(d, q.limit(0)).count() == 0 and topk.exact_top_k(awkward, q).count() >= 0
 
 
-# --------------------------------------------------------------------------- 5
+# 5
 
 
 def test_chat(spark):
@@ -215,7 +240,7 @@ def test_chat(spark):
     assert not got and chat.chat_format(df.limit(0)).count() == 0
 
 
-# --------------------------------------------------------------------------- 6
+# 6
 
 
 def test_sharding(spark, awkward, nothing):
@@ -232,7 +257,7 @@ def test_sharding(spark, awkward, nothing):
         sharding.lookup_table(names, 2000)
 
 
-# --------------------------------------------------------------------------- 7
+# 7
 
 
 def gram_set(text, n=2):
@@ -296,7 +321,7 @@ def test_bitmaps_never_bound_too_low():
     assert (ngram_join.bound(own, a, b) >= ngram_join.jaccard(sets, a, b) - 1e-12).all()
 
 
-# --------------------------------------------------------------------------- 8
+# 8
 
 
 def test_language(spark, awkward, nothing):
@@ -332,7 +357,7 @@ def test_language_of_short_documents(spark):
     assert sum(ok) / len(ok) > 0.9
 
 
-# --------------------------------------------------------------------------- 9
+# 9
 
 
 def test_decontamination(spark, awkward, nothing):
@@ -374,7 +399,7 @@ def test_leaks_of_the_driver_tables(spark):
     assert want <= got and len(got) <= len(want) + 3
 
 
-# --------------------------------------------------------------------------- 10
+# 10
 
 
 def test_repeated_windows_against_brute_force(spark, awkward, nothing):
@@ -395,7 +420,7 @@ def test_repeated_windows_against_brute_force(spark, awkward, nothing):
     assert {r["doc_id"] for r in spans} == {4, 5, 6} and suffix_dedup.suffix_dedup(nothing, 30).count() == 0
 
 
-# --------------------------------------------------------------------------- pipeline and contract
+# pipeline and contract
 
 
 def test_pipeline(spark, tmp_path):
