@@ -18,6 +18,7 @@ from ferrule.llm.decontam import without_benchmark
 from ferrule.llm.langid import language_dictionaries, without_unsure
 from ferrule.llm.ngram_join import one_of_each_group
 from ferrule.llm.pii import surrogates
+from ferrule.llm.queries import RANKS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text decoded from them."""
-    return bpe_round_trip(docs)
+    return bpe_round_trip(docs, RANKS)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontaminated), ("PII", anonymous), ("BPE", tokens)]
