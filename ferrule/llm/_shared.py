@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from ferrule.storage import free, shared_dir, stored, table
 
-__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "free", "grams", "mix", "released", "shared_dir", "span_hash", "spans", "stored", "table", "words"]
+__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "free", "grams", "mix", "released", "shared_dir", "span_hash", "spans", "stored", "table", "trim", "words"]
 
 # numpy text kernels
 
@@ -121,17 +121,22 @@ def grams(tokens: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 # memory of Python workers
 
 
+def trim() -> None:
+    """Give back what a Python worker no longer needs; it's used again for other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow; at the end of a task the worker, which is used again, gives back what it no longer needs."""
+    """``run`` for mapInArrow, with a trim at the end of a task."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            trim()
 
     return own

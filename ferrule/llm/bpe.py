@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import buffers, chunks, released, shared_dir, span_hash
+from ferrule.llm._shared import buffers, chunks, released, shared_dir, span_hash, trim
 
-TOKENS = 6_000_000  # words of a block, about; one longer document is a block by itself
+TOKENS = 4_000_000  # words of a block, about; one longer document is a block by itself
 FAMILY = 512
 SLICES = 1024
-ENTRIES = 200_000  # words of blocks that meet in one call
+ENTRIES = 100_000  # words of blocks that meet in one call
 SEGMENT = 64
 _PAD = (1 << 16) - 1  # stands before and after a word and merges with nothing
 _NONE = 1 << 32
@@ -269,17 +269,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(block: int) -> pa.RecordBatch:
         size = np.cumsum([0, *(len(h[3]) for h in held)])
         starts = np.concatenate([h[4] + x for h, x in zip(held, size)] + [size[-1:]])
-        coded = _binary(np.concatenate([h[3] for h in held]), starts).dictionary_encode()
+        texts = np.concatenate([h[3] for h in held])
+        held[:] = [h[:3] for h in held]
+        coded = _binary(texts, starts).dictionary_encode()
+        del texts, starts
         at = coded.indices.to_numpy()
         often = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")  # frequent words have small places
-        place = np.empty(len(often), np.int64)
+        place = np.empty(len(often), np.uint32)
         place[often] = np.arange(len(often))
         data, of = _parts(coded.dictionary.take(pa.array(often)))
         which = (span_hash(data, of[:-1], of[1:]) % np.uint64(SLICES)).astype(np.int64)
         at = place[at]
-        body = [small.compress(x.astype(np.uint16).tobytes()) for x in (at & 0xFFFF, at >> 16)]
+        body = [small.compress(np.ascontiguousarray(x).tobytes()) for x in at.view(np.uint8).reshape(-1, 4).T]
         null = np.concatenate([h[1] for h in held])
-        out = [[block, -1, len(at), np.concatenate([h[0] for h in held]).tobytes() + null.tobytes(), np.concatenate([h[2] for h in held]).astype(np.int32).tobytes(), len(body[0]).to_bytes(4, "little") + b"".join(body), small.compress(which.astype(np.uint16).tobytes()), None]]
+        out = [[block, -1, len(at), np.concatenate([h[0] for h in held]).tobytes() + null.tobytes(), np.concatenate([h[2] for h in held]).astype(np.int32).tobytes(), b"".join(len(x).to_bytes(4, "little") + x for x in body), small.compress(which.astype(np.uint16).tobytes()), None]]
         by = np.argsort(which, kind="stable")
         data, ends = _spread(by, of, data)
         cut = np.searchsorted(which[by], np.arange(SLICES + 1))
@@ -297,7 +300,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and n + len(starts) > TOKENS:
                 yield rows(part << 24 | seq)
                 held, n, seq = [], 0, seq + 1
-            held.append((ids[i:j], null[i:j], np.diff(np.searchsorted(starts, o)), d.copy(), starts))
+            held.append((ids[i:j], null[i:j], np.diff(np.searchsorted(starts, o)), d.copy(), starts.astype(np.int32)))
             n += len(starts)
     if held:
         yield rows(part << 24 | seq)
@@ -330,6 +333,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
         cuts = list(range(0, len(lists), 20_000))
         rows = [lists.slice(i, 20_000) for i in cuts]
         words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.concat_arrays(rows))
+        trim()
         return pa.table({"asked": pa.array([None] * (len(cuts) - 1) + [len(many).to_bytes(4, "little") + fan], pa.binary()), "words": words})
 
     def fanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +369,12 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
         values, of = np.frombuffer(data, np.uint16), np.concatenate(([0], np.cumsum(sizes)))
         where = np.empty(len(by), np.int64)
         where[by] = np.arange(len(by))
-        m = int.from_bytes(own["places"][:4], "little")
-        places = np.frombuffer(plain.decompress(own["places"][4 : 4 + m]), np.uint16).astype(np.uint32) | np.frombuffer(plain.decompress(own["places"][4 + m :]), np.uint16).astype(np.uint32) << 16
         count = np.frombuffer(own["counts"], np.int32)
+        places, rest = np.zeros((int(count.sum(dtype=np.int64)), 4), np.uint8), own["places"]
+        for byte_of in range(4):
+            m = 4 + int.from_bytes(rest[:4], "little")
+            places[:, byte_of], rest = np.frombuffer(plain.decompress(rest[4:m]), np.uint8), rest[m:]
+        places = places.view(np.uint32).ravel()
         n = len(count)
         doc_ids, null = np.frombuffer(own["ids"], np.int64, n), np.frombuffer(own["ids"], np.uint8, n, 8 * n)
         at = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
@@ -378,6 +385,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
             lists = pa.ListArray.from_arrays(pa.array(end[at[i : j + 1] - at[i]].astype(np.int32), mask=np.append(null[i:j] & 2 > 0, False)), pa.array(tokens.astype(np.int32)))
             batches.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], mask=null[i:j] & 1 > 0), lists], schema=out))
             i = j
+        trim()
         return pa.Table.from_batches(batches, out)
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(_blocks), _BLOCK)

@@ -5,10 +5,15 @@ Jaccard similarity is at least t must share l grams among the first |x| - ceil(t
 picks the l whose posting and verification cost, estimated from the sketch, is least. A pair is a candidate when it shares
 min(l_a, l_b) prefix grams, and every candidate is verified on the whole sets, so the result is exact.
 
+Documents with equal sets are one class and meet others once. Postings meet by gram; what they leave are the lists of the
+classes that share a gram, which move on to a place named by the smallest of them. The grams of a group of near copies have
+nearly the same lists, so its pairs are counted at a few places and not once for each gram. Verification sends sets to
+places too, and leaves for each document how many it is linked to and one of its group: pairs themselves are never a result.
+
 Defined results: a null or empty text has no grams and is similar to nothing; a text of 1 to n-1 words has one gram, all of
-it; documents with equal sets form one class (jaccard 1); columns other than the id and text are ignored; an empty table
-gives no rows; a null id gives no row; repeated rows of one id are one document, and one with several texts is as similar to
-another as the most similar of them.
+it; documents with equal sets are similar (jaccard 1); columns other than the id and text are ignored; an empty table
+gives no rows; a null id gives no row; repeated rows of one id and text are one document; the texts of an id with several are
+documents of their own (under a 64-bit hash of id and text).
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm._bloom import bloom, bloom_size, in_bloom
-from ferrule.llm._shared import U, buffers, chunks, grams, mix, stored, words
+from ferrule.llm._shared import U, buffers, chunks, free, grams, mix, released, stored, words
 
 BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size of the corpus
 SLICE = 1 << 16
 _CLASS = "doc_id long, hi long, lo long, size int"
+LIST = 4096  # classes of a list that meet at one place; a longer one is cut, and its parts meet in pairs
+PLACE = 500_000  # pairs verified at one place
 
 
 def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -49,10 +56,6 @@ def _small(rows: np.ndarray) -> np.ndarray:
     return rows.astype(np.uint16) if not len(rows) or rows[-1] < 1 << 16 else rows
 
 
-def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text")).where("doc_id is not null")
-
-
 def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
     """One scan of the corpus: how many documents have a gram of each bucket (2**BITS counters, however large the corpus)
     and a signature of each document's set, two independent 64-bit sums and its size."""
@@ -88,7 +91,7 @@ def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
                 own = np.frombuffer(x, _SIGN)
                 yield pa.RecordBatch.from_arrays([pa.array(own[c]) for c in ("id", "hi", "lo", "size")], ["doc_id", "hi", "lo", "size"])
 
-    seen = stored(docs.mapInArrow(survey, "slice int, body binary"), "survey")
+    seen = stored(docs.mapInArrow(released(survey), "slice int, body binary"), "survey")
     out = np.zeros(1 << BITS, np.uint64)
     for r in seen.where("slice >= 0").groupBy("slice").applyInArrow(add, "slice int, body binary").collect():
         out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.body, np.uint64)
@@ -144,12 +147,12 @@ def choose(g: np.ndarray, at: np.ndarray, level: np.ndarray, cost: np.ndarray, t
     return g, ell, np.where(size > 0, np.minimum(size - need + ell, size), 0)
 
 
-def jaccard_classes(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text: str = "text", doc_id: str = "doc_id", most_matches: int = 8, verify_cost: float = 4.0) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): classes(rep, members, size) of documents with equal gram sets, rep the smallest id; pairs(doc_a,
-    doc_b, jaccard) of reps, doc_a < doc_b, with threshold <= jaccard < 1."""
-    spark = docs.sparkSession
-    base = _texts(docs, text, doc_id)
-    t, eps = float(threshold), 1e-9
+def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, verify_cost: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """base(doc_id, text) of distinct documents: their signatures, classes(hi, lo, size, rep, members), rep the smallest id of those with one gram set
+    and members how many they are, and links(rep, links, other): for each class that is similar to another, how many
+    documents of other classes it is similar to and, in one row or several, a class of its group."""
+    spark = base.sparkSession
+    t = float(threshold)
     counts, signed = surveyed(base, n)
     level, cost = levels(counts)
     # one bucket a million postings, so that a bucket fits a Python worker at any size of the corpus
@@ -163,9 +166,10 @@ def jaccard_classes(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text
         n_docs = n_post = 0
 
         def flush() -> pa.RecordBatch:
-            doc = np.concatenate([h[0] for h in held])
-            tok = np.concatenate([h[1] for h in held])
-            info = np.concatenate(ids)
+            doc, tok, info = (np.concatenate(x) for x in (*zip(*held), ids))
+            first = _heads(info)[1]  # of documents with equal sets only the one with the smallest id goes on
+            own = first[doc]
+            doc, tok = doc[own], tok[own]
             which = (tok % U(buckets)).astype(np.int32)
             tok = ((tok // U(buckets)) & U(0xFFFFFFFF)).astype(np.uint32)
             by = np.argsort(which, kind="stable")
@@ -176,7 +180,7 @@ def jaccard_classes(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text
                 used, local = np.unique(doc[own], return_inverse=True)
                 rows["bucket"].append(int(b))
                 rows["docs"].append(info[used].tobytes())
-                rows["doc"].append(local.astype(np.uint16).tobytes())
+                rows["doc"].append(_pack(local))
                 rows["tok"].append(tok[own].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("docs", "doc", "tok"))], list(rows))
 
@@ -194,10 +198,6 @@ def jaccard_classes(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text
                 info["id"], info["sig"], info["size"], info["ell"] = all_ids[i : i + m], sig, np.diff(at), ell
                 doc = np.repeat(np.arange(m), keep)
                 pos = np.arange(len(doc)) - np.repeat(np.cumsum(keep) - keep, keep) + at[:-1][doc]
-                if n_docs + m > 65_000 and held:
-                    yield flush()
-                    held.clear(), ids.clear()
-                    n_docs = n_post = 0
                 held.append((doc + n_docs, g[pos]))
                 ids.append(info)
                 n_docs, n_post = n_docs + m, n_post + len(doc)
@@ -209,58 +209,131 @@ def jaccard_classes(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text
             yield flush()
 
     def meet(part: pa.Table) -> pa.Table:
-        info = np.concatenate([np.frombuffer(x, _INFO) for x in part.column("docs").to_pylist()])
-        base = np.cumsum([0, *(len(x) // _INFO.itemsize for x in part.column("docs").to_pylist())])
-        doc = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
+        docs = [np.frombuffer(x, _INFO) for x in part.column("docs").to_pylist()]
+        base = np.cumsum([0, *map(len, docs)])
+        doc = np.concatenate([_unpack(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
         tok = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("tok").to_pylist()])
-        a, b, c, need = shared(info, doc, tok, t)
-        return pa.table({"doc_a": a, "doc_b": b, "n": c, "need": need}, pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("n", pa.int32()), ("need", pa.int32())]))
+        return pa.Table.from_pylist(list(shared_lists(np.concatenate(docs), doc, tok, buckets)), _LISTS)
+
+    def count(part: pa.Table) -> pa.Table:
+        return shared_pairs(part, t)
 
-    met = base.mapInArrow(prefixes, "bucket int, docs binary, doc binary, tok binary").repartition(min(buckets, 1 << 15), "bucket").groupBy("bucket").applyInArrow(meet, "doc_a long, doc_b long, n int, need int")
-    candidates = stored(met.groupBy("doc_a", "doc_b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need and doc_a <> doc_b").select("doc_a", "doc_b"), "candidates")
-    pairs = stored(verified(base, candidates, n, t - eps), "pairs")
-    return classes(signed), pairs
+    met = base.mapInArrow(released(prefixes), "bucket int, docs binary, doc binary, tok binary").repartition(min(buckets, 1 << 15), "bucket").groupBy("bucket").applyInArrow(meet, "place int, docs binary, many binary, parted binary, doc binary")
+    met = met.repartition(min(buckets, 1 << 15), "place").groupBy("place").applyInArrow(count, "doc_a long, doc_b long, n int, need int, root long")
+    candidates = met.groupBy("doc_a", "doc_b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("root").alias("root")).where("n >= need and doc_a <> doc_b").select("doc_a", "doc_b", "root")
+    classes = stored(signed.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    return signed, classes, verified(base, stored(candidates, "candidates"), classes, n, t - 1e-9)
 
 
 _INFO = np.dtype([("id", "<i8"), ("sig", "<u8"), ("size", "<i4"), ("ell", "u1")])
+_CLASS_INFO = np.dtype([("id", "<i8"), ("size", "<i4"), ("ell", "u1")])
+_LISTS = pa.schema([("place", pa.int32()), ("docs", pa.binary()), ("many", pa.binary()), ("parted", pa.binary()), ("doc", pa.binary())])
+_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("root", pa.int64())])
 
 
-def shared(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """Pairs of classes that share prefix grams in one bucket, how many, and how many they must share in all buckets.
-    Documents with equal sets are one class here, that of the smallest id, so copies never multiply the pairs."""
+def _heads(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each document, numbered by size, and which documents stand for their class: of equal sets the smallest id."""
     order = np.lexsort((info["id"], info["sig"], info["size"]))
     s = info[order]
     new = np.ones(len(s), bool)
     new[1:] = (s["sig"][1:] != s["sig"][:-1]) | (s["size"][1:] != s["size"][:-1])
-    cls = np.empty(len(s), np.int64)
-    cls[order] = np.cumsum(new) - 1  # ascending by size
-    head = s[new]
-    last = np.searchsorted(head["size"], np.floor(head["size"] / t + 1e-6), "right") - 1
-    key = (tok.astype(U) << U(32)) | cls[doc].astype(U)
+    cls, first = np.empty(len(s), np.int64), np.zeros(len(s), bool)
+    cls[order] = np.cumsum(new) - 1
+    first[order[new]] = True
+    return cls, first
+
+
+def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int) -> Iterator[dict]:
+    """The lists of the classes that share a gram, by place: a hash of the smallest id of the list.
+
+    Classes stand in the order of their size within a list. A list of more than ``LIST`` is cut: each part is a list, and so
+    are two parts together, in which only classes of different parts meet (parted: where the second begins, else 0)."""
+    cls, first = _heads(info)
+    own = first[doc]
+    key = tok[own].astype(U) << U(32) | cls[doc[own]].astype(U)
     key.sort()
-    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     c = (key & U(0xFFFFFFFF)).astype(np.int64)
-    end = np.searchsorted(key, (key & ~U(0xFFFFFFFF)) | last[c].astype(U), "right")
-    many = end - np.arange(len(key)) - 1
+    head = info[first]
+    head = head[np.argsort(cls[first])]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] >> U(32) != key[:-1] >> U(32)))) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(begin, len(key)))
+    begin, many = begin[many > 1], many[many > 1]
+    if not len(begin):
+        return
+    pieces = [(b, m, 0, 0) for b, m in zip(begin[many > LIST].tolist(), many[many > LIST].tolist())]
+    parts = [(b + x, min(LIST, m - x), b + y if y > x else 0, min(LIST, m - y) if y > x else 0) for b, m, *_ in pieces for x in range(0, m, LIST) for y in range(x, m, LIST)]
+    short = many <= LIST
+    at = np.concatenate((np.stack((begin[short], many[short], 0 * begin[short], 0 * begin[short]), 1), np.array(parts, np.int64).reshape(-1, 4)))
+    total = at[:, 1] + at[:, 3]
+    lead = np.cumsum(total) - total
+    place_of = np.arange(total.sum()) - np.repeat(lead, total)
+    rows = np.repeat(at, total, axis=0)
+    c = c[np.where(place_of < rows[:, 1], rows[:, 0] + place_of, rows[:, 2] + place_of - rows[:, 1])]
+    least = np.minimum.reduceat(head["id"][c], lead)
+    place = (mix(least.view(U) ^ (at[:, 2].astype(U) << U(40))) % U(places)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    cut = np.searchsorted(place[order], np.arange(places + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        lists = order[cut[p] : cut[p + 1]]
+        size = total[lists]
+        used, local = np.unique(c[np.repeat(lead[lists] - (np.cumsum(size) - size), size) + np.arange(size.sum())], return_inverse=True)
+        docs = np.zeros(len(used), _CLASS_INFO)
+        for f in _CLASS_INFO.names:
+            docs[f] = head[f][used]
+        yield {"place": int(p), "docs": docs.tobytes(), "many": _pack(size), "parted": _pack(np.where(at[lists, 3] > 0, at[lists, 1], 0)), "doc": _pack(local)}
+
+
+def shared_pairs(part: pa.Table, t: float) -> pa.Table:
+    """Pairs of classes that share lists of one place, how many, how many they must share in all, and the smallest id that
+    the first of them shares a list with here."""
+    docs = [np.frombuffer(x, _CLASS_INFO) for x in part.column("docs").to_pylist()]
+    many, parted = (np.concatenate([_unpack(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
+    base = np.cumsum([0, *map(len, docs)])
+    doc = np.concatenate([_unpack(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
+    info = np.concatenate(docs)
+    order = np.lexsort((info["id"], info["size"]))
+    new = np.ones(len(order), bool)
+    new[1:] = info["id"][order][1:] != info["id"][order][:-1]
+    cls = np.empty(len(order), np.int64)
+    cls[order] = np.cumsum(new) - 1
+    head = info[order[new]]
+    c = cls[doc]
+    end_of = np.cumsum(many)
+    begin = end_of - many
+    root = np.full(len(head), np.iinfo(np.int64).max)
+    np.minimum.at(root, c, np.repeat(np.minimum.reduceat(head["id"][c], begin), many))
+    last = np.searchsorted(head["size"], np.floor(head["size"] / t + 1e-6), "right") - 1
+    number = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(c))
+    # in a list of two parts a class of the first meets those of the second, in any other those after it; sizes ascend in each part
+    start = np.where(parted[number] > 0, (begin + parted)[number], at + 1)
+    # the order of classes here isn't that of the list among equal sizes, so partners end by size
+    upto = head["size"][last[c]]
+    sizes = number * (1 << 32) + head["size"][c]
+    second = at >= (begin + parted)[number]
+    sizes += np.where((parted[number] > 0) & second, 1 << 31, 0)
+    end = np.searchsorted(sizes, number * (1 << 32) + upto + np.where(parted[number] > 0, 1 << 31, 0), "right")
+    count = np.where((parted[number] > 0) & second, 0, np.maximum(end - start, 0))
+    some = np.flatnonzero(count > 0)
+    cum = np.concatenate(([0], np.cumsum(count[some])))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    at = np.flatnonzero(many > 0)
-    cum = np.concatenate(([0], np.cumsum(many[at])))
     i = 0
-    while i < len(at):
+    while i < len(some):
         j = max(int(np.searchsorted(cum, cum[i] + 2_000_000, "right")) - 1, i + 1)
-        own, m = at[i:j], many[at[i:j]]
+        own, m = some[i:j], count[some[i:j]]
         left = np.repeat(own, m)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-        found.append(np.unique((c[left].astype(U) << U(32)) | c[right].astype(U), return_counts=True))
+        right = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(len(left))
+        x, y = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
+        found.append(np.unique((x.astype(U) << U(32)) | y.astype(U), return_counts=True))
         if len(found) > 8:
             found = [_sum(found)]
         i = j
     if not found:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.int32), z.astype(np.int32)
+        return _PAIRS.empty_table()
     k, n = _sum(found)
-    a, b = head[(k >> U(32)).astype(np.int64)], head[(k & U(0xFFFFFFFF)).astype(np.int64)]
-    return np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), n.astype(np.int32), np.minimum(a["ell"], b["ell"]).astype(np.int32)
+    x, y = (k >> U(32)).astype(np.int64), (k & U(0xFFFFFFFF)).astype(np.int64)
+    a, b = head[x], head[y]
+    return pa.table([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), n.astype(np.int32), np.minimum(a["ell"], b["ell"]).astype(np.int32), np.minimum(root[x], root[y])], schema=_PAIRS)
 
 
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,31 +341,48 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return k, np.bincount(back, np.concatenate([p[1] for p in parts]), len(k)).astype(np.int64)
 
 
-def classes(signed: DataFrame) -> DataFrame:
-    """Documents with equal gram sets: rep, members (sorted), size."""
-    return signed.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("members")).select("rep", "members", "size")
-
-
-def verified(base: DataFrame, candidates: DataFrame, n: int, least: float) -> DataFrame:
-    """Jaccard of each candidate pair from the whole gram sets, those of at least ``least``.
+def verified(base: DataFrame, candidates: DataFrame, classes: DataFrame, n: int, least: float) -> DataFrame:
+    """links(rep, links, other) from the candidates(doc_a, doc_b, root), whose Jaccard similarity must be at least ``least``.
 
     First by bitmaps of some two bits a gram, each the parity of the grams of its bucket: two sets differ by no less than
-    their bitmaps do, which bounds their similarity from above. Only the sets of pairs that pass are sent whole."""
-    likely = stored(_compared(base, candidates, n, bitmaps, bound).where(F.col("jaccard") >= least).select("doc_a", "doc_b"), "likely")
+    their bitmaps do, which bounds their similarity from above. Only the sets of pairs that pass are sent whole. Pairs meet
+    at their root, so the members of a tight group send their sets to one place once and not once a pair; a place with many
+    pairs is split."""
+    heavy = candidates.groupBy("root").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("parts")).where("parts > 1")
+    placed = candidates.join(heavy, "root", "left").select("root", F.coalesce(F.pmod(F.xxhash64("doc_a"), "parts"), F.lit(0)).cast("int").alias("part"), "doc_a", "doc_b")
+
+    def likely(own: list[bytes], a: np.ndarray, b: np.ndarray, _: np.ndarray, pairs: pa.Table) -> pa.Table:
+        return pairs.filter(pa.array(bound(own, a, b) >= least))
+
+    def linked(own: list[bytes], a: np.ndarray, b: np.ndarray, members: np.ndarray, pairs: pa.Table) -> pa.Table:
+        ok = jaccard([np.frombuffer(x, U) for x in own], a, b) >= least
+        a, b = a[ok], b[ok]
+        group, before = np.arange(len(own)), None
+        while before is None or (group != before).any():
+            before = group.copy()
+            low = np.minimum(group[a], group[b])
+            np.minimum.at(group, a, low)
+            np.minimum.at(group, b, low)
+            group = group[group]
+        links = np.bincount(a, members[b], len(own)) + np.bincount(b, members[a], len(own))
+        some = np.flatnonzero(links > 0)
+        ids = np.zeros(len(own), np.int64)
+        ids[a], ids[b] = pairs.column("doc_a").to_numpy()[ok], pairs.column("doc_b").to_numpy()[ok]
+        return pa.table([ids[some], links[some].astype(np.int64), ids[group[some]]], schema=_LINKS)
+
+    first = stored(_compared(base, placed, classes, n, bitmaps, likely, "root long, part int, doc_a long, doc_b long"), "likely")
+    free(candidates)
     whole = lambda g, at: [g[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-    return _compared(base, likely, n, whole, lambda own, a, b: jaccard([np.frombuffer(x, U) for x in own], a, b)).where((F.col("jaccard") >= least) & (F.col("jaccard") < 1))
+    out = stored(_compared(base, first, classes, n, whole, linked, "rep long, links long, other long"), "links")
+    free(first)
+    return out
 
 
-def _compared(base: DataFrame, candidates: DataFrame, n: int, packed: Callable, similarity: Callable) -> DataFrame:
-    """doc_a, doc_b, jaccard of each pair by ``similarity`` of what ``packed`` makes of their gram sets.
+_LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
-    Pairs meet at the smallest neighbour of their first document, so the members of a tight group send their sets to one
-    place once and not once a pair; a place with many pairs is split."""
-    both = candidates.select(F.col("doc_a").alias("id"), F.col("doc_b").alias("other")).unionByName(candidates.select(F.col("doc_b").alias("id"), F.col("doc_a").alias("other")))
-    root = both.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("root"))
-    placed = candidates.join(root, candidates.doc_a == root.id).select("doc_a", "doc_b", "root")
-    load = placed.groupBy("root").agg(F.ceil(F.count("*") / 200_000).cast("int").alias("parts"))
-    placed = stored(placed.join(load, "root").withColumn("part", F.pmod(F.xxhash64("doc_a"), "parts").cast("int")).select("root", "part", "doc_a", "doc_b"), "placed")
+
+def _compared(base: DataFrame, placed: DataFrame, classes: DataFrame, n: int, packed: Callable, judged: Callable, schema: str) -> DataFrame:
+    """What ``judged`` makes of the pairs of each place, given what ``packed`` makes of the gram sets."""
     wanted = stored(placed.select("root", "part", F.col("doc_a").alias("doc_id")).unionByName(placed.select("root", "part", F.col("doc_b").alias("doc_id"))).distinct(), "wanted")
     ids = wanted.select("doc_id").distinct()
     filt = base.sparkSession.sparkContext.broadcast(bloom(ids, "doc_id", bloom_size(ids.count())))
@@ -306,22 +396,15 @@ def _compared(base: DataFrame, candidates: DataFrame, n: int, packed: Callable,
                 yield pa.RecordBatch.from_arrays([ids, pa.array(packed(g, at), pa.binary())], ["doc_id", "grams"])
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
-        versions: dict[int, list[int]] = {}
-        for i, x in enumerate(left.column("doc_id").to_pylist()):
-            versions.setdefault(x, []).append(i)
-        own = left.column("grams").to_pylist()
-        ids = list(zip(right.column("doc_a").to_pylist(), right.column("doc_b").to_pylist()))
-        many = [(i, x, y) for i, (a, b) in enumerate(ids) for x in versions.get(a, ()) for y in versions.get(b, ())]
-        if not many:
-            return out.empty_table()
-        pair, a, b = np.array(many).T
-        j = np.zeros(len(ids))
-        np.maximum.at(j, pair, similarity(own, a, b))
-        return pa.table({"doc_a": right.column("doc_a"), "doc_b": right.column("doc_b"), "jaccard": pa.array(j)}, out)
-
-    sent = wanted.join(base.mapInArrow(emit, "doc_id long, grams binary"), "doc_id").select(F.col("root").alias("place"), F.col("part").alias("piece"), "doc_id", "grams")
-    return sent.groupBy("place", "piece").cogroup(placed.groupBy("root", "part")).applyInArrow(check, "doc_a long, doc_b long, jaccard double")
+        ids = left.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, right.column(c).to_numpy(), sorter=order)] for c in ("doc_a", "doc_b"))
+        return judged(left.column("grams").to_pylist(), a, b, left.column("members").to_numpy(), right)
+
+    several = classes.where("members > 1").select(F.col("rep").alias("doc_id"), "members")
+    wanted = wanted.join(several, "doc_id", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    sent = wanted.join(base.mapInArrow(released(emit), "doc_id long, grams binary"), "doc_id").select(F.col("root").alias("place"), F.col("part").alias("piece"), "doc_id", "members", "grams")
+    return sent.groupBy("place", "piece").cogroup(placed.select("root", "part", "doc_a", "doc_b").groupBy("root", "part")).applyInArrow(check, schema)
 
 
 def bitmaps(g: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -376,56 +459,69 @@ def jaccard(own: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / (size[a] + size[b] - out)
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 2, threshold: float = 0.6, **how) -> DataFrame:
-    """All similar documents, one row for each class of equal gram sets with several members (jaccard 1) and one for each
-    pair of classes with jaccard >= threshold: doc_a and doc_b (the smallest id of each class; in a class of equal sets its
-    two smallest), jaccard, and doc_ids, every document of the row, sorted. Two documents are similar exactly when some row
-    has both and they aren't in the same class of another similarity; rows grow with classes, not with copies squared."""
-    cls, pairs = jaccard_classes(docs, n, threshold, **how)
-    cls = stored(cls.where(F.size("members") > 1).select("rep", "members"), "classes")
-    same = cls.select(F.col("rep").alias("doc_a"), F.element_at("members", 2).alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("members").alias("doc_ids"))
-    a, b = (cls.select(F.col("rep").alias(f"doc_{x}"), F.col("members").alias(f"in_{x}")) for x in "ab")
-    other = pairs.join(a, "doc_a", "left").join(b, "doc_b", "left")
-    ids = F.sort_array(F.concat(F.coalesce("in_a", F.array("doc_a")), F.coalesce("in_b", F.array("doc_b"))))
-    return same.unionByName(other.select("doc_a", "doc_b", "jaccard", ids.alias("doc_ids"))).withColumn("jaccard", F.round("jaccard", 6))
+def _documents(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, names): ``docs`` with a column __node, null where the id is, that tells documents apart: the id or, for an id of several
+    texts, a hash of id and text; and the names(id, of) of such nodes."""
+    key = F.col(f"`{doc_id}`").cast("long")
+    own = docs.where(key.isNotNull()).select(key.alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("h")).groupBy("__id")
+    often = stored(own.agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("__id", (F.col("lo") != F.col("hi")).alias("__several")), "often")
+    marked = docs.withColumn("__id", key).join(often, "__id", "left")
+    marked = marked.withColumn("__node", F.when(F.col("__several"), F.xxhash64("__id", F.col(f"`{text}`"))).otherwise(F.col("__id"))).drop("__id")
+    names = marked.where("__several").select(F.col("__node").alias("id"), F.col(f"`{doc_id}`").cast("long").alias("of")).distinct()
+    return marked, stored(names, "names")
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, text: str, doc_id: str, **how) -> tuple[DataFrame, DataFrame]:
+    """(marked, nodes): ``docs`` with their nodes, and nodes(id, of, root, n_links, n_copies) of the documents similar to any other."""
+    marked, names = _documents(docs, text, doc_id)
+    # repeated rows are told apart by nothing that matters here
+    base = marked.where("__node is not null").select(F.col("__node").alias("doc_id"), F.lower(F.col(f"`{text}`").cast("string")).alias("text"), "__several")
+    base = base.where("__several is null").unionByName(base.where("__several is not null").dropDuplicates(["doc_id"])).drop("__several")
+    signed, classes, links = similar(base, n, threshold, **how)
+    near = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    groups = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    own = classes.join(near, "rep", "left").join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").where("members > 1 or links is not null")
+    own = own.select("hi", "lo", "size", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), (F.col("members") - 1).alias("n_copies"))
+    nodes = signed.join(own, ["hi", "lo", "size"]).select(F.col("doc_id").alias("id"), "root", "n_links", "n_copies").join(names, "id", "left")
+    nodes = stored(nodes.select("id", F.coalesce("of", "id").alias("of"), "root", "n_links", "n_copies"), "nodes")
+    return marked, nodes
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """A row for each document that is similar to any other: doc_id, class_id (of the group of documents linked by
+    similarity, the smallest id), n_links (the documents it is similar to, of which every pair is verified) and n_copies (those of the same gram
+    set). A document similar to no other has no row. Rows grow with documents, however many pairs their groups have."""
+    _, nodes = _linked(docs, n, threshold, text, doc_id, **how)
+    name = nodes.groupBy("root").agg(F.min("of").alias("class_id"))
+    return nodes.join(name, "root").select(F.col("of").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): (id, root), root the smallest id reached. Each round takes the smallest label
     among the neighbours and then the label of that label, so the rounds grow with the logarithm of the diameter."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    step = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("new")).withColumn("old", F.lit(None).cast("long")), "labels")
     for _ in range(most_rounds):
+        label = step.select("id", F.col("new").alias("root"))
         near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         hop = label.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        step = label.join(near, "id").join(hop, "root", "left").select("id", F.least("root", "other", "up").alias("new"), F.col("root").alias("old"))
-        step = stored(step, "labels")
-        label = step.select("id", F.col("new").alias("root"))
+        after = stored(label.join(near, "id").join(hop, "root", "left").select("id", F.least("root", "other", "up").alias("new"), F.col("root").alias("old")), "labels")
+        free(step)
+        step = after
         if step.where("new <> old").isEmpty():
-            return label
+            free(both)
+            return step.select("id", F.col("new").alias("root"))
     raise RuntimeError("components didn't settle")
 
 
-def one_of_each_group(docs: DataFrame, n: int = 2, threshold: float = 0.6, **how) -> DataFrame:
+def one_of_each_group(docs: DataFrame, n: int = 2, threshold: float = 0.6, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` without near copies: of each group of documents linked by similarity the one with the smallest id stays.
     Rows with a null id and rows similar to nothing stay; of repeated rows of one id and text one stays; the texts of an id
     with several are judged each for itself, as documents of their own (under a 64-bit hash of id and text)."""
-    own = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id")
-    often = stored(own.agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select(F.col("doc_id").alias("__id"), (F.col("lo") != F.col("hi")).alias("__several")), "often")
-    marked = docs.join(often, docs["doc_id"] == often["__id"], "left").drop("__id")
-    marked = marked.withColumn("__node", F.when(F.col("__several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
-    names = marked.where("__several").select(F.col("__node").alias("id"), F.col("doc_id").alias("of")).distinct()
-
-    cls, pairs = jaccard_classes(marked, n, threshold, doc_id="__node", **how)
-    cls = stored(cls.where(F.size("members") > 1).select("rep", "members"), "classes")
-    groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    nodes = cls.select(F.explode("members").alias("id"), "rep").unionByName(groups.select("id", F.col("id").alias("rep"))).distinct()
-    # a rep is in both parts, a copy in the first only
-    nodes = nodes.join(groups.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    nodes = stored(nodes.join(names, "id", "left").select("root", F.struct(F.coalesce("of", "id").alias("of"), "id").alias("who")), "nodes")
-    first = nodes.groupBy("root").agg(F.min("who").alias("first"))
-    gone = stored(nodes.join(first, "root").where("who <> first").select(F.col("who.id").alias("gone")), "gone")
-
-    kept = marked.join(gone, marked["__node"] == gone["gone"], "left_anti").drop("__node")
+    marked, nodes = _linked(docs, n, threshold, text, doc_id, **how)
+    who = nodes.select("root", F.struct("of", "id").alias("who"))
+    first = who.groupBy("root").agg(F.min("who").alias("first"))
+    gone = stored(who.join(first, "root").where("who <> first").select(F.col("who.id").alias("__gone")).distinct(), "gone")
+    kept = marked.join(gone, marked["__node"] == gone["__gone"], "left_anti").drop("__node")
     once = kept.where("__several is null").drop("__several")
-    return once.unionByName(kept.where("__several is not null").drop("__several").dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(kept.where("__several is not null").drop("__several").dropDuplicates([doc_id, text]))

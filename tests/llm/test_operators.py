@@ -265,7 +265,7 @@ def gram_set(text, n=2):
     return frozenset(tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
 
 
-def test_ngram_join_against_all_pairs(spark, awkward, nothing):
+def test_ngram_join_against_all_pairs(spark, awkward, nothing, monkeypatch):
     rng = random.Random(7)
     rows = []
     for g in range(25):
@@ -277,13 +277,6 @@ def test_ngram_join_against_all_pairs(spark, awkward, nothing):
     d = docs(spark, rows).repartition(3)
     sets = {i: gram_set(t) for i, t in rows if i is not None and gram_set(t)}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 - 1e-9}
-    got = set()
-    for r in ngram_join.ngram_jaccard_join(d).collect():
-        if r["jaccard"] == 1.0:
-            got |= set(itertools.combinations(r["doc_ids"], 2))
-        else:
-            got |= {tuple(sorted((a, b))) for a in r["doc_ids"] for b in r["doc_ids"] if a < b and sets[a] != sets[b]}
-    assert got == want
     kept = {r["doc_id"] for r in ngram_join.one_of_each_group(d).collect()}
     root = {i: i for i in sets}
 
@@ -295,8 +288,16 @@ def test_ngram_join_against_all_pairs(spark, awkward, nothing):
     for a, b in want:
         x, y = sorted((find(a), find(b)))
         root[y] = x
+    links = {i: [a + b - i for a, b in want if i in (a, b)] for i in sets}
+    rows = sorted((i, find(i), len(own), sum(sets[x] == sets[i] for x in own)) for i, own in links.items() if own)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(d).collect())) == rows
+    monkeypatch.setattr(ngram_join, "LIST", 3)
+    monkeypatch.setattr(ngram_join, "PLACE", 5)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(d.coalesce(1)).collect())) == rows
     assert kept == {i for i in sets if find(i) == i} | {500, 501, None}
-    assert ngram_join.ngram_jaccard_join(awkward).where("jaccard = 1").count() == 1 and ngram_join.one_of_each_group(nothing).count() == 0
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(awkward).collect())) == [(i, 4, 2, 2) for i in (4, 5, 6)] and ngram_join.one_of_each_group(nothing).count() == 0
+    renamed = awkward.withColumnRenamed("doc_id", "key").withColumnRenamed("text", "body").withColumnRenamed("ids", "doc_id").withColumnRenamed("bucket", "root")
+    assert ngram_join.ngram_jaccard_join(renamed, text="body", doc_id="key").count() == 3 and ngram_join.one_of_each_group(renamed, text="body", doc_id="key").count() == awkward.count() - 3
     assert ngram_join.ngram_jaccard_join(nothing).count() == 0
 
 
