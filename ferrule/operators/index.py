@@ -24,10 +24,14 @@ def postings(docs: DataFrame, terms: list[str] | None = None, text: str = "text"
     return pairs.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def posting_lists(posted: DataFrame) -> DataFrame:
-    """(term, doc_ids): sorted, each document as often as the term occurs in it."""
+BLOCK = 1 << 16  # document ids of a block of a posting list
+
+
+def posting_lists(posted: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(term, block, doc_ids): sorted, each document as often as the term occurs in it; a list is cut by ranges of ids, so that
+    that of a frequent term isn't one row."""
     repeated = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))), lambda p: F.array_repeat(p["doc_id"], p["tf"].cast("int"))))
-    return posted.groupBy("term").agg(repeated.alias("doc_ids"))
+    return posted.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(repeated.alias("doc_ids"))
 
 
 def dictionary(posted: DataFrame) -> DataFrame:
@@ -36,37 +40,61 @@ def dictionary(posted: DataFrame) -> DataFrame:
 
 
 def doc_store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(doc_id, content): preprocessed texts that aren't empty."""
-    return docs.select(F.col(doc_id).alias("doc_id"), preprocess(F.col(text), stop_words).alias("content")).where("content <> ''")
+    """(doc_id, content), and doc_name where ``docs`` has it: preprocessed texts that aren't empty."""
+    names = ["doc_name"] if "doc_name" in docs.columns else []
+    return docs.select(F.col(doc_id).alias("doc_id"), preprocess(F.col(text), stop_words).alias("content"), *names).where("content <> ''")
+
+
+def write_meta(spark: SparkSession, path: str, num_shards: int) -> None:
+    spark.createDataFrame([(json.dumps({"num_shards": num_shards}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def by_shard(posted: DataFrame, num_shards: int) -> DataFrame:
+    """Postings with their shard; a shard may be several tasks, as terms are spread too, each sorted by term."""
+    own = posted.withColumn("shard", shard_id(F.col("term"), num_shards))
+    return own.repartition("shard", "term").sortWithinPartitions("shard", "term", "doc_id")
 
 
 def build_index(docs: DataFrame, path: str, num_shards: int = 64, text: str = "text", doc_id: str = "doc_id") -> None:
-    """Write postings (a folder a shard, sorted by term), dictionary and documents under ``path``. One shuffle by shard and
-    term serves the postings and, from what was written, the dictionary."""
-    posted = postings(docs, text=text, doc_id=doc_id).withColumn("shard", shard_id(F.col("term"), num_shards))
-    posted.repartition("shard").sortWithinPartitions("shard", "term", "doc_id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    """Write postings (a folder a shard, its files sorted by term), dictionary and documents, with their
+    names where ``docs`` has a doc_name, under ``path``."""
+    by_shard(postings(docs, text=text, doc_id=doc_id), num_shards).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     spark = docs.sparkSession
     dictionary(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/dictionary")
     doc_store(docs, text, doc_id).write.mode("overwrite").parquet(f"{path}/docs")
-    spark.createDataFrame([(json.dumps({"num_shards": num_shards}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    write_meta(spark, path, num_shards)
 
 
 class Index:
-    """A stored index; the number of shards is stored with it."""
+    """A stored index; the number of shards is stored with it. One that a stream wrote has batches: a document's last counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self.num_shards = json.loads(spark.read.text(f"{path}/meta").first()["value"])["num_shards"]
-        self.docs = spark.read.parquet(f"{path}/docs")
-        self.dictionary = spark.read.parquet(f"{path}/dictionary")
+        docs = spark.read.parquet(f"{path}/docs")
+        self.batched = "batch" in docs.columns
+        if self.batched:
+            self.latest = docs.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+            docs = docs.join(self.latest, ["doc_id", "batch"]).drop("batch")
+        self.docs = docs
+        self.dictionary = dictionary(self.postings()) if self.batched else spark.read.parquet(f"{path}/dictionary")
+
+    def named(self, hits: DataFrame) -> DataFrame:
+        """``hits`` with doc_name, null where the index has none."""
+        if "doc_name" not in self.docs.columns:
+            return hits.withColumn("doc_name", F.lit(None).cast("string"))
+        return hits.join(self.docs.select("doc_id", "doc_name"), "doc_id", "left")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """(term, doc_id, tf); with ``terms``, only their shards are read, and in those the terms are pushed to the scan."""
-        all_ = self.spark.read.parquet(f"{self.path}/postings")
-        if terms is None:
-            return all_.select("term", "doc_id", "tf")
-        if not terms:
-            return all_.where("false").select("term", "doc_id", "tf")
-        names = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        shards = [r[0] for r in names.select(shard_id(F.col("term"), self.num_shards)).distinct().collect()]
-        return all_.where(F.col("shard").isin(*shards) & F.col("term").isin(*terms)).select("term", "doc_id", "tf")
+        own = self.spark.read.parquet(f"{self.path}/postings")
+        if terms is not None:
+            if not terms:
+                own = own.where("false")
+            else:
+                names = self.spark.createDataFrame([(t,) for t in terms], "term string")
+                shards = [r[0] for r in names.select(shard_id(F.col("term"), self.num_shards)).distinct().collect()]
+                own = own.where(F.col("shard").isin(*shards) & F.col("term").isin(*terms))
+        if self.batched:
+            own = own.join(self.latest, ["doc_id", "batch"])
+        return own.select("term", "doc_id", "tf")

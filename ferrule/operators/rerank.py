@@ -62,18 +62,19 @@ def lexical(pairs: DataFrame) -> DataFrame:
 
 
 def rerank(pairs: DataFrame, scorer: Scorer | None = None, batch: int = 128) -> DataFrame:
-    """(qid, doc_id, score, rank) of pairs(qid, doc_id, query, content), best first; ties by doc_id."""
+    """(qid, doc_id, score, rank) of pairs(qid, doc_id, query, content), best first; ties by doc_id. A scorer sees a null query or
+    content as an empty one; without a scorer such a pair has a null score and comes last."""
     if scorer is None:
         scored = lexical(pairs)
     else:
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                for q, own in pdf.groupby("query", sort=False):
+                for q, own in pdf.groupby("query", sort=False, dropna=False):
                     for i in range(0, len(own), batch):
                         part = own.iloc[i : i + batch]
-                        yield part[["qid", "doc_id"]].assign(score=scorer.score(q, part["content"].tolist()))
+                        yield part[["qid", "doc_id"]].assign(score=scorer.score("" if pd.isna(q) else q, part["content"].fillna("").tolist()))
 
         scored = pairs.mapInPandas(run, f"qid {pairs.schema['qid'].dataType.simpleString()}, doc_id {pairs.schema['doc_id'].dataType.simpleString()}, score double")
-    by = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    by = Window.partitionBy("qid").orderBy(F.desc_nulls_last("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(by))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KNOWN = 200_000  # words that a worker remembers the pieces of
 _BASIC = re.compile(r"[!-/:-@\[-`{-~]|[^ !-/:-@\[-`{-~]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _DROP = {**{c: None for c in (*range(32), 127)}, 9: " ", 10: " ", 13: " ", **_LOWER}
@@ -33,6 +34,8 @@ class WordPiece:
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word, each the longest that fits; the whole is unknown if any part is, or if it is over long."""
         if word not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             out: list[str] = []
             at = 0 if len(word.encode()) <= self.longest else -1
             while 0 <= at < len(word):

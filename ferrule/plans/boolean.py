@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.plans.ast import EMPTY, Node, clauses
+from ferrule.plans.ast import AND, EMPTY, NOT, OR, Node, postfix
 from ferrule.storage import stored
 
 
@@ -53,7 +53,8 @@ def compat(posted: DataFrame, node: Node) -> DataFrame:
     def size(m: Column) -> int:
         return int(pivot.agg(F.coalesce(F.sum(m), F.lit(0))).first()[0])
 
-    held = {t: size(F.col(c)) for t, c in names.items()}
+    sums = pivot.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names.values()] or [F.lit(0)]).first()
+    held = {t: int(sums[c]) for t, c in names.items()}
     some = [t for t, n in held.items() if n]
     everything = F.col(names[some[0]]) if len(some) == 1 else F.lit(1).cast("long")
 
@@ -98,16 +99,38 @@ def compat(posted: DataFrame, node: Node) -> DataFrame:
     return pivot.select("doc_id", m.alias("m")).where("m > 0")
 
 
+SMALL = 200_000  # rows of a table of queries that is broadcast
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast where it has at most ``SMALL`` rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def batch(posted: DataFrame, queries: Mapping[str, Node]) -> DataFrame:
-    """(qid, doc_id) of all queries in one plan: their terms meet the postings, and what a document has of a query is held
-    against the query's clauses. Both tables of the queries are of the size of the queries."""
+    """(qid, doc_id) of all queries in one plan: their terms meet the postings, and each query's tree, as a postfix program, runs
+    over the terms that a document has of it."""
     spark = posted.sparkSession
-    terms = spark.createDataFrame([(q, t) for q, n in queries.items() for t in n.terms()], "qid string, term string")
-    rows = [(q, sorted(must), sorted(never)) for q, n in queries.items() for must, never in clauses(n)]
-    ruled = spark.createDataFrame(rows, "qid string, must array<string>, never array<string>")
-    present = posted.join(F.broadcast(terms), "term").groupBy("qid", "doc_id").agg(F.collect_set("term").alias("present"))
-    met = present.join(F.broadcast(ruled), "qid").where((F.size(F.array_except("must", "present")) == 0) & ~F.arrays_overlap("never", "present"))
-    return met.select("qid", "doc_id").distinct()
+    slots = {q: {t: i for i, t in enumerate(n.terms())} for q, n in queries.items()}
+    terms = spark.createDataFrame([(q, t, i) for q, own in slots.items() for t, i in own.items()], "qid string, term string, slot int")
+    programs = spark.createDataFrame([(q, postfix(n, slots[q])) for q, n in queries.items()], "qid string, program array<int>")
+    if sum(map(len, slots.values())) <= SMALL:
+        terms, programs = F.broadcast(terms), F.broadcast(programs)
+    present = posted.join(terms, "term").groupBy("qid", "doc_id").agg(F.collect_set("slot").alias("present"))
+
+    def step(stack: Column, op: Column) -> Column:
+        top, below = F.get(stack, F.lit(0)), F.get(stack, F.lit(1))
+        rest = F.lit(1 << 30)
+        return (
+            F.when(op >= 0, F.concat(F.array(F.array_contains("present", op)), stack))
+            .when(op == NOT, F.concat(F.array(~top), F.slice(stack, F.lit(2), rest)))
+            .when(op == AND, F.concat(F.array(top & below), F.slice(stack, F.lit(3), rest)))
+            .when(op == OR, F.concat(F.array(top | below), F.slice(stack, F.lit(3), rest)))
+            .otherwise(F.concat(F.array(F.lit(False)), stack))
+        )
+
+    holds = F.get(F.aggregate("program", F.array().cast("array<boolean>"), step), F.lit(0))
+    return present.join(programs, "qid").where(holds).select("qid", "doc_id")
 
 
 def scored(hits: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +16,9 @@ from ferrule.operators import index as I
 from ferrule.operators import rerank as R
 from ferrule.operators import stats, wordpiece
 from ferrule.plans import ast, boolean
-from ferrule.storage import table
+from ferrule.sources import readers
+from ferrule.sources.readers import dense_ids
+from ferrule.storage import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +52,17 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-# --------------------------------------------------------------------------- text
+def opened(spark: SparkSession, sf: str) -> I.Index:
+    """The index of the documents of a folder, built once a session and then read like any stored index."""
+    held = spark.__dict__.setdefault("_ferrule_indexes", {})
+    if sf not in held:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        I.build_index(docs(spark, sf), path)
+        held[sf] = I.Index(spark, path)
+    return held[sf]
+
+
+# text
 
 
 @query(f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents")
@@ -73,7 +88,7 @@ def truncate_words(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", T.truncate_words(F.col("text")).alias("content"))
 
 
-# --------------------------------------------------------------------------- index
+# index
 
 
 @query(f"WITH {_TOK} SELECT term, doc_id FROM tok")
@@ -86,9 +101,9 @@ def postings_tf(spark: SparkSession, sf: str) -> DataFrame:
     return I.postings(docs(spark, sf))
 
 
-@query(f"WITH {_TOK} SELECT term, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM tok GROUP BY term")
+@query(f"WITH {_TOK} SELECT term, doc_id // {I.BLOCK} AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM tok GROUP BY ALL")
 def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return I.posting_lists(I.postings(docs(spark, sf))).select("term", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+    return I.posting_lists(I.postings(docs(spark, sf))).select("term", "block", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
 @query(f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
@@ -105,12 +120,15 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.crossJoin(by_term)  # one row each
 
 
-@query()
+_SHARD = "CAST(('0x' || md5(term)[1:8]) AS BIGINT) % 64"
+
+
+@query(f"WITH {_TOK} SELECT DISTINCT term, CAST({_SHARD} AS INTEGER) AS shard FROM tok")
 def shard_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return I.dictionary(I.postings(docs(spark, sf))).select("term", T.shard_id(F.col("term")).alias("shard"))
 
 
-@query()
+@query(f"WITH {_POST} SELECT CAST({_SHARD} AS INTEGER) AS shard, count(DISTINCT term) AS terms, count(*) AS postings FROM post GROUP BY 1")
 def shard_balance(spark: SparkSession, sf: str) -> DataFrame:
     own = I.dictionary(I.postings(docs(spark, sf)))
     return own.groupBy(T.shard_id(F.col("term")).alias("shard")).agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
@@ -123,17 +141,16 @@ def doc_store(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS dense_id FROM pages")
 def dense_doc_ids(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").select("page_id", "url").orderBy("page_id")
-    return spark.createDataFrame(pages.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "page_id long, url string, dense_id long")
+    return dense_ids(table(spark, sf, "pages").select("page_id", "url"), "page_id", "dense_id")
 
 
-# --------------------------------------------------------------------------- boolean queries
+# boolean queries
 
 
 def _strict(q: str, synonyms: dict | None = None) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         node = ast.parse(q, synonyms)
-        return boolean.scored(boolean.strict(I.postings(docs(spark, sf), node.terms()), node))
+        return boolean.scored(boolean.strict(opened(spark, sf).postings(node.terms()), node))
 
     return run
 
@@ -178,7 +195,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 def _compat(q: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         node = ast.parse(q)
-        return boolean.compat(I.postings(docs(spark, sf), node.terms()), node)
+        return boolean.compat(opened(spark, sf).postings(node.terms()), node)
 
     return run
 
@@ -204,17 +221,17 @@ for _name, (_q, _s) in COMPAT.items():
 _SYN = " UNION ALL ".join(f"SELECT '{t}' AS term, '{s}' AS form" for t, own in SYNONYMS.items() for s in own)
 
 
-@query(f"""WITH {_TOK}, syn AS ({_SYN}), q AS (SELECT item_id, unnest(({_tokens('text')})[1:3]) AS term FROM benchmark)
+@query(f"""WITH {_TOK}, syn AS ({_SYN}), q AS (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark)
 SELECT DISTINCT item_id, term, form FROM (SELECT item_id, term, term AS form FROM q UNION ALL SELECT item_id, q.term, form FROM q JOIN syn ON q.term = syn.term)""")
 def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
     forms = spark.createDataFrame([(t, s) for t, s in SYNONYMS.items()], "term string, forms array<string>")
-    q = table(spark, sf, "benchmark").select("item_id", F.explode(F.slice(T.tokens(F.col("text")), 1, 3)).alias("term"))
+    q = table(spark, sf, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     own = q.join(F.broadcast(forms), "term", "left")
     return own.select("item_id", "term", F.explode(F.array_union(F.array("term"), F.coalesce("forms", F.array().cast("array<string>")))).alias("form")).distinct()
 
 
 def _having(spark: SparkSession, sf: str, term: str) -> DataFrame:
-    return I.postings(docs(spark, sf), [term]).select("doc_id")
+    return opened(spark, sf).postings([term]).select("doc_id")
 
 
 def _set_sql(op: str) -> str:
@@ -236,7 +253,7 @@ def set_except(spark: SparkSession, sf: str) -> DataFrame:
     return _having(spark, sf, "tion").exceptAll(_having(spark, sf, "ble"))
 
 
-# --------------------------------------------------------------------------- topics, judgments, evaluation
+# topics, judgments, evaluation
 
 
 def titles(spark: SparkSession, sf: str) -> dict[str, str]:
@@ -245,7 +262,40 @@ def titles(spark: SparkSession, sf: str) -> dict[str, str]:
     return {r["qid"]: r["title"] for r in own.collect()}
 
 
-@query()
+def _topics_sql() -> str:
+    """Titles have three tokens at most: every sequence of operators, parentheses and words that long is parsed here, and the SQL has
+    the resulting condition of each."""
+    kinds = ("and", "or", "not", "(", ")", "word")
+    holds, asked = [], []
+
+    def name(term: str) -> str:
+        return f"t[{term[4:]}]" if term.startswith("word") else f"'{term}'"
+
+    def tree(n: ast.Node) -> str:
+        if n.op == "TERM":
+            return f"list_contains(present, {name(n.term)})"
+        return f"NOT {tree(n.children[0])}" if n.op == "NOT" else "(" + f" {n.op} ".join(map(tree, n.children)) + ")"
+
+    for length in (1, 2, 3):
+        for own in product(kinds, repeat=length):
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                try:
+                    node = ast.parse(" ".join(f"word{i + 1}" if k == "word" else k for i, k in enumerate(own)))
+                except ast.QueryParseError:
+                    continue
+            sig = " ".join(own)
+            holds.append(f"WHEN '{sig}' THEN {tree(node)}")
+            asked.append(f"WHEN '{sig}' THEN [{', '.join(map(name, node.terms()))}]")
+    return f"""WITH {_POST}, q AS (SELECT CAST(item_id AS VARCHAR) AS qid,
+list_filter(list_transform((regexp_extract_all(text, '[A-Za-z0-9()]+'))[1:3], lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS t FROM benchmark),
+s AS (SELECT *, array_to_string(list_transform(t, lambda x: CASE WHEN x IN ('and', 'or', 'not', '(', ')') THEN x ELSE 'word' END), ' ') AS sig FROM q),
+a AS (SELECT DISTINCT qid, unnest(CASE sig {" ".join(asked)} END) AS term FROM s),
+h AS (SELECT qid, doc_id, list(term) AS present FROM a JOIN post USING (term) GROUP BY qid, doc_id)
+SELECT qid, doc_id FROM h JOIN s USING (qid) WHERE CASE sig {" ".join(holds)} END"""
+
+
+@query(_topics_sql())
 def topics_batch(spark: SparkSession, sf: str) -> DataFrame:
     """All topics as boolean queries in one plan; one that doesn't parse has no hits."""
     parsed = {}
@@ -254,22 +304,34 @@ def topics_batch(spark: SparkSession, sf: str) -> DataFrame:
             parsed[qid] = ast.parse(title)
         except ast.QueryParseError:
             pass
-    return boolean.batch(I.postings(docs(spark, sf), sorted({t for n in parsed.values() for t in n.terms()})), parsed)
+    return boolean.batch(opened(spark, sf).postings(sorted({t for n in parsed.values() for t in n.terms()})), parsed)
 
 
 def plain_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The topics as conjunctions of their tokens, operator words being tokens like others, in one relational plan."""
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(F.slice(T.tokens(F.col("text")), 1, 3))).alias("term"))
     need = terms.groupBy("qid").agg(F.count("*").alias("need"))
-    met = terms.join(I.postings(docs(spark, sf)), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("have"))
+    met = boolean.if_small(terms).join(opened(spark, sf).postings(), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("have"))
     return met.join(need, "qid").where("have = need").select("qid", "doc_id")
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """A document is relevant to the benchmark items whose whole text it holds."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    # a containment join has no key: the benchmark, some hundred rows, goes to where the documents are
-    return docs(spark, sf).join(items, F.contains(F.col("text"), F.col("item"))).select("qid", "doc_id")
+    """A document is relevant to the benchmark items whose whole text it holds.
+
+    Such a document has all tokens of the item but perhaps those at its ends, which may be parts of its own; so only the
+    documents of the rarest of these are read. An item without such tokens meets all documents."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item")).where("item is not null")
+    inner = F.regexp_replace("item", r"^[A-Za-z0-9()]+|[A-Za-z0-9()]+$", " ")
+    items = items.withColumn("terms", F.array_distinct(T.tokens(inner)))
+    index = opened(spark, sf)
+    held = items.select("qid", F.explode("terms").alias("term")).join(index.dictionary, "term", "left")
+    rarest = held.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("qid", F.col("r.term").alias("term"))
+    met = index.postings().join(rarest, "term").select("qid", "doc_id").join(docs(spark, sf).select("doc_id", "text"), "doc_id").join(items.select("qid", "item"), "qid")
+    out = met.where(F.contains("text", "item")).select("qid", "doc_id")
+    bare = items.where(F.size("terms") == 0)
+    if not bare.isEmpty():
+        out = out.unionByName(docs(spark, sf).join(bare, F.contains(F.col("text"), F.col("item"))).select("qid", "doc_id"))
+    return out
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +362,7 @@ def qrels_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_POST} SELECT term, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS k FROM post WHERE term IN ('er', 'tion', 'ble')) WHERE k <= 2048")
 def candidates_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = I.postings(docs(spark, sf), ["er", "tion", "ble"]).select(F.col("term").alias("qid"), "doc_id")
+    hits = opened(spark, sf).postings(["er", "tion", "ble"]).select(F.col("term").alias("qid"), "doc_id")
     return R.candidates(hits).withColumnRenamed("qid", "term")
 
 
@@ -310,7 +372,7 @@ cand AS (SELECT qid, doc_id, content FROM (SELECT *, row_number() OVER (PARTITIO
 
 @query(f"WITH {_CAND} SELECT qid, doc_id, content FROM cand")
 def candidate_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return R.candidate_docs(plain_hits(spark, sf), I.doc_store(docs(spark, sf)))
+    return R.candidate_docs(plain_hits(spark, sf), opened(spark, sf).docs)
 
 
 @query(f"""WITH {_CAND}, query AS (SELECT item_id AS qid, ({_tokens('text')})[1:3] AS words FROM benchmark),
@@ -319,7 +381,7 @@ scored AS (SELECT qid, doc_id, round(log2(len(o) + 1.0) + CAST(len(list_distinct
 SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored""")
 def rerank(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("query"))
-    return R.rerank(R.candidate_docs(plain_hits(spark, sf), I.doc_store(docs(spark, sf))).join(q, "qid"))
+    return R.rerank(R.candidate_docs(plain_hits(spark, sf), opened(spark, sf).docs).join(q, "qid"))
 
 
 _METRICS = f"""{_HITS}, {_QRELS}, n AS (SELECT qid, count(*) AS n_rel FROM qrels GROUP BY qid),
@@ -360,7 +422,7 @@ def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("topics", *(F.round(c, 6).alias(c) for c in own.columns if c != "topics"))
 
 
-# --------------------------------------------------------------------------- statistics
+# statistics
 
 
 @query("""WITH placed AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -397,7 +459,50 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("event_type", "n", F.round(stats.throughput(F.col("n"), F.col("ms")), 6).alias("per_second"))
 
 
-# --------------------------------------------------------------------------- WordPiece
+@query("""WITH runs AS (SELECT CAST(user_id % 8 AS INTEGER) AS num_cpu_workers, event_id % 2 = 1 AS r, avg(value) AS v, avg(value + 1) AS w FROM events GROUP BY ALL)
+SELECT a.num_cpu_workers, round((b.v - a.v) * 100 / a.v, 6) AS throughput_change, round((b.w - a.w) * 100 / a.w, 6) AS latency_change
+FROM runs a JOIN runs b USING (num_cpu_workers) WHERE NOT a.r AND b.r""")
+def report_changes(spark: SparkSession, sf: str) -> DataFrame:
+    own = stats.changes(_results(spark, sf))
+    return own.select("num_cpu_workers", F.round("throughput_change", 6).alias("throughput_change"), F.round("latency_change", 6).alias("latency_change"))
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as runs: each figure of a run is a value of theirs."""
+    figures = {"throughput_qps": F.col("value"), "median_latency_ms": F.col("value") + 1}
+    own = table(spark, sf, "events").select((F.col("user_id") % 8).cast("int").alias("num_cpu_workers"), (F.col("event_id") % 2 == 1).alias("use_reranking"), *(figures.get(c, F.col("value")).alias(c) for c in stats.RUN[3:]))
+    return stats.mean_by(own, ["num_cpu_workers", "use_reranking"], stats.RUN[3:])
+
+
+@query("""SELECT CAST(user_id % 8 AS INTEGER) AS num_cpu_workers, event_id % 2 = 1 AS use_reranking, round(avg(value), 6) AS precision_at_10, round(avg(value), 6) AS map, round(avg(value), 6) AS ndcg_at_10
+FROM events WHERE user_id % 8 = (SELECT max(user_id % 8) FROM events) GROUP BY ALL""")
+def report_most_workers(spark: SparkSession, sf: str) -> DataFrame:
+    own = stats.at_most_workers(_results(spark, sf))
+    return own.select("num_cpu_workers", "use_reranking", *(F.round(c, 6).alias(c) for c in ("precision_at_10", "map", "ndcg_at_10")))
+
+
+@query("""SELECT count(*) AS judged, count(*) FILTER (p.page_id IS NOT NULL) AS relevant, count(*) FILTER (p.page_id IS NULL) AS missing, count(DISTINCT CASE WHEN p.page_id IS NOT NULL THEN toxic END) AS topics
+FROM labels LEFT JOIN (SELECT DISTINCT page_id FROM pages) p ON p.page_id = doc_id WHERE quality > 0""")
+def qrels_counts(spark: SparkSession, sf: str) -> DataFrame:
+    judged = table(spark, sf, "labels").select(F.col("toxic").alias("qid"), F.col("doc_id").alias("doc_name"), F.col("quality").alias("rel"))
+    return readers.counted(judged, table(spark, sf, "pages").select(F.col("page_id").alias("doc_name")))
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT page_id FROM pages)")
+def qrels_saved(spark: SparkSession, sf: str) -> DataFrame:
+    judged = table(spark, sf, "labels").select(F.col("doc_id").alias("doc_name"), "quality")
+    return readers.saved_judgments(judged, table(spark, sf, "pages").select(F.col("page_id").alias("doc_name"))).withColumnRenamed("doc_name", "doc_id")
+
+
+@query(f"""WITH {_HITS}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS k FROM hits)
+SELECT qid, doc_id, url AS doc_name FROM top LEFT JOIN pages ON page_id = doc_id WHERE k <= 5""")
+def top5_named(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five hits of each topic with a name, here the URL of the page of that number, where there is one."""
+    names = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("doc_name"))
+    return R.candidates(plain_hits(spark, sf), 5).join(names, "doc_id", "left")
+
+
+# WordPiece
 
 _BASIC = r"regexp_extract_all(translate(regexp_replace(regexp_replace(html, '[\t\n\r]', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]|[^ !-/:-@\[-`{-~]+')"
 

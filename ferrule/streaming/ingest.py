@@ -1,21 +1,22 @@
-"""Incremental indexing: an extension, new documents are added to the postings as they arrive."""
+"""Incremental indexing: an extension, new documents are added to the index as they arrive."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ferrule.functions.text import shard_id
-from ferrule.operators.index import doc_store, postings
+from ferrule.operators.index import by_shard, doc_store, postings, write_meta
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, num_shards: int = 64) -> StreamingQuery:
-    """Postings and contents of a stream of (doc_id, text), each batch in folders of its own that a repeated batch replaces."""
+    """Index a stream of (doc_id, text) in the layout that ``Index`` opens. Each batch has folders of its own that a repeated
+    batch replaces. A document that comes again in a later batch replaces the earlier one; of several rows of one id in a batch one counts."""
+    write_meta(docs.sparkSession, path, num_shards)
 
     def add(batch: DataFrame, number: int) -> None:
-        own = postings(batch).withColumn("shard", shard_id(F.col("term"), num_shards))
-        own.repartition("shard").sortWithinPartitions("shard", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        doc_store(batch).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        once = batch.dropDuplicates(["doc_id"]).persist()  # both tables must have the same row of each id
+        by_shard(postings(once), num_shards).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/batch={number}")
+        doc_store(once).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        once.unpersist()
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,12 +4,12 @@ import random
 
 import pytest
 
-from ferrule.engine import BenchmarkConfig, Engine, run_benchmark
+from ferrule.engine import BenchmarkConfig, Engine, run_benchmark, run_indexing_benchmark
 from ferrule.functions import text as T
 from ferrule.operators import evaluate, rerank, stats, wordpiece
 from ferrule.operators.index import build_index, postings
 from ferrule.plans import boolean
-from ferrule.plans.ast import EMPTY, Node, QueryParseError, clauses, parse
+from ferrule.plans.ast import EMPTY, Node, QueryParseError, parse
 from ferrule.sources import readers
 
 MICRO = [(0, "apple apple banana"), (1, "apple cherry"), (2, "banana cherry cherry"), (3, "durian (banana split)")]
@@ -69,7 +69,7 @@ def random_tree(rng, depth=3):
     return Node(op, children=tuple(random_tree(rng, depth - 1) for _ in range(1 if op == "NOT" else rng.randint(1, 3))))
 
 
-def test_clauses_and_strict_against_sets(spark):
+def test_batch_and_strict_against_sets(spark):
     rng = random.Random(1)
     words = {i: {t for t in text.replace("(", "").replace(")", "").split()} for i, text in MICRO}
     posted = spark.createDataFrame([(t, i, 1) for i, own in words.items() for t in own], "term string, doc_id long, tf long")
@@ -81,12 +81,27 @@ def test_clauses_and_strict_against_sets(spark):
             return not holds(n.children[0], own)
         return (all if n.op == "AND" else any)(holds(c, own) for c in n.children)
 
-    trees = {str(k): random_tree(rng) for k in range(40)}
+    trees = {str(k): random_tree(rng) for k in range(40)} | {"none": EMPTY}
     want = {(q, i) for q, n in trees.items() for i, own in words.items() if own & set(n.terms()) and holds(n, own)}
     assert {(r["qid"], r["doc_id"]) for r in boolean.batch(posted, trees).collect()} == want
     for q in ("0", "1", "2", "3"):
         assert {r["doc_id"] for r in boolean.strict(posted, trees[q]).collect()} == {i for p, i in want if p == q}
-    assert clauses(parse("a1 and not a1")) == []
+    assert boolean.batch(posted, {}).count() == 0
+
+
+def test_batch_of_queries_without_a_small_normal_form(spark):
+    """13 disjunctions of two, and ten terms of three synonyms: their trees are small, their normal forms are not."""
+    rng = random.Random(5)
+    words = {i: rng.sample([f"{a}{k}" for a in "ab" for k in range(13)] + [f"t{k}" for k in range(10)] + [f"s{k}x{j}" for k in range(10) for j in range(3)], 34) for i in range(60)}
+    words |= {100: [f"{rng.choice('ab')}{k}" for k in range(13)], 101: [rng.choice([f"t{k}", f"s{k}x1"]) for k in range(10)]}
+    posted = spark.createDataFrame([(t, i, 1) for i, own in words.items() for t in own], "term string, doc_id long, tf long")
+    ors = parse(" and ".join(f"( a{k} or b{k} )" for k in range(13)))
+    synonyms = parse(" ".join(f"t{k}" for k in range(10)), {f"t{k}": [f"s{k}x{j}" for j in range(3)] for k in range(10)})
+    want = {("ors", i) for i, own in words.items() if all({f"a{k}", f"b{k}"} & set(own) for k in range(13))} | {("syn", i) for i, own in words.items() if all({f"t{k}", *(f"s{k}x{j}" for j in range(3))} & set(own) for k in range(10))}
+    assert ("ors", 100) in want and ("syn", 101) in want
+    assert {(r["qid"], r["doc_id"]) for r in boolean.batch(posted, {"ors": ors, "syn": synonyms}).collect()} == want
+    for q, n in (("ors", ors), ("syn", synonyms)):
+        assert {(q, r["doc_id"]) for r in boolean.strict(posted, n).collect()} == {x for x in want if x[0] == q}
 
 
 def test_compat_against_a_list_model(spark):
@@ -128,8 +143,8 @@ def test_compat_against_a_list_model(spark):
                 out = of(c, out, universe) if c.op == "NOT" else common(out, of(c, None, universe))
         return out
 
-    posted = postings(spark.createDataFrame([(i, t.replace("(", "").replace(")", "")) for i, t in MICRO], "doc_id long, text string"))
-    for _ in range(12):
+    posted = postings(spark.createDataFrame(MICRO, "doc_id long, text string"))  # its "(banana" is another term
+    for _ in range(25):
         n = random_tree(rng, 2)
         held = [lists[t] for t in n.terms() if lists[t]]
         universe = held[0] if len(held) == 1 else sorted({x for own in held for x in own})
@@ -167,6 +182,8 @@ def test_latency(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(21)] + [("b", float(i)) for i in range(1, 21)], "k string, v double")
     got = {r["k"]: (r["median"], r["p95"]) for r in stats.latency_stats(rows, "v", ["k"]).collect()}
     assert got == {"a": (10.0, 19.0), "b": (10.5, 20.0)}
+    clash = rows.selectExpr("k AS n", "k AS mean", "v AS k")
+    assert {r["n"]: (r["median"], r["p95"]) for r in stats.latency_stats(clash.drop("mean"), "k", ["n"]).toDF("n", "many", "mean", "median", "p95").collect()} == got
 
 
 def test_files(spark, tmp_path):
@@ -183,10 +200,13 @@ def test_files(spark, tmp_path):
     names = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, doc_name string")
     assert [tuple(r) for r in readers.read_qrels(spark, str(tmp_path / "qrels"), names).collect()] == [("1", 0)]
     assert [tuple(r) for r in readers.missing_judgments(spark, str(tmp_path / "qrels"), names).collect()] == [("1", "c")]
+    assert readers.counted(readers.read_judgments(spark, str(tmp_path / "qrels")), names).first().asDict() == {"judged": 2, "relevant": 1, "missing": 1, "topics": 1}
+    assert readers.saved_judgments(readers.read_judgments(spark, str(tmp_path / "qrels")), names).count() == 2
+    assert readers.read_synonyms(spark, str(tmp_path / "none")) == {}
     (tmp_path / "syn").write_text("# no\nx: A, b\ny:\nx: C\n")
-    assert readers.read_synonyms(str(tmp_path / "syn")) == {"x": ["c"]}
+    assert readers.read_synonyms(spark, str(tmp_path / "syn")) == {"x": ["c"]}
     (tmp_path / "stop").write_text("# no\nFoo\nand\n")
-    assert readers.read_stop_words(str(tmp_path / "stop")) == ("foo",)
+    assert readers.read_stop_words(spark, str(tmp_path / "stop")) == ("foo",)
 
 
 def test_benchmark_and_rerank(spark, engine):
@@ -197,19 +217,105 @@ def test_benchmark_and_rerank(spark, engine):
     rel = spark.createDataFrame([("1", 0), ("2", 3)], "qid string, doc_id long")
     out = run_benchmark(engine, {"1": "apple", "2": "durian (", "3": "cherry or banana"}, rel, BenchmarkConfig("x", 1, True)).collect()
     assert [r["label"] for r in out] == ["x", "x_Rerank"] and 0 <= out[0]["map"] <= 1
+    assert list(out[0].asDict()) == stats.RUN and out[0]["avg_reranking_ms"] == 0 < out[1]["avg_reranking_ms"] and out[1]["median_latency_ms"] > out[0]["median_latency_ms"]
     hits, _ = engine.search_batch({"1": "apple"})
     got = rerank.rerank(rerank.candidate_docs(hits, engine.index.docs).selectExpr("*", "'apple' AS query"), Length()).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [0, 1]
 
 
+def test_null_queries_rerank_alike(spark):
+    class Length:
+        def score(self, query, docs):
+            return [float(len(query) + len(d)) for d in docs]
+
+    pairs = spark.createDataFrame([("1", 1, "apple", "an apple"), ("1", 2, None, "pear"), ("1", 3, "apple", None)], "qid string, doc_id long, query string, content string")
+    assert rerank.rerank(pairs).count() == 3 and rerank.rerank(pairs).orderBy("rank").first()["doc_id"] == 1
+    assert {(r["doc_id"], r["score"]) for r in rerank.rerank(pairs, Length()).collect()} == {(1, 13.0), (2, 4.0), (3, 5.0)}
+
+
+def _pb(number, value):
+    """A protocol buffer field: an int as a varint, bytes or text with their length."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_neural_scorer_on_a_tiny_model(spark, tmp_path):
+    """A model that sums the ids it may look at."""
+    pytest.importorskip("onnxruntime")
+    node = lambda op, ins, out, *attributes: _pb(1, b"".join(_pb(1, i) for i in ins) + _pb(2, out) + _pb(4, op) + b"".join(_pb(5, a) for a in attributes))
+    value = lambda field, name, kind, dims: _pb(field, _pb(1, name) + _pb(2, _pb(1, _pb(1, kind) + _pb(2, b"".join(_pb(1, _pb(2, d)) for d in dims)))))
+    graph = node("Mul", ["input_ids", "attention_mask"], "seen") + node("ReduceSum", ["seen"], "sum", _pb(1, "axes") + _pb(8, 1) + _pb(20, 7), _pb(1, "keepdims") + _pb(3, 1) + _pb(20, 2)) + node("Cast", ["sum"], "logits", _pb(1, "to") + _pb(3, 1) + _pb(20, 2))
+    graph += _pb(2, "g") + value(11, "input_ids", 7, "NS") + value(11, "attention_mask", 7, "NS") + value(12, "logits", 1, "NO")
+    (tmp_path / "m.onnx").write_bytes(_pb(1, 6) + _pb(7, graph) + _pb(8, _pb(1, "") + _pb(2, 11)))
+    words = "[PAD] [UNK] [CLS] [SEP] un ##aff ##able red".split()
+    (tmp_path / "vocab.txt").write_text("\n".join(words) + "\n")
+    own = rerank.OnnxScorer(str(tmp_path / "m.onnx"), str(tmp_path / "vocab.txt"), 16)
+    assert own.score("un", ["unaffable", "red", ""]) == [2 + 4 + 3 + 4 + 5 + 6 + 3, 2 + 4 + 3 + 7 + 3, 2 + 4 + 3 + 3]
+    pairs = spark.createDataFrame([("1", k, "un", t) for k, t in enumerate(["", "red", "unaffable"] * 100)], "qid string, doc_id long, query string, content string")
+    got = rerank.rerank(pairs, own, batch=7).orderBy("rank").collect()
+    assert [r["score"] for r in got] == [27.0] * 100 + [19.0] * 100 + [12.0] * 100 and [r["doc_id"] for r in got[:2]] == [2, 5]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ferrule.__main__ import answer, main
+
+    corpus = tmp_path / "corpus"
+    corpus.mkdir()
+    for name, text in (("b", "beta gamma"), ("a", "alpha beta"), ("c", "the of"), ("d", "delta beta beta")):
+        (corpus / f"{name}.txt").write_text(text)
+    index, results = str(tmp_path / "index"), str(tmp_path / "results")
+    main(["build", str(corpus), index], spark)
+    main(["search", index, "beta", "and", "not", "gamma"], spark)
+    said = capsys.readouterr().out
+    assert said.startswith("2 documents\n  a (0)\n  d (3)\nbest after reranking\n  1. d (3, ") and said.rstrip().endswith("ms")
+    assert "isn't closed" in answer(Engine(spark, index), "( beta")
+    assert {r["doc_id"] for r in Engine(spark, index).search("not beta", universe="corpus").collect()} == set()
+    assert {r["doc_id"] for r in Engine(spark, index).search("not gamma", universe="corpus").collect()} == {0, 3}
+    (tmp_path / "topics").write_text("<top>\n<num>Number: 1</num>\n<title>beta</title>\n</top>\n")
+    (tmp_path / "qrels").write_text("1 0 a 1\n")
+    for _ in range(2):
+        main(["benchmark", index, str(tmp_path / "topics"), str(tmp_path / "qrels"), results, "--workers", "4"], spark)
+    runs = stats.read_results(spark, results)
+    assert [tuple(r)[:3] for r in runs.orderBy("use_reranking").collect()] == [("Boolean", 4, False), ("Boolean_Rerank", 4, True)]
+    assert stats.at_most_workers(runs).count() == 2 and stats.changes(runs).count() == 1
+    main(["report", results], spark)
+    assert "Change by reranking" in capsys.readouterr().out and stats.report(runs.limit(0)).count("none") == 3
+    main(["benchmark-indexing", str(corpus), index, str(tmp_path / "speed"), "--workers", "2"], spark)
+    assert stats.read_indexing(spark, str(tmp_path / "speed")).first()["num_cpu_workers"] == 2
+    assert run_indexing_benchmark(readers.read_corpus(spark, str(corpus)), index, 1).columns == ["num_cpu_workers", "indexing_time_ms", "throughput_docs_per_sec"]
+    assert stats.file_name("a b/c:1") == "a_b_c_1"
+
+
+def test_dense_ids(spark):
+    rng = random.Random(6)
+    names = [f"n{rng.randrange(10**6)}" for _ in range(500)]
+    rows = spark.createDataFrame([(x,) for x in set(names)], "name string").repartition(7)
+    got = readers.dense_ids(rows, "name", "k").orderBy("k").collect()
+    assert [(r["name"], r["k"]) for r in got] == [(x, i) for i, x in enumerate(sorted(set(names)))]
+
+
 def test_stream(spark, tmp_path):
     from ferrule.streaming.ingest import index_stream
 
     spark.createDataFrame(MICRO, "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     index_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out/postings")).where("term = 'cherry'").orderBy("doc_id").collect()
+    got = Engine(spark, str(tmp_path / "out")).index.postings(["cherry"]).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["tf"]) for r in got] == [(1, 1), (2, 2)]
+    spark.createDataFrame([(1, "apple plum"), (9, "plum")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    index_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    engine = Engine(spark, str(tmp_path / "out"))  # document 1 came again
+    assert [r["doc_id"] for r in engine.search("cherry").collect()] == [2] and [r["doc_id"] for r in engine.search("plum").collect()] == [1, 9]
+    assert {r["term"]: r["df"] for r in engine.index.dictionary.collect()}["plum"] == 2
 
 
 def test_encode_pair_has_the_reference_size(spark, tmp_path):
