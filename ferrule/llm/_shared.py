@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from ferrule.storage import free, shared_dir, stored, table
 
-__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "free", "grams", "mix", "released", "shared_dir", "span_hash", "spans", "stored", "table", "trim", "words"]
+__all__ = ["SOLID", "U", "WORD", "buffers", "chunks", "counted", "counters", "free", "grams", "mix", "pack", "released", "shared_dir", "span_hash", "spans", "stored", "table", "trim", "unpacked", "words"]
 
 # numpy text kernels
 
@@ -118,6 +119,43 @@ def grams(tokens: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return span_hash(tokens, at, np.minimum(at + n, row[doc + 1])), doc
 
 
+# count sketches
+
+SLICE = 1 << 16
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Numbers in the narrowest type that holds them, its width first."""
+    kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
+    return bytes([kind.itemsize]) + a.astype(kind).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[b[0]], offset=1)
+
+
+def counters(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's counters in packed slices, those without a count left out: numbers of the slices, and their bodies."""
+    parts = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE].any()]
+    return [k // SLICE for k in parts], [pack(total[k : k + SLICE]) for k in parts]
+
+
+def counted(rows: DataFrame, bits: int) -> np.ndarray:
+    """The sums of the 2**bits counters of all tasks from rows(slice, body), added up by the executors."""
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, U)
+        for x in part.column("body").to_pylist():
+            own = unpacked(x)
+            total[: len(own)] += own
+        return pa.table({"slice": part.column("slice")[:1].cast(pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(max(1 << bits, SLICE), U)
+    for r in rows.select("slice", "body").groupBy("slice").applyInArrow(add, "slice int, body binary").collect():
+        out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.body, U)
+    return out[: 1 << bits]
+
+
 # memory of Python workers
 
 

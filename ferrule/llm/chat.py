@@ -6,7 +6,7 @@ scatter indices, and that buffer becomes the Arrow column without another copy.
 
 Defined results: turns are ordered by turn, role and text, nulls first, so that ties and repeated rows have one order and each
 repeated row is a turn; a null role reads ``unknown``, a null text is an empty content; a turn with a null conversation id
-belongs to none and gives nothing; contents are copied as they are; other columns are ignored; an empty table gives no rows.
+belongs to none and gives nothing; contents, however long, are copied as they are; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,10 +65,10 @@ def chat_format(turns: DataFrame, scored: str = "assistant", *, conv_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, most = 0, MOST
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+            nonlocal held, size, most
             if not held:
                 return
             whole = pa.Table.from_batches(held).combine_chunks()
@@ -79,12 +79,15 @@ def chat_format(turns: DataFrame, scored: str = "assistant", *, conv_id: str = "
                 yield assembled(*(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in part), scored)
                 held = whole.slice(cut).to_batches()
                 size = sum(b.nbytes for b in held)
+                most = MOST
+            else:  # one conversation: it's put together again only when twice as much has come
+                held, most = whole.to_batches(), 2 * size
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.nbytes
-                if size > MOST:
+                if size > most:
                     yield from flush(False)
         yield from flush(True)
 

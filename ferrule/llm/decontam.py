@@ -6,8 +6,11 @@ behind the placeholders are set side by side: along one alignment of item and do
 one value of the document, so a re-parameterised question is caught and a chance meeting of templates is not. Where windows of
 an alignment contradict each other, those whose values are all equal count, or where there are none, one that is sound in itself.
 
-Defined results: an item of fewer than ``window`` tokens is looked for as a whole if it has ``least_words`` plain words; a
-window of fewer than ``least_words`` plain words never counts; null or empty texts, null ids and empty tables give no rows;
+A window of fewer than ``least_words`` plain words says too little as a template; it is looked for with all its values as they are.
+The first word of an item, which is capitalised wherever it stands, is read as a plain word and as a name.
+
+Defined results: an item of fewer than ``window`` tokens is looked for as a whole, one of fewer than ``least_words`` tokens not
+at all: it is no evidence; null or empty texts, null ids and empty tables give no rows;
 equal items are reported each; repeated rows of one document id are one document; other columns are ignored.
 """
 
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import U, WORD, buffers, chunks, mix, span_hash, stored
+from ferrule.llm._shared import U, WORD, buffers, chunks, mix, released, span_hash, stored
 
 WORD_, NUMBER, NAME, UNIT = range(4)
 UNITS = {
@@ -60,14 +63,15 @@ _STOP[[ord(c) for c in ".!?:;"]] = True
 _LISTS: dict[str, np.ndarray] = {}
 
 
-def canonical(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Typed tokens of a run of texts: hash, kind, first and last byte, first token of each row."""
+def canonical(d: np.ndarray, o: np.ndarray, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Typed tokens of a run of texts: hash, kind, first and last byte, first token of each row, and hash of the value itself.
+    With ``within``, a text's first word is read as if others stood before it."""
     if not _LISTS:
         _LISTS.update({"numeral": _hashes(NUMERALS), "given": _hashes(GIVEN)} | {u: _hashes(w) for u, w in UNITS.items()})
     n = len(d)
     if not n:
         z = np.zeros(0, np.int64)
-        return z.astype(U), z.astype(np.uint8), z, z, np.zeros(len(o), np.int64)
+        return z.astype(U), z.astype(np.uint8), z, z, np.zeros(len(o), np.int64), z.astype(U)
     kind = _KIND[d]
     inner = np.flatnonzero((d == 46) | (d == 44))  # a point or comma between two digits belongs to the number
     inner = inner[(inner > 0) & (inner < n - 1)]
@@ -95,7 +99,8 @@ def canonical(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     before = np.concatenate(([-1], np.maximum.accumulate(solid)[:-1]))[s]  # last byte that isn't white space before a token
     first = np.repeat(o[:-1], np.diff(row))
     lines = np.concatenate(([0], np.cumsum(d == 10)))
-    opens = (before < first) | _STOP[d[np.maximum(before, 0)]] | (lines[s] > lines[np.maximum(before, 0)])
+    opens = _STOP[d[np.maximum(before, 0)]] | (lines[s] > lines[np.maximum(before, 0)])
+    opens = np.where(before < first, not within, opens)
     after = np.minimum(s + np.where(d[s] >= 0xC0, 2, 1), n - 1)
     mixed = capital[s] & (after < e) & ~capital[after]
     out = np.zeros(len(s), np.uint8)
@@ -117,26 +122,30 @@ def canonical(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     follow[row[:-1][row[:-1] < len(s)]] = False
     keep = np.flatnonzero(~follow)
     e = e[np.concatenate((keep[1:], [len(s)])) - 1] if len(s) else e
-    return h[keep], out[keep], s[keep], e, np.searchsorted(keep, row)
+    return h[keep], out[keep], s[keep], e, np.searchsorted(keep, row), span_hash(low, s[keep], e)
+
+
+_VERBATIM = U(0x5851F42D4C957F2D)
 
 
-def _windows(texts: pa.Array, sizes: list[int], least: int, known: dict[int, np.ndarray] | None, whole: int = 0) -> Iterator[tuple[int, int, int, int, list[str]]]:
+def _windows(texts: pa.Array, sizes: list[int], least: int, known: dict[int, np.ndarray] | None, whole: int = 0, within: bool = False) -> Iterator[tuple[int, int, int, int, list[str]]]:
     """(row, first token, tokens, hash, values of the placeholders) of windows; with ``known`` only those whose hash is in
-    it; with ``whole``, a row of fewer tokens than that is a window by itself and the sizes don't hold for it."""
+    it; with ``whole``, a row of fewer tokens than that is a window by itself and the sizes don't hold for it; with
+    ``within``, only the windows that begin a row, as they read with other words before them."""
     data, offsets = buffers(texts)
     for i, _, d, o in chunks(data, offsets):
-        h, kind, s, e, row = canonical(d, o)
+        h, kind, s, e, row, exact = canonical(d, o, within)
         plain = np.concatenate(([0], np.cumsum(kind == WORD_)))
         count = np.diff(row)
         for size in [0] if whole else sizes:
             length = np.minimum(count, whole) if whole else np.full(len(count), size)
-            many = np.where(length > 0, np.maximum(count - length + 1, 0), 0)
+            many = np.where(length >= least, np.maximum(count - length + 1, 0), 0)
+            if within:
+                many = np.minimum(many, 1)
             doc = np.repeat(np.arange(len(count)), many)
             start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + row[doc]
             end = start + length[doc]
-            ok = plain[end] - plain[start] >= least
-            doc, start, end = doc[ok], start[ok], end[ok]
-            key = span_hash(h, start, end)
+            key = np.where(plain[end] - plain[start] >= least, span_hash(h, start, end), span_hash(exact, start, end) ^ _VERBATIM)
             if known is not None:
                 hit = _among(key, known[size])
                 doc, start, end, key = doc[hit], start[hit], end[hit], key[hit]
@@ -167,10 +176,11 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, *,
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from rows(b.column("text"), b.column("item_id"), _windows(b.column("text"), [], least_words, None, window), "item_id")
+            for within in (False, True):
+                yield from rows(b.column("text"), b.column("item_id"), _windows(b.column("text"), [], least_words, None, window, within), "item_id")
 
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
-    items = stored(items.mapInArrow(of_items, f"item_id long, {columns}"), "items")
+    items = stored(items.mapInArrow(of_items, f"item_id long, {columns}").dropDuplicates(["item_id", "at", "size", "key"]), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` of them
     n_known = items.count()
     known = None
@@ -184,7 +194,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, *,
             yield from rows(b.column("text"), b.column("doc_id"), _windows(b.column("text"), sizes, least_words, known.value if known else None), "doc_id")
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    own = base.mapInArrow(of_docs, f"doc_id long, {columns}")
+    own = base.mapInArrow(released(of_docs), f"doc_id long, {columns}")
     right = items.select("item_id", F.col("at").alias("item_at"), "size", "key", F.col("slots").alias("item_slots"))
     met = own.join(right, ["size", "key"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pair = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
@@ -211,7 +221,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, *,
     return best.join(total, "item_id").select("doc_id", "item_id", "windows", F.round(F.col("windows") / F.col("of"), 6).alias("share"), "slots", "changed")
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` without those that hold part of a benchmark item; rows with a null id stay."""
-    gone = stored(template_matches(docs, benchmark, **how).select(F.col("doc_id").alias("gone")).distinct(), "leaks")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = stored(template_matches(docs, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
+    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")

@@ -1,25 +1,29 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of its own text. A text is encoded, piece by piece and as a whole,
+Each language has a zstandard raw-content dictionary made of its own text. A text, however long, is encoded piece by piece,
 once with each dictionary; the language whose dictionary makes it smallest is chosen, and the choice is rejected when the
 runner-up is nearly as small. zstandard stores a very short text raw, whatever the dictionary; so a text of fewer than ``SHORT``
 bytes, or of fewer than four times as many and the same size in all languages, is encoded behind a carrier that always compresses, once from each of its bytes on, and what it adds is summed.
 
 Defined results: a null, empty or blank text, and one whose margin is below ``least_margin``, is rejected (accepted false;
 lang null where there is no text to judge); of equal sizes the alphabetically first language is taken, with margin 0; rows
-are never dropped or merged, null and repeated ids included; an empty table gives no rows.
+are never dropped or merged, null and repeated ids included; an empty table gives no rows; without any dictionary, as of a
+corpus of which no row has a language label, ``detect_language`` rejects all, and ``without_unsure`` refuses to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm._shared import released
+
 PIECE = 4096  # bytes encoded at a time, so that a long text keeps meeting the dictionary and not only itself
 MATCH = 4  # least bytes of a match: short enough for what the words of one language share
 SEARCH = 5  # log2 of the match candidates looked at
@@ -30,9 +34,27 @@ CARRIER = bytes(64)
 def language_dictionaries(docs: DataFrame, most_bytes: int = 32 << 10, most_docs: int = 64, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Raw dictionary content of each labelled language: texts of at most ``most_docs`` documents, chosen by a hash of their
     id, up to ``most_bytes`` bytes; a bounded training sample, whatever the size of the corpus."""
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = docs.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).where("lang is not null and doc_id is not null").distinct()
-    chosen = labelled.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most_docs)
+    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("h")).where("lang is not null and doc_id is not null")
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, now]) if held is not None else now
+            if held.num_rows > 100_000:
+                held = smallest(held)
+        if held is not None:
+            yield from smallest(held).combine_chunks().to_batches()
+
+    def smallest(rows: pa.Table) -> pa.Table:
+        rows = rows.group_by(["lang", "doc_id", "h"]).aggregate([]).sort_by([("lang", "ascending"), ("h", "ascending"), ("doc_id", "ascending")]).select(["lang", "doc_id", "h"])
+        name = rows.column("lang").to_numpy()
+        new = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+        place = np.arange(len(name)) - np.repeat(new, np.diff(np.append(new, len(name))))
+        return rows.filter(pa.array(place < most_docs))
+
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = labelled.mapInArrow(least, labelled.schema).distinct().withColumn("k", F.row_number().over(by)).where(F.col("k") <= most_docs)
     ids = {(r["lang"], r["doc_id"]) for r in chosen.collect()}
     if not ids:
         return {}
@@ -92,10 +114,12 @@ def detect_language(docs: DataFrame, dictionaries: dict[str, bytes], least_margi
             lang, margin, ok = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(margin, pa.float64()), pa.array(ok, pa.bool_())], [*batch.schema.names, *out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def without_unsure(docs: DataFrame, dictionaries: dict[str, bytes], **how) -> DataFrame:
     """``docs`` without the rows whose language is rejected; their columns as they were."""
+    if not dictionaries and not docs.isEmpty():
+        raise ValueError("no document with a language label has text: there is nothing to tell languages by, and all documents would go")
     out = ("__lang_found", "__lang_margin", "__lang_accepted")
     return detect_language(docs, dictionaries, out=out, **how).where(out[2]).drop(*out)

@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm._bloom import bloom, bloom_size, in_bloom
-from ferrule.llm._shared import U, buffers, chunks, free, grams, mix, released, stored, words
+from ferrule.llm._shared import U, buffers, chunks, counted, counters, free, grams, mix, pack, released, stored, trim, unpacked, words
 
 BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size of the corpus
-SLICE = 1 << 16
 _CLASS = "doc_id long, hi long, lo long, size int"
 LIST = 4096  # classes of a list that meet at one place; a longer one is cut, and its parts meet in pairs
 PLACE = 500_000  # pairs verified at one place
@@ -78,12 +77,7 @@ def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
                 total += np.bincount(np.concatenate(seen), minlength=1 << BITS).astype(np.uint32)
             if signed:
                 yield _rows([-1], [np.concatenate(signed).tobytes()])
-        parts = [k for k in range(0, 1 << BITS, SLICE) if total[k : k + SLICE].any()]
-        yield _rows([k // SLICE for k in parts], [_pack(total[k : k + SLICE]) for k in parts])
-
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(_unpack(x).astype(np.uint64) for x in part.column("body").to_pylist())
-        return pa.table({"slice": part.column("slice")[:1].cast(pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
+        yield _rows(*counters(total))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +86,7 @@ def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(own[c]) for c in ("id", "hi", "lo", "size")], ["doc_id", "hi", "lo", "size"])
 
     seen = stored(docs.mapInArrow(released(survey), "slice int, body binary"), "survey")
-    out = np.zeros(1 << BITS, np.uint64)
-    for r in seen.where("slice >= 0").groupBy("slice").applyInArrow(add, "slice int, body binary").collect():
-        out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.body, np.uint64)
+    out = counted(seen.where("slice >= 0"), BITS)
     return out, seen.where("slice < 0").select("body").mapInArrow(unpack, _CLASS)
 
 
@@ -105,16 +97,6 @@ def _rows(slices: list[int], bodies: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(bodies, pa.binary())], ["slice", "body"])
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Counters in the narrowest type that holds them, its width first."""
-    kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
-    return bytes([kind.itemsize]) + a.astype(kind).tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[b[0]], offset=1)
-
-
 def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The counts as one logarithmic byte a bucket (what executors need for the order), and for each level the other
     documents a gram of it is expected to meet: its count less the mean load of a bucket, which is other grams' noise, but a
@@ -180,7 +162,7 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
                 used, local = np.unique(doc[own], return_inverse=True)
                 rows["bucket"].append(int(b))
                 rows["docs"].append(info[used].tobytes())
-                rows["doc"].append(_pack(local))
+                rows["doc"].append(pack(local))
                 rows["tok"].append(tok[own].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("docs", "doc", "tok"))], list(rows))
 
@@ -211,12 +193,16 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
     def meet(part: pa.Table) -> pa.Table:
         docs = [np.frombuffer(x, _INFO) for x in part.column("docs").to_pylist()]
         base = np.cumsum([0, *map(len, docs)])
-        doc = np.concatenate([_unpack(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
+        doc = np.concatenate([unpacked(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
         tok = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("tok").to_pylist()])
-        return pa.Table.from_pylist(list(shared_lists(np.concatenate(docs), doc, tok, buckets)), _LISTS)
+        out = pa.Table.from_pylist(list(shared_lists(np.concatenate(docs), doc, tok, buckets)), _LISTS)
+        trim()
+        return out
 
     def count(part: pa.Table) -> pa.Table:
-        return shared_pairs(part, t)
+        out = shared_pairs(part, t)
+        trim()
+        return out
 
     met = base.mapInArrow(released(prefixes), "bucket int, docs binary, doc binary, tok binary").repartition(min(buckets, 1 << 15), "bucket").groupBy("bucket").applyInArrow(meet, "place int, docs binary, many binary, parted binary, doc binary")
     met = met.repartition(min(buckets, 1 << 15), "place").groupBy("place").applyInArrow(count, "doc_a long, doc_b long, n int, need int, root long")
@@ -280,16 +266,16 @@ def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int
         docs = np.zeros(len(used), _CLASS_INFO)
         for f in _CLASS_INFO.names:
             docs[f] = head[f][used]
-        yield {"place": int(p), "docs": docs.tobytes(), "many": _pack(size), "parted": _pack(np.where(at[lists, 3] > 0, at[lists, 1], 0)), "doc": _pack(local)}
+        yield {"place": int(p), "docs": docs.tobytes(), "many": pack(size), "parted": pack(np.where(at[lists, 3] > 0, at[lists, 1], 0)), "doc": pack(local)}
 
 
 def shared_pairs(part: pa.Table, t: float) -> pa.Table:
     """Pairs of classes that share lists of one place, how many, how many they must share in all, and the smallest id that
     the first of them shares a list with here."""
     docs = [np.frombuffer(x, _CLASS_INFO) for x in part.column("docs").to_pylist()]
-    many, parted = (np.concatenate([_unpack(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
+    many, parted = (np.concatenate([unpacked(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
     base = np.cumsum([0, *map(len, docs)])
-    doc = np.concatenate([_unpack(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
+    doc = np.concatenate([unpacked(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
     info = np.concatenate(docs)
     order = np.lexsort((info["id"], info["size"]))
     new = np.ones(len(order), bool)
@@ -319,13 +305,13 @@ def shared_pairs(part: pa.Table, t: float) -> pa.Table:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     i = 0
     while i < len(some):
-        j = max(int(np.searchsorted(cum, cum[i] + 2_000_000, "right")) - 1, i + 1)
+        j = max(int(np.searchsorted(cum, cum[i] + 500_000, "right")) - 1, i + 1)
         own, m = some[i:j], count[some[i:j]]
         left = np.repeat(own, m)
         right = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(len(left))
         x, y = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
         found.append(np.unique((x.astype(U) << U(32)) | y.astype(U), return_counts=True))
-        if len(found) > 8:
+        if len(found) > 16:
             found = [_sum(found)]
         i = j
     if not found:

@@ -6,21 +6,25 @@ or a known given name, all capitalised words and initials that follow, and their
 them). An assigned secret runs to its closing quote or to white space. Each is replaced by one of its own
 kind, derived from a secret key: digits for digits and letters for letters in the same format and case, a valid check digit
 where there was one, a given name of the same gender and script, a surname of the same script. An entity is the same in all
-its spellings, so it has one surrogate in all documents, and all addresses of a domain share a surrogate domain.
+its spellings, so it has one surrogate in all documents, whatever the titles before a name: a given name that isn't in the list has the gender that most
+of its titles in the corpus say. A domain is an entity of its own, and all addresses of a domain share its surrogate.
 
 All distinct entities of the corpus are checked: where two would share a surrogate, or one would be given what is another's
 real value (initials aside: there are too few letters), all but the first get the surrogate of a further attempt, until none collide. Only those exceptions travel to the
 documents: as a broadcast table up to ``most_shipped`` of them, by a join beyond.
 
+The key has no default: whoever has it can work out what stands for a value.
+
 Defined results: a null text stays null; empty texts and texts without entities stay as they are; where findings overlap the
 one that starts first counts, then the kind listed first; rows are never dropped or merged, whatever their ids; other columns
-are kept; an empty table gives no rows.
+are kept, whatever their names; very long texts take time in proportion to their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm._shared import stored
+from ferrule.llm._shared import free, released, stored
 
-KEY = b"replace this key in production"
 GIVEN = {
     "m:latin": "James John Robert Michael William David George Henry Paul Peter Thomas Samuel Frank Jack Noah Liam Lucas Oliver Hans Pierre Carlos Miguel Juan Klaus",
     "f:latin": "Mary Alice Carol Emma Julia Karen Laura Maria Rachel Sarah Sofia Susan Olivia Isabella Natalia Jane Anna Claire Elena Greta Lucia Ingrid Marie Carmen",
@@ -47,6 +50,7 @@ TITLES = {t: g for g, own in (("m", "Mr Herr Monsieur Señor Sr господин
 
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _TITLED = re.compile(rf"\b({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})(?:\. ?| )(?=[^\W\d_])")
+_WHOLE = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _PIECE = re.compile(rf"([^\W\d_])\.|({_WORD})")  # an initial or a word
 _OF = {n: k for k, own in GIVEN.items() for n in own.split()}
 _NAMED = re.compile(rf"(?<![^\W_])({'|'.join(sorted(_OF, key=len, reverse=True))})(?= [^\W\d_])")
@@ -64,6 +68,7 @@ _NUMBER = re.compile(
     r"|(?P<phone>\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+(?!1)[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}([.-])[0-9]{3}\4[0-9]{4}(?![0-9-]))"
     r"|(?P<card>[0-9]{4}([ -])[0-9]{4}\6[0-9]{4}\6[0-9]{1,7}(?![0-9])|[0-9]{13,19}(?![0-9])))"
 )
+_LETTERS = re.compile(r"[^\W\d_]+")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 
 
@@ -116,8 +121,13 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
             end = own[-1].end()
             yield from name(own, _OF[m[1]][0])
     if parts:
-        for m in re.finditer(rf"(?<![\w])(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})(?![\w])", text):
-            yield m.start(), m.end(), parts[m[0]]
+        for m in _WHOLE.finditer(text):
+            if m[0] in parts:
+                yield m.start(), m.end(), parts[m[0]]
+            elif len(m[0]) > 1 and not m[0].isalpha():  # a name within hyphens or before an apostrophe
+                for x in _LETTERS.finditer(m[0]):
+                    if x[0] in parts:
+                        yield m.start() + x.start(), m.start() + x.end(), parts[x[0]]
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -187,13 +197,16 @@ def _letters(value: str, s: _Stream, hexadecimal: bool = False) -> str:
 SYLLABLES_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчш", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """What stands for a value, in the same normal form."""
+def surrogate(key: bytes, kind: str, value: str, attempt: int, domain_attempt: int = 0) -> str:
+    """What stands for a value, in the same normal form; after some attempts longer, where there may be too few of a length."""
     s = _Stream(key, kind, value, attempt)
+    more = "" if attempt < 4 else "".join(SYLLABLES["latin"][s.below(40)] for _ in range(attempt // 4))
     if kind == "email":
         local, _, domain = value.partition("@")
-        names, _, top = domain.rpartition(".")
-        return f"{_letters(local, s)}@{_letters(names, _Stream(key, 'domain', domain))}.{top}"
+        return f"{_letters(local, s)}{more}@{surrogate(key, 'domain', domain, domain_attempt)}"
+    if kind == "domain":
+        names, _, top = value.rpartition(".")
+        return f"{_letters(names, s)}{more}.{top}"
     if kind == "ip":
         own = value.split(".")
         keep = 1 if own[0] in ("10", "127") else 2 if own[:2] == ["192", "168"] else 0
@@ -234,66 +247,103 @@ def _dressed(surface: str, kind: str, new: str) -> str:
     return new
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
+Attempts = dict[tuple[str, str], tuple[str, int]]
+
+
+def replaced(text: str, key: bytes, attempts: Attempts) -> tuple[str, int]:
+    """The text with surrogates, and how many; attempts: of some (kind, value) the kind they are taken for and the attempt."""
     own = entities(text)
     out, at = [], 0
     for a, b, kind, value in own:
-        out += [text[at:a], _dressed(text[a:b], kind, surrogate(key, kind, value, attempts.get((kind, value), 0)))]
+        taken, n = attempts.get((kind, value), (kind, 0))
+        domain = attempts.get(("domain", value.partition("@")[2]), ("", 0))[1] if kind == "email" else 0
+        out += [text[at:a], _dressed(text[a:b], kind, surrogate(key, taken, value, n, domain))]
         at = b
     return ("".join(out) + text[at:], len(own)) if own else (text, 0)
 
 
+def keys_of(own: list[tuple[int, int, str, str]]) -> Iterator[tuple[str, str]]:
+    """Each entity found, and the domain of each address."""
+    for *_, kind, value in own:
+        yield kind, value
+        if kind == "email":
+            yield "domain", value.partition("@")[2]
+
+
 def attempts_needed(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame:
-    """(kind, value, attempt) of those entities of found(kind, value), distinct, that the first attempt doesn't suit."""
+    """(kind, value, attempt) of those entities of found(kind, value, domain_attempt), distinct, that the first attempt doesn't suit."""
     family = F.regexp_extract("kind", "^[a-z]+", 0)  # names are apart from each other whatever their gender and script
+    columns = ("kind", "value", "domain_attempt", "attempt")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [surrogate(key, k, v, n) for k, v, n in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "attempt")))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "value", "attempt")), pa.array(new, pa.string())], ["kind", "value", "attempt", "new"])
+            new = [surrogate(key, k, v, n, d) for k, v, d, n in zip(*(b.column(c).to_pylist() for c in columns))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(new, pa.string())], [*columns, "new"])
 
-    schema = "kind string, value string, attempt int, new string"
+    schema = "kind string, value string, domain_attempt int, attempt int, new string"
     real = found.select(family.alias("family"), F.col("value").alias("new"), F.lit(True).alias("real")).distinct()
-    now = stored(found.withColumn("attempt", F.lit(0)).mapInArrow(propose, schema), "surrogates")
+    now = stored(found.select(*columns[:3], F.lit(0).alias("attempt")).mapInArrow(propose, schema), "surrogates")
     by = Window.partitionBy("family", "new").orderBy("attempt", "kind", "value")
     for _ in range(most_rounds):
         judged = now.withColumn("family", family).withColumn("k", F.row_number().over(by)).join(real, ["family", "new"], "left")
-        judged = stored(judged.select("kind", "value", "attempt", "new", ((F.col("k") > 1) | F.col("real").isNotNull()).alias("clash")), "judged")
+        judged = stored(judged.select(*columns, "new", ((F.col("k") > 1) | F.col("real").isNotNull()).alias("clash")), "judged")
         again = judged.where("clash")
         if again.isEmpty():
+            free(judged)
             return now.where("attempt > 0").select("kind", "value", "attempt")
-        fresh = again.select("kind", "value", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(propose, schema)
-        now = stored(judged.where("not clash").drop("clash").unionByName(fresh), "surrogates")
+        fresh = again.select(*columns[:3], (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(propose, schema)
+        after = stored(judged.where("not clash").drop("clash").unionByName(fresh), "surrogates")
+        free(now, judged)
+        now = after
     raise RuntimeError("surrogates still collide")
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY, *, text: str = "text", count: str | None = None, most_shipped: int = 1_000_000) -> DataFrame:
+def exceptions(seen: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, taken, attempt) of those entities of seen(kind, value, n), counted over the corpus, that aren't taken for
+    the kind they were found as or need another attempt."""
+    given = F.col("kind").startswith("given:")
+    known = ~given | F.col("kind").startswith("given:u:")
+    votes = F.struct((~known).alias("says"), F.col("n"), F.col("kind"))
+    kinds = seen.where(given).groupBy("value").agg(F.max_by("kind", votes).alias("taken"))
+    found = stored(seen.join(kinds, "value", "left").select("kind", "value", F.coalesce(F.when(given, F.col("taken")), F.col("kind")).alias("taken")), "taken")
+    own = found.select(F.col("taken").alias("kind"), "value").distinct().where("kind <> 'initial'").withColumn("domain_attempt", F.lit(0))
+    domains = stored(attempts_needed(own.where("kind = 'domain'"), key), "domains")
+    rest = own.where("kind <> 'domain'").drop("domain_attempt").withColumn("domain", F.when(F.col("kind") == "email", F.substring_index("value", "@", -1)))
+    rest = rest.join(domains.select(F.col("value").alias("domain"), F.col("attempt").alias("domain_attempt")), "domain", "left")
+    others = attempts_needed(stored(rest.select("kind", "value", F.coalesce("domain_attempt", F.lit(0)).alias("domain_attempt")), "named"), key)
+    need = domains.unionByName(others).withColumnRenamed("kind", "taken")
+    out = found.join(need, ["taken", "value"], "left").where("attempt is not null or taken <> kind")
+    return out.select("kind", "value", "taken", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+
+
+def surrogates(docs: DataFrame, key: bytes, *, text: str = "text", count: str | None = None, most_shipped: int = 1_000_000) -> DataFrame:
     """``docs`` with the entities of its texts replaced; with ``count``, how many, in a column of that name."""
-    texts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    own_name, row_name = (name + "_" * sum(c.startswith(name) for c in docs.columns) * 40 for name in ("__own", "__row"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = sorted({(k, v) for t in b.column("text").to_pylist() for *_, k, v in entities(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], pa.string()) for i in (0, 1)], ["kind", "value"])
+            own = sorted(Counter(x for t in b.column("text").to_pylist() for x in set(keys_of(entities(t)))).items())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in own], pa.string()), pa.array([x[0][1] for x in own], pa.string()), pa.array([x[1] for x in own], pa.int64())], ["kind", "value", "n"])
 
-    found = stored(texts.mapInArrow(find, "kind string, value string").distinct(), "entities")
-    need = stored(attempts_needed(found.where("kind <> 'initial'"), key), "attempts")
+    found = stored(texts.mapInArrow(released(find), "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "entities")
+    need = stored(exceptions(found, key), "exceptions")
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != count))
     tables = None
     if need.count() <= most_shipped:
-        tables = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in need.collect()})
-        rows = kept.withColumn("__own", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        tables = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): (r["taken"], r["attempt"]) for r in need.collect()})
+        rows = kept.withColumn(own_name, F.lit(None).cast("array<struct<kind:string,value:string,taken:string,attempt:int>>"))
     else:  # each text with the exceptions among its own entities
-        ided = stored(kept.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        ided = stored(kept.withColumn(row_name, F.monotonically_increasing_id()), "rows")
 
         def of_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own = [(r, k, v) for r, t in zip(b.column("__row").to_pylist(), b.column("text").to_pylist()) for k, v in sorted({(k, v) for *_, k, v in entities(t or "")})]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], t) for i, t in ((0, pa.int64()), (1, pa.string()), (2, pa.string()))], ["__row", "kind", "value"])
+                own = [(r, k, v) for r, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist()) for k, v in sorted(set(keys_of(entities(t or ""))))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], t) for i, t in ((0, pa.int64()), (1, pa.string()), (2, pa.string()))], ["row", "kind", "value"])
 
-        each = ided.select("__row", F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(of_row, "__row long, kind string, value string")
-        lists = each.join(need, ["kind", "value"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__own"))
-        rows = ided.join(lists, "__row", "left").drop("__row")
+        each = ided.select(F.col(row_name).alias("row"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(of_row, "row long, kind string, value string")
+        lists = each.join(need, ["kind", "value"]).groupBy(F.col("row").alias(row_name)).agg(F.collect_list(F.struct("kind", "value", "taken", "attempt")).alias(own_name))
+        rows = ided.join(lists, row_name, "left").drop(row_name)
 
     fields = [f if f.name != text else T.StructField(f.name, T.StringType()) for f in kept.schema.fields]
     names = [f.name for f in fields]
@@ -301,9 +351,9 @@ def surrogates(docs: DataFrame, key: bytes = KEY, *, text: str = "text", count:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column("__own").to_pylist() if tables is None else [None] * b.num_rows
+            own = b.column(own_name).to_pylist() if tables is None else [None] * b.num_rows
             got = [
-                (None, 0) if t is None else replaced(t, key, tables.value if tables is not None else {(x["kind"], x["value"]): x["attempt"] for x in (n or ())})
+                (None, 0) if t is None else replaced(t, key, tables.value if tables is not None else {(x["kind"], x["value"]): (x["taken"], x["attempt"]) for x in (n or ())})
                 for t, n in zip(b.column(text).cast(pa.string()).to_pylist(), own)
             ]
             new = pa.array([t for t, _ in got], pa.string())
@@ -312,4 +362,4 @@ def surrogates(docs: DataFrame, key: bytes = KEY, *, text: str = "text", count:
                 columns.append(pa.array([n for _, n in got], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names + ([count] if count else []))
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(released(apply), schema)

@@ -6,7 +6,7 @@ are worth and so the posterior probability of good for each pattern. Those poste
 bounded sample, and the scorer rates every document.
 
 Defined results: a null, empty or blank text has no features and gets score 0.0 and keep false; texts that are equal get equal
-scores; a row with a null id keeps it; repeated rows are rated each; other columns are ignored; an empty table gives no rows. If
+scores; a row with a null id keeps it; repeated rows are rated each; very long texts are rated whole; other columns are ignored; an empty table gives no rows. If
 no sample row has a posterior (no text at all), every score is 0.0.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import SOLID, U, WORD, buffers, chunks, mix, span_hash, spans
+from ferrule.llm._shared import SOLID, U, WORD, buffers, chunks, mix, released, span_hash, spans
 
 BUCKETS = 1 << 17
 LABELLERS = ("symbols", "capitals", "repetition", "function_words", "word_length", "sentences", "length", "digits", "shouting", "separators", "symbol_runs", "symbol_ends", "passages")
@@ -189,7 +189,7 @@ def quality_classifier(docs: DataFrame, least_score: float = 0.5, train_docs: in
                     total[int(k)] = total.get(int(k), 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["pattern", "n"])
 
-    got = base.select("text").mapInArrow(cast_votes, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+    got = base.select("text").mapInArrow(released(cast_votes), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     pattern, n = got.column("pattern").to_numpy(), got.column("n").to_numpy()
     decoded = (pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3).astype(np.int8) - 1
     posterior, _ = expectation_maximisation(decoded, n)
@@ -199,7 +199,8 @@ def quality_classifier(docs: DataFrame, least_score: float = 0.5, train_docs: in
 
     total = int(n.sum())
     share = min(1.0, train_docs / max(total, 1))
-    chosen = base.where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(1_000_000_007)) < int(share * 1_000_000_007))
+    hashed = base.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod(F.col("h"), F.lit(1_000_000_007)) < int(share * 1_000_000_007))
+    chosen = hashed.dropDuplicates(["doc_id", "h"]).drop("h")  # repeated rows have one hash: they count once here
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, code = _known(), 3 ** np.arange(len(LABELLERS))
@@ -236,4 +237,4 @@ def quality_classifier(docs: DataFrame, least_score: float = 0.5, train_docs: in
                 score = np.round(np.where(ok & trained, 1 / (1 + np.exp(-z)), 0.0), 6)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(score), pa.array((score >= least_score) & ok), pa.array(np.round(p, 6))], ["doc_id", "score", "keep", "posterior"])
 
-    return base.mapInArrow(rate, "doc_id long, score double, keep boolean, posterior double")
+    return base.mapInArrow(released(rate), "doc_id long, score double, keep boolean, posterior double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ from ferrule.llm.topk import exact_top_k
 #: a published byte-level vocabulary of this machine; the operators take the path as a parameter
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
+_OWN_KEY = secrets.token_bytes(32)
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret of the session's setting spark.ferrule.surrogate.key; where it's unset, one of this process alone."""
+    return (spark.conf.get("spark.ferrule.surrogate.key", None) or "").encode() or _OWN_KEY
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +40,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), count="n_replaced")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +54,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+    return place(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +129,37 @@ FROM placed GROUP BY conv_id
 """
 
 _SHARD = f"""
-SELECT doc_id, ([{", ".join(f"'{SHARDS[k]}'" for k in lookup_table(SHARDS))}])[1 + CAST(('0x' || md5(CAST(doc_id AS VARCHAR))[1:8]) AS BIGINT) % {SLOTS}] AS shard
+SELECT documents.*, ([{", ".join(f"'{SHARDS[k]}'" for k in lookup_table(SHARDS))}])[1 + CAST(('0x' || md5(CAST(doc_id AS VARCHAR))[1:8]) AS BIGINT) % {SLOTS}] AS shard
 FROM documents
 """
 
+#: Every pair of texts by the grams that they share; groups by following the links.
+_JOIN = r"""
+WITH RECURSIVE t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS node, doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM t),
+g AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM d WHERE len(w) > 0),
+size AS (SELECT node, count(*) AS n FROM g GROUP BY node),
+common AS (SELECT a.node AS a, b.node AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.node < b.node GROUP BY a.node, b.node),
+pair AS (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN size x ON x.node = a JOIN size y ON y.node = b WHERE c >= (0.6 - 1e-9) * (x.n + y.n - c)),
+link AS (SELECT a, b, same FROM pair UNION ALL SELECT b, a, same FROM pair),
+reach(a, b) AS (SELECT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT reach.a, min(doc_id) AS class_id FROM reach JOIN d ON d.node = reach.b GROUP BY reach.a)
+SELECT d.doc_id, class_id, count(*) AS n_links, count(*) FILTER (same) AS n_copies FROM link JOIN d ON d.node = link.a JOIN class ON class.a = link.a GROUP BY d.node, d.doc_id, class_id
+"""
+
+_REPEATS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 49], ' ') AS window_ FROM p),
+o AS (SELECT doc_id, pos, count(*) OVER g AS copies, row_number() OVER (PARTITION BY window_ ORDER BY doc_id, pos) = 1 AS first FROM x WINDOW g AS (PARTITION BY window_) QUALIFY copies > 1),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, first ORDER BY pos) AS run FROM o)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word, max(copies) AS copies, first FROM r GROUP BY doc_id, first, run
+"""
+
 SQL: dict[str, str] = {
     "op4_exact_top_k": _TOP_K,
     "op5_chat_formatting": _CHAT,
     "op6_sharding": _SHARD,
+    "op7_ngram_jaccard_join": _JOIN,
+    "op10_suffix_dedup": _REPEATS,
 }

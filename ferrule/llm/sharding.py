@@ -28,6 +28,8 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
     """The index of the shard that holds each slot."""
     if not shards or len(set(shards)) != len(shards) or slots < len(shards):
         raise ValueError("shards have distinct names and at least a slot each")
+    if any("\n" in s for s in shards):
+        raise ValueError("the name of a shard is one line")
     if any(slots % k == 0 for k in range(2, int(slots**0.5) + 1)):
         raise ValueError("the number of slots is a prime")
     at = [_hash(s, "offset") % slots for s in shards]

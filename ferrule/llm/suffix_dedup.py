@@ -7,6 +7,10 @@ the last digit the groups left are exactly the windows of ``length`` words that
 Before the passes, suffixes that can't repeat are dropped without being sent anywhere: each window has an anchor (its first
 smallest word gram), equal windows have equal anchors, so a window whose anchor occurs once in the corpus occurs once.
 
+A first digit of very many suffixes, as of a line that a third of all documents hold, would make one partition too large. A
+count sketch, filled in the scan that finds the anchors, tells such digits; their suffixes are counted by aggregation within
+tasks first, and the groups found are joined back, a join that Spark splits where one side is skewed.
+
 Defined results: words are runs of bytes other than ASCII white space, compared exactly; a text of fewer than ``length``
 words, a null or empty text and a null id give no rows; repeated rows of one id are occurrences in one document; an empty
 table gives no rows; columns other than the id and text are ignored. The first occurrence of a window is that of the smallest
@@ -15,7 +19,7 @@ table gives no rows; columns other than the id and text are ignored. The first o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm._bloom import bloom, bloom_size, in_bloom
-from ferrule.llm._shared import SOLID, U, buffers, chunks, span_hash, spans, stored
+from ferrule.llm._shared import SOLID, U, buffers, chunks, counted, counters, free, released, span_hash, spans, stored
 
 _AT = U((1 << 28) - 1)  # low bits of a sort key that hold a position
-SPAN = "doc_id long, start_word int, end_word int, copies long, first boolean"
+SKETCH = 20  # log2 of the counters of first digits
+_TOP = U(64 - SKETCH)
 
 
 def windows(texts: pa.Array, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,41 +57,66 @@ def windows(texts: pa.Array, length: int, gram: int) -> Iterator[tuple[int, np.n
         yield i, tokens, row, start, anchor, g[anchor]
 
 
-def repeated_windows(docs: DataFrame, length: int = 50, gram: int = 10, digits: int = 3, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 50, gram: int = 10, digits: int = 3, *, text: str = "text", doc_id: str = "doc_id", most_equal: int = 2_000_000) -> DataFrame:
     """One row for each occurrence of a window of ``length`` words that occurs more than once: doc_id, pos (first word),
-    copies, first (it is the occurrence to keep)."""
+    copies, first (it is the occurrence to keep). A first digit of more suffixes than ``most_equal``, and than eight times the
+    mean load of a counter of the sketch, is counted before it is sent anywhere."""
     if not 0 < gram <= length:
         raise ValueError("a gram has between 1 and length words")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     cuts = [round(k * length / digits) for k in range(digits + 1)]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH, np.uint32)
         for batch in batches:
-            got = [h[np.unique(a, return_index=True)[1]] for *_, a, h in windows(batch.column("text"), length, gram)]
+            got = []
+            for _, tokens, _, start, a, h in windows(batch.column("text"), length, gram):
+                got.append(h[np.unique(a, return_index=True)[1]])
+                sketch += np.bincount((span_hash(tokens, start, start + cuts[1]) >> _TOP).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
             if got:
                 h, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
-
-    again = stored(base.mapInArrow(anchors, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())], columns)
+        slices, bodies = counters(sketch)
+        m = len(slices)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(slices, pa.int32()), pa.array(bodies, pa.binary())], columns)
+
+    columns = ["anchor", "n", "slice", "body"]
+    seen = stored(base.mapInArrow(released(anchors), "anchor long, n int, slice int, body binary"), "anchors")
+    again = stored(seen.where("slice is null").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "again")
     filt = docs.sparkSession.sparkContext.broadcast(bloom(again, "anchor", bloom_size(again.count())))
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, tokens, row, start, _, h in windows(batch.column("text"), length, gram):
-                start = start[in_bloom(filt.value, h)]
-                if len(start):
-                    doc = np.searchsorted(row, start, "right") - 1
-                    keys = [span_hash(tokens, start + a, start + b).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:])]
-                    cols = [pa.array(ids[i + doc]), pa.array((start - row[doc]).astype(np.int32)), *map(pa.array, keys)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", *names])
-
+    load = counted(seen.where("slice is not null"), SKETCH)
+    free(seen, again)
+    heavy = load > max(most_equal, 8 * int(load.sum()) >> SKETCH)
+    split = bool(heavy.any())
+    ruled = docs.sparkSession.sparkContext.broadcast(heavy)
     names = [f"d{k}" for k in range(digits)]
-    rows = base.mapInArrow(suffixes, "doc_id long, pos int, " + ", ".join(f"{d} long" for d in names))
+
+    def suffixes(hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                for i, tokens, row, start, _, h in windows(batch.column("text"), length, gram):
+                    start = start[in_bloom(filt.value, h)]
+                    if split:
+                        start = start[ruled.value[(span_hash(tokens, start, start + cuts[1]) >> _TOP).astype(np.int64)] == hot]
+                    if len(start):
+                        doc = np.searchsorted(row, start, "right") - 1
+                        keys = [span_hash(tokens, start + a, start + b).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:])]
+                        cols = [pa.array(ids[i + doc]), pa.array((start - row[doc]).astype(np.int32)), *map(pa.array, keys)]
+                        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", *names])
+
+        return released(run)
+
+    schema = "doc_id long, pos int, " + ", ".join(f"{d} long" for d in names)
+    rows = base.mapInArrow(suffixes(False), schema)
     for k in range(1, digits):  # one exchange, by the first digit; later passes sort within its partitions
         rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy(*names[:k]))).where("copies > 1")
     whole = Window.partitionBy(*names)
     rows = rows.withColumn("copies", F.count("*").over(whole)).withColumn("head", F.min(F.struct("doc_id", "pos")).over(whole)).where("copies > 1")
+    if split:
+        hot = base.mapInArrow(suffixes(True), schema)
+        groups = stored(hot.groupBy(*names).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "pos")).alias("head")).where("copies > 1"), "groups")
+        rows = rows.unionByName(hot.join(groups, names))
     return rows.select("doc_id", "pos", "copies", (F.struct("doc_id", "pos") == F.col("head")).alias("first"))
 
 

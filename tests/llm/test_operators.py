@@ -1,7 +1,9 @@
 """The training-data operators against brute force, on small tables of every awkward kind."""
 
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from ferrule.llm import bpe, chat, decontam, langid, ngram_join, pii, quality, s
 from ferrule.llm._shared import buffers, table
 from ferrule.llm.queries import RANKS
 
+KEY = b"a key of the tests"
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, score double, shard string, ids string, bucket int"
 
@@ -63,6 +66,58 @@ def test_quality_against_labels(spark):
     assert sum(good) / len(good) > 0.95 and 1 - sum(poor) / len(poor) > 0.6
 
 
+def plain_votes(text):
+    """The labellers once more, one text at a time in plain Python."""
+    raw = (text or "").encode()
+    kinds = ["space" if c in b" \t\n\r\x0b\x0c" else "letter" if 97 <= c <= 122 or c >= 128 else "capital" if 65 <= c <= 90 else "digit" if 48 <= c <= 57 else "other" if c in b"#$%&*|{}<>@^~=+\\_`[]" or c < 32 else "mark" for c in raw]
+    solid, letters = max(sum(k != "space" for k in kinds), 1), max(sum(k in ("letter", "capital") for k in kinds), 1)
+    words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    n, some = len(words), max(len(words), 1)
+    if not n:
+        return [0] * len(quality.LABELLERS)
+
+    def repeated(k):
+        runs = [tuple(words[i : i + k]) for i in range(n - k + 1)]
+        return (len(runs) - len(set(runs))) / max(len(runs), 1)
+
+    known = {w.encode() for w in quality.FUNCTION_WORDS.split()}
+    share = lambda k: sum(x == k for x in kinds)
+    common, length, ends = sum(w in known for w in words) / some, sum(map(len, words)) / some, sum(raw.count(c) for c in (b".", b"?", b"!")) / some
+    runs = sum(raw[i] == raw[i - 1] == raw[i - 2] and kinds[i] in ("mark", "other") for i in range(2, len(raw)))
+    tails = sum(k == "other" and (i + 1 == len(raw) or kinds[i + 1] == "space") for i, k in enumerate(kinds))
+    rules = [
+        (False, share("other") / solid > 0.06), (False, share("capital") / letters > 0.3), (False, repeated(3) > 0.3), (common > 0.15, common < 0.03 and n >= 20), (3 <= length <= 8, length < 2 or length > 14),
+        (1 / 60 < ends < 1 / 3, ends == 0 and n >= 40 or ends > 0.5), (n >= 40, n < 6), (False, share("digit") / solid > 0.2), (False, raw.count(b"!") / some > 0.1), (False, (raw.count(b"|") + raw.count(b"\t")) / some > 0.1),
+        (False, runs / some > 0.15), (False, tails / some > 0.15), (False, repeated(8) > 0.2 and n >= 20),
+    ]
+    return [-1 if poor else 1 if good else 0 for good, poor in rules]
+
+
+def test_quality_against_plain_labellers_and_em(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()] + [(900, None), (901, ""), (902, "one"), (None, "one two"), (903, "#### ==== !!!!"), (903, "#### ==== !!!!")]
+    cast = [plain_votes(t) for _, t in rows]
+    has = [bool(re.search(rb"[0-9A-Za-z\x80-\xff]", (t or "").encode())) for _, t in rows]
+    own = [v for v, h in zip(cast, has) if h]
+    post = [1 / (1 + math.exp(-(sum(x > 0 for x in v) - 4.0 * sum(x < 0 for x in v)))) for v in own]
+    for _ in range(60):
+        theta = [[[1 + sum(p if c else 1 - p for v, p in zip(own, post) if v[k] == x) for x in (-1, 0, 1)] for k in range(len(own[0]))] for c in (0, 1)]
+        theta = [[[x / sum(row) for x in row] for row in one] for one in theta]
+        prior = min(max(sum(post) / len(post), 0.01), 0.99)
+        new = []
+        for v in own:
+            a, b = (sum(math.log(theta[c][k][x + 1]) for k, x in enumerate(v)) for c in (0, 1))
+            new.append(1 / (1 + math.exp(min(max(a - b + math.log(1 - prior) - math.log(prior), -500), 500))))
+        done = max(abs(x - y) for x, y in zip(new, post)) < 1e-7
+        post = new
+        if done:
+            break
+    post = iter(post)
+    want = sorted((repr(i), round(next(post), 4) if h else 0.0) for (i, _), h in zip(rows, has))
+    got = quality.quality_classifier(docs(spark, rows)).collect()
+    assert [(a, pytest.approx(b, abs=2e-4)) for a, b in want] == sorted((repr(r["doc_id"]), r["posterior"]) for r in got)
+    assert all(r["score"] == 0.0 and not r["keep"] for r in got if r["doc_id"] in (900, 901, 903) and not r["posterior"])
+
+
 def test_quality_awkward(spark, awkward, nothing):
     got = quality.quality_classifier(awkward).collect()
     by = {}
@@ -149,7 +204,7 @@ def test_folds_are_the_plain_algorithm(spark, tmp_path, monkeypatch):
 def test_surrogates(spark, nothing):
     text = "Mr. John Smith <john.smith@mail.org>, Frau Müller; Smith: +1 (017) 555-7713, 4111 1111 1111 1111, 10.1.2.3. token = \"abe29cfcdae4f03e1e339fcaa4c5bb6c83baff71\" г-жа Иванова"
     rows = docs(spark, [(1, text), (2, "JOHN.SMITH@MAIL.ORG and +10175557713 by Dr. Smith"), (3, None), (4, ""), (5, "clean text, version 3.1 of 2024-01-02"), (None, text)])
-    got = {r["doc_id"]: r for r in pii.surrogates(rows, count="n").collect()}
+    got = {r["doc_id"]: r for r in pii.surrogates(rows, KEY, count="n").collect()}
     new = got[1]["text"]
     assert got[None]["text"] == new and got[3]["text"] is None and got[4]["text"] == "" and got[5]["n"] == 0 and got[5]["text"].startswith("clean text, version 3.1")
     for secret in ("John", "Smith", "john.smith", "Müller", "555-7713", "4111 1111", "10.1.2.3", "abe29cfc", "Иванова"):
@@ -158,7 +213,7 @@ def test_surrogates(spark, nothing):
     assert own["given:m:latin"] in pii.GIVEN["m:latin"] and len(own["card"]) == 19 and pii._luhn(own["card"].replace(" ", "")) and own["ip"].startswith("10.")
     assert own["phone"].startswith("+1 (") and own["family:f:cyrillic"].endswith("ова")
     assert own["email"].upper() in got[2]["text"] and "".join(c for c in own["phone"] if c.isdigit()) in got[2]["text"] and own["family:u:latin"] in got[2]["text"]
-    assert got[1]["source"] == "s" and pii.surrogates(nothing, count="n").count() == 0
+    assert got[1]["source"] == "s" and pii.surrogates(nothing, KEY, count="n").count() == 0
 
 
 def test_surrogates_leave_no_part():
@@ -172,23 +227,88 @@ def test_surrogates_leave_no_part():
         ("password = S3cr3t!Pass99 end", ("S3cr3t", "Pass99")),
         ('{"password": "correct horse"} pwd=hunter, end', ("correct", "horse", "hunter")),
     ):
-        new, n = pii.replaced(text, pii.KEY, {})
+        new, n = pii.replaced(text, KEY, {})
         assert n and not [g for g in gone if g in new], new
     for text in ("the key: remember this", "password: !!!!!!!!", "Li and Ng spoke", "John went home"):
-        assert pii.replaced(text, pii.KEY, {}) == (text, 0)
+        assert pii.replaced(text, KEY, {}) == (text, 0)
 
 
 def test_surrogates_stay_distinct(spark):
     names = [f"{n} Person" for n in pii.GIVEN["m:latin"].split()] + [f"Dr. Alex{c} Person" for c in "abcdefghij"]
     rows = docs(spark, [(i, f"Mr. {n.removeprefix('Dr. ')}") for i, n in enumerate(names)])
     for shipped in (1_000_000, 0):
-        got = [r["text"] for r in pii.surrogates(rows, most_shipped=shipped).orderBy("doc_id").collect()]
+        got = [r["text"] for r in pii.surrogates(rows, KEY, most_shipped=shipped).orderBy("doc_id").collect()]
         assert len(set(got)) == len(names) and not set(got) & {f"Mr. {n}" for n in names}
         if shipped:
             first = got
     assert got == first
 
 
+def test_one_person_after_any_title(spark):
+    texts = ["Mr. Jonas Weber", "Dr. Jonas Weber", "Mr. Jonas Weber said", "Ms. Jonas Weber", "Frau Petra Kern", "Prof. Petra Kern", "Jonas alone stays", "Prof. Rufus Ton"]
+    for shipped in (1_000_000, 0):
+        got = [r["text"].split() for r in pii.surrogates(docs(spark, list(enumerate(texts))), KEY, most_shipped=shipped).orderBy("doc_id").collect()]
+        assert len({tuple(w[1:3]) for w in got[:4]}) == 1 and got[4][1:] == got[5][1:] and got[6] == texts[6].split()
+        assert got[0][1] in pii.GIVEN["m:latin"] and got[4][1] in pii.GIVEN["f:latin"] and got[7][1] in pii.GIVEN["u:latin"]
+
+
+def test_domains_stay_distinct(spark):
+    names = [a + b for a in "abcdefghij" for b in "abcdefghijklmnopqrstuvwxyz"] + list("abcdefghijklmnopqrstuvwxyz")
+    rows = docs(spark, [(i, f"write to x{i % 3}@{n}.co or info@{n}.co") for i, n in enumerate(names)])
+    for shipped in (1_000_000, 0):
+        got = [pii.entities(r["text"]) for r in pii.surrogates(rows, KEY, most_shipped=shipped).orderBy("doc_id").collect()]
+        domains = [{v.partition("@")[2] for *_, v in own} for own in got]
+        assert all(len(d) == 1 for d in domains) and len({x for d in domains for x in d}) == len(names)
+        assert not {x for d in domains for x in d} & {f"{n}.co" for n in names}
+
+
+def test_surrogates_against_a_model(spark):
+    """Each value has one surrogate in all documents, no two share one and none is another's real value."""
+    rng = random.Random(33)
+    people = [(rng.choice(["Mr.", "Ms.", "Dr."]), f"{rng.choice('BCDFG')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.choice('aeiou')}", f"{rng.choice('KLMNP')}{rng.choice('aeiou')}{rng.choice('rst')}{rng.choice('aeiou')}n") for _ in range(60)]
+    rows = [(rng.choice([i, 7, None]), "; ".join(rng.choice([f"{t} {g} {f}", f"{g.lower()}@{f.lower()}.org", f"+49 30 {rng.randrange(10**3, 10**4)} 12", f"10.0.0.{rng.randrange(256)}"]) for t, g, f in rng.sample(people, 6))) for i in range(80)]
+    table_ = docs(spark, rows).withColumnRenamed("source", "__own").withColumnRenamed("rank", "__row")
+    for shipped in (1_000_000, 0):
+        got = pii.surrogates(table_, KEY, count="n_chars", most_shipped=shipped)
+        assert set(got.columns) == set(table_.columns)
+        after = sorted((repr(r["doc_id"]), r["text"]) for r in got.collect())
+        stands: dict = {}
+        assert len(after) == len(rows)
+        keyed = {r["shard"]: r["text"] for r in pii.surrogates(spark.createDataFrame([(str(k), t) for k, (_, t) in enumerate(rows)], "shard string, text string"), KEY, most_shipped=shipped).collect()}
+        for k, (_, before) in enumerate(rows):
+            for (a, b, kind, value), part in zip(pii.entities(before), _aligned(before, keyed[str(k)])):
+                if kind != "initial":
+                    assert stands.setdefault((kind.split(":")[0], value), part.lower()) == part.lower()
+        for family in {f for f, _ in stands}:
+            own = [n for (f, _), n in stands.items() if f == family]
+            assert len(set(own)) == len(own) and (family in ("ip",) or not set(own) & {v for f, v in stands if f == family})
+
+
+def _aligned(before, after):
+    """The parts of ``after`` that stand where entities are in ``before``, by the text between them."""
+    own, out, at, last = pii.entities(before), [], 0, 0
+    for n, (a, b, *_rest) in enumerate(own):
+        at += a - last
+        last = b
+        gap = before[b : own[n + 1][0]] if n + 1 < len(own) else before[b:]
+        end = after.index(gap, at + 1) if gap else len(after)
+        out.append(after[at:end])
+        at = end
+    return out
+
+
+def test_names_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = " ".join(f"Mr. A{'bcdefghijk'[i % 10]}{'lmnopqrstu'[i // 10 % 10]}{'aeiouvwxyz'[i // 100 % 10]}{'bcdfg'[i // 1000]} spoke." for i in range(n))
+        began = time.process_time()
+        assert len(pii.entities(text)) == n
+        return time.process_time() - began
+
+    assert took(5000) < 12 * took(1000) + 0.2
+
+
 # 4
 
 
@@ -217,7 +337,9 @@ def test_top_k_against_all_scores(spark, awkward, nothing):
     assert sorted(map(tuple, got)) == sorted(want)
     split = topk.exact_top_k(d, q, 7, most_queries=2).collect()
     assert sorted(map(tuple, split)) == sorted(want)
-    assert topk.exact_top_k(nothing, q).count() == 0 and topk.exact_top_k(d, q.limit(0)).count() == 0 and topk.exact_top_k(awkward, q).count() >= 0
+    assert topk.exact_top_k(nothing, q).count() == 0 and topk.exact_top_k(d, q.limit(0)).count() == 0
+    want = {(i, 1 + k, d) for i in (1,) for k, d in enumerate(sorted(r["doc_id"] for r in awkward.collect() if r["doc_id"] is not None and {"w1", "w2", "w3"} & set((r["text"] or "").split())))}
+    assert {(r["query_id"], r["doc_id"]) for r in topk.exact_top_k(awkward, q, 99).where("query_id = 1").collect()} == {(i, d) for i, _, d in want}
 
 
 # 5
@@ -253,8 +375,9 @@ def test_sharding(spark, awkward, nothing):
     got = sharding.place(awkward, names, 2003).collect()
     assert len(got) == awkward.count() and all((r["shard"] is None) == (r["doc_id"] is None) for r in got)
     assert len({r["shard"] for r in got if r["doc_id"] == 6}) == 1 and sharding.place(nothing, names, 2003).count() == 0
-    with pytest.raises(ValueError):
-        sharding.lookup_table(names, 2000)
+    for bad, slots in ((names, 2000), (["a\nb", "c"], 2003), (["a", "a"], 2003)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(bad, slots)
 
 
 # 7
@@ -328,20 +451,39 @@ def test_bitmaps_never_bound_too_low():
 def test_language(spark, awkward, nothing):
     sf = "/root/testdata/sf0.01"
     d = table(spark, sf, "documents")
-    dictionaries = langid.language_dictionaries(d, most_docs=40)
-    held = set()
-    got = langid.detect_language(d, dictionaries).collect()
-    rated = [r for r in got if r["lang_accepted"] and r["doc_id"] not in held]
-    assert len(got) == 1000 and len(rated) / len(got) > 0.95 and sum(r["lang_found"] == r["lang"] for r in rated) / len(rated) > 0.97
+    dictionaries = langid.language_dictionaries(d.where("doc_id % 4 = 0"), most_docs=40)
+    got = langid.detect_language(d.where("doc_id % 4 <> 0"), dictionaries).collect()  # none that the dictionaries are made of
+    rated = [r for r in got if r["lang_accepted"]]
+    assert len(got) == 750 and len(rated) / len(got) > 0.95 and sum(r["lang_found"] == r["lang"] for r in rated) / len(rated) > 0.97
     odd = {r["doc_id"]: r for r in langid.detect_language(awkward.withColumnRenamed("source", "lang_found"), dictionaries).collect()}
     assert all(odd[i]["lang_found"] is None and not odd[i]["lang_accepted"] for i in (1, 2, 3)) and len(odd) == 10 + 1
     assert langid.without_unsure(awkward, dictionaries).columns == awkward.columns
     assert langid.detect_language(nothing, dictionaries).count() == 0 and not langid.detect_language(awkward, {}).where("lang_accepted").count()
-    own = langid.compressors(dictionaries)
-    r = d.limit(1).first()
-    raw = r["text"].strip().lower().encode()
-    sizes = sorted((sum(len(c.compress(raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE)), n) for n, c in own)
-    assert langid.judge(r["text"], own, 0.01)[0] == sizes[0][1]
+    with pytest.raises(ValueError):
+        langid.without_unsure(awkward, {})
+    assert langid.without_unsure(nothing, {}).count() == 0
+    again = langid.language_dictionaries(d.where("doc_id % 4 = 0").unionByName(d.where("doc_id % 4 = 0")).repartition(5), most_docs=40)
+    assert again == dictionaries and len(dictionaries) == 4
+
+
+def test_language_against_plain_compression(spark):
+    """Every document's choice, margin and acceptance from one-shot compressions by another route."""
+    import zstandard
+
+    d = table(spark, SF, "documents")
+    dictionaries = langid.language_dictionaries(d)
+    how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=15, chain_log=15, search_log=langid.SEARCH, min_match=langid.MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in langid.detect_language(d, dictionaries).collect():
+        raw = (r["text"] or "").strip().lower().encode()
+        if len(raw) < 4 * langid.SHORT:
+            continue
+        sizes = []
+        for name, content in dictionaries.items():
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content.decode(errors="ignore").lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            sizes.append((sum(len(c.compress(raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE)), name))
+        sizes.sort()
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert (r["lang_found"], r["lang_margin"], r["lang_accepted"]) == (sizes[0][1], round(margin, 6), margin >= 0.01)
 
 
 def test_language_of_short_documents(spark):
@@ -391,6 +533,79 @@ def test_a_leak_with_one_of_two_equal_values_edited(spark):
     assert {r["doc_id"]: r["changed"] for r in got} == {1: 0, 2: 0}
 
 
+def plain_tokens(text, within=False):
+    """Typed tokens once more: (kind, value), kinds plain, number, name or unit."""
+    units = {w: k for k, ws in decontam.UNITS.items() for w in ws.split()}
+    numerals, given = set(decontam.NUMERALS.split()), {w.lower() for w in decontam.GIVEN.split()}
+    out, ends = [], []
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|(?:[^\W\d_]|[^\x00-\x7f])+", text):
+        w, before = m[0], text[: m.start()].rstrip()
+        opens = (not within and not before) or before[-1:] in set(".!?:;") and before != "" or "\n" in text[len(before) : m.start()]
+        low = w.lower()
+        if w[0].isdigit() or low in numerals:
+            out.append(("number", low))
+        elif out and out[-1][0] == "number" and low in units and not w[0].isupper():
+            out.append(("unit:" + units[low], low))
+        elif w[0].isupper() and len(w) > 1 and not w[1].isupper() and (not opens or low in given):
+            if out and out[-1][0] == "name" and text[ends[-1] : m.start()] == " ":
+                out[-1] = ("name", out[-1][1] + " " + low)
+                ends[-1] = m.end()
+                continue
+            out.append(("name", low))
+        else:
+            out.append(("plain", low))
+        ends.append(m.end())
+    return out
+
+
+def test_decontamination_against_a_plain_matcher(spark):
+    """Every (document, item) for which a window of the item, as a template or, where it is poor in words, as it stands, is found, and no other."""
+    rng = random.Random(99)
+    vocabulary = [f"{a}{b}" for a in ("gran", "mel", "tor", "vis", "kel") for b in ("do", "ta", "rim", "sun", "po", "lek")]
+
+    def text(n):
+        kinds = [lambda: rng.choice(vocabulary), lambda: str(rng.randrange(90)), lambda: rng.choice(["Bodo", "Karla", "Tine"]), lambda: f"{rng.randrange(9)} km"]
+        return " ".join(rng.choices(kinds, [8, 2, 1, 1])[0]() for _ in range(n))
+
+    items = [(k, text(rng.choice([4, 7, 12, 18]))) for k in range(12)] + [(20, " ".join(str(k) for k in range(12)))]
+    rows = []
+    for i in range(60):
+        own = rng.choice(items)[1].split()
+        if rng.random() < 0.5:
+            own = [rng.choice([w, str(rng.randrange(90))]) if w.isdigit() else w for w in own]
+        rows.append((i, f"{text(8)} {' '.join(own)} {text(8)}" if rng.random() < 0.8 else text(25)))
+    want = set()
+    for k, item in items:
+        for reading in (False, True):
+            tokens = plain_tokens(item, reading)
+            size = min(10, len(tokens))
+            for at in range(len(tokens) - size + 1) if size >= 6 else ():
+                if reading and at:
+                    continue
+                own = tokens[at : at + size]
+                poor = sum(t == "plain" for t, _ in own) < 6
+                for i, t in rows:
+                    there = plain_tokens(t)
+                    for x in range(len(there) - size + 1):
+                        seen = there[x : x + size]
+                        same = all(a == b if poor or a[0] == "plain" else a[0] == b[0] for a, b in zip(own, seen))
+                        values = {(a[1], b[1]) for a, b in zip(own, seen) if a[0] != "plain"}
+                        if same and len({a for a, _ in values}) == len(values):
+                            want.add((i, k))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.template_matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_leaks_poor_in_words_and_first_words(spark):
+    items = [(1, "12 + 30 = 42 and 7 x 6 = 42 so 42"), (2, "What is the capital city of northern France today"), (3, "yes 1 no 2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = docs(spark, [(1, f"as we know {items[0][1]} which ends it"), (2, "as we know 13 + 30 = 43 and 7 x 6 = 42 so 42 again"), (3, f"see ({items[1][1]})"), (4, f'he said "{items[1][1]}"'), (5, "What is the capital city of southern France today"), (6, items[2][1])])
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.template_matches(rows, bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 2)}
+    renamed = rows.withColumnRenamed("doc_id", "key").withColumnRenamed("ids", "doc_id")
+    assert {r["key"] for r in decontam.without_benchmark(renamed, bench, doc_id="key").collect()} == {2, 5, 6}
+
+
 def test_leaks_of_the_driver_tables(spark):
     sf = "/root/testdata/sf0.01"
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
@@ -415,8 +630,9 @@ def test_repeated_windows_against_brute_force(spark, awkward, nothing):
             for p in range(len(w) - length + 1) if i is not None else ():
                 held.setdefault(tuple(w[p : p + length]), []).append((i, p))
         want = sorted((i, p, len(own), (i, p) == min(own)) for own in held.values() if len(own) > 1 for i, p in own)
-        got = sorted((r["doc_id"], r["pos"], r["copies"], r["first"]) for r in suffix_dedup.repeated_windows(d, length, gram, digits).collect())
-        assert got == want
+        for most in (2_000_000, 3):  # the second sends frequent digits the other way
+            got = sorted((r["doc_id"], r["pos"], r["copies"], r["first"]) for r in suffix_dedup.repeated_windows(d, length, gram, digits, most_equal=most).collect())
+            assert got == want
     spans = suffix_dedup.suffix_dedup(awkward, 30).collect()
     assert {r["doc_id"] for r in spans} == {4, 5, 6} and suffix_dedup.suffix_dedup(nothing, 30).count() == 0
 
@@ -443,6 +659,62 @@ def test_pipeline(spark, tmp_path):
     assert {(r["doc_id"], r["decoded"]) for r in got} == {(r["doc_id"], r["text"]) for r in d.collect()}
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages by plain means on a fixture whose languages, copies, leaks and personal data are known."""
+    import corpus_pipeline as cp
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(55)
+    voices = {"en": "the quick brown fox jumps over lazy dogs while seven wise owls watch from their old barn every night under bright stars".split(), "de": "der schnelle braune fuchs springt über faule hunde während sieben weise eulen jede nacht unter hellen sternen zuschauen".split()}
+    voice = lambda lang, n: " ".join(rng.choice(voices[lang]) for _ in range(n))
+    item = " ".join(f"quiz{k}" for k in range(14))
+    rows = [(i, voice(("en", "de")[i % 2], 80), ("en", "de")[i % 2]) for i in range(40)]
+    rows += [(100, rows[0][1], "en"), (101, rows[1][1] + " zuschauen", "de"), (102, rows[1][1], "de"), (103, None, "en"), (104, "", "de"), (105, "   ", None), (None, rows[2][1], "en"), (7, rows[7][1], "de")]
+    rows += [(110, f"{voice('en', 40)} {item} {voice('en', 40)}", "en"), (111, f"{voice('de', 60)} schreibt an karl.otto@sterne.de heute", "de")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, root long, bucket string"
+    spark.createDataFrame([(i, t, g, "s", len(t or ""), 5, "b") for i, t, g in rows], schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs_ = table(spark, str(tmp_path), "documents")
+    judged = {(r["doc_id"], r["text"]): r["lang_accepted"] for r in langid.detect_language(docs_, langid.language_dictionaries(docs_)).collect()}
+    kept = [(i, t) for i, t, _ in rows if judged[i, t]]
+    assert len(kept) == len(rows) - 3
+    once = list(dict.fromkeys(x for x in kept if x[0] is not None))
+    sets = [gram_set(t) for _, t in once]
+    near = [{j for j in range(len(once)) if len(sets[k] & sets[j]) / len(sets[k] | sets[j]) >= 0.6} for k in range(len(once))]
+    left = []
+    for k, (i, t) in enumerate(once):
+        group, new = {k}, {k}
+        while new:
+            new = set().union(*(near[x] for x in new)) - group
+            group |= new
+        if (i, k) == min((once[x][0], x) for x in group):
+            left.append((i, t))
+    left = [(i, t) for i, t in left + [x for x in kept if x[0] is None] if item not in t]
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert sorted(repr(r["doc_id"]) for r in got) == sorted(repr(i) for i, _ in left) and {100, 101, 102, 110}.isdisjoint(r["doc_id"] for r in got)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(bpe.ranks(RANKS))}, special_tokens={})
+    texts = dict(left)
+    for r in got:
+        assert r["ids"] == enc.encode_ordinary(r["decoded"]) and r["n_tokens"] == len(r["ids"])
+        if r["doc_id"] == 111:
+            assert "karl.otto" not in r["decoded"] and "sterne.de" not in r["decoded"] and r["decoded"].split()[:60] == texts[111].split()[:60]
+        elif r["doc_id"] is not None:
+            assert r["decoded"] == texts[r["doc_id"]]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "a/documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "a/benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path / "a")).count() == 0
+    spark.createDataFrame([(1, "a text without a label", None, "s", 5)], schema).write.parquet(str(tmp_path / "b/documents.parquet"))
+    with pytest.raises(ValueError):
+        cp.run(spark, str(tmp_path / "b"))
+
+
 def test_sql_of_the_queries(spark):
     import duckdb
 
