@@ -18,7 +18,7 @@ from ferrule.llm.decontam import without_benchmark
 from ferrule.llm.langid import language_dictionaries, without_unsure
 from ferrule.llm.ngram_join import one_of_each_group
 from ferrule.llm.pii import surrogates
-from ferrule.llm.queries import RANKS
+from ferrule.llm.queries import RANKS, surrogate_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With surrogates for personal data; ``n_chars`` is that of the new text."""
-    out = surrogates(docs)
+    out = surrogates(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
