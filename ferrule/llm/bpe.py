@@ -39,6 +39,8 @@ FAMILY = 512
 SLICES = 1024
 ENTRIES = 100_000  # words of blocks that meet in one call
 SEGMENT = 64
+ROW = 100_000  # words of a row of a block, about: rows of half a megabyte or more fragment the executors' heap
+FOLD = 2_000  # words folded in a row
 _PAD = (1 << 16) - 1  # stands before and after a word and merges with nothing
 _NONE = 1 << 32
 _EMPTY = 1 << 62
@@ -280,9 +282,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, of = _parts(coded.dictionary.take(pa.array(often)))
         which = (span_hash(data, of[:-1], of[1:]) % np.uint64(SLICES)).astype(np.int64)
         at = place[at]
-        body = [small.compress(np.ascontiguousarray(x).tobytes()) for x in at.view(np.uint8).reshape(-1, 4).T]
-        null = np.concatenate([h[1] for h in held])
-        out = [[block, -1, len(at), np.concatenate([h[0] for h in held]).tobytes() + null.tobytes(), np.concatenate([h[2] for h in held]).astype(np.int32).tobytes(), b"".join(len(x).to_bytes(4, "little") + x for x in body), small.compress(which.astype(np.uint16).tobytes()), None]]
+        ids, null, count = (np.concatenate([h[x] for h in held]) for x in (0, 1, 2))
+        to = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        rows = max(1, -(-len(which) // ROW), -(-len(at) // ROW))
+        cuts = np.unique(np.append(np.searchsorted(to, np.arange(rows) * ROW), len(ids)))  # whole documents
+        cuts = np.concatenate((cuts, np.full(max(rows - len(cuts) + 1, 0), len(ids))))
+        out = []
+        for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+            places = at[to[i] : to[j]].view(np.uint8).reshape(-1, 4).T
+            body = [small.compress(np.ascontiguousarray(x).tobytes()) for x in places]
+            out.append([block, -1, r, ids[i:j].tobytes() + null[i:j].tobytes(), count[i:j].astype(np.int32).tobytes(), b"".join(len(x).to_bytes(4, "little") + x for x in body), small.compress(which[r * ROW : (r + 1) * ROW].astype(np.uint16).tobytes()), None])
         by = np.argsort(which, kind="stable")
         data, ends = _spread(by, of, data)
         cut = np.searchsorted(which[by], np.arange(SLICES + 1))
@@ -318,7 +327,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
     lookup = spark.sparkContext.broadcast(rank_table(path))  # some 5 MB, whatever the corpus
 
     def gathered(part: pa.Table) -> pa.Table:
-        """The distinct words of some slices of a family, in rows of 20,000, and with the last what their blocks asked for."""
+        """The distinct words of some slices of a family, in rows of some, and with the last what their blocks asked for."""
         sizes, many, data = _lists(part.column("words").to_pylist(), 1)
         coded = _binary(data, np.concatenate(([0], np.cumsum(sizes)))).dictionary_encode()
         data, of = _parts(coded.dictionary)
@@ -330,8 +339,8 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
         place = np.arange(len(padded) - 1) - np.repeat(at[:-1], np.diff(at))
         states = entries(place << 16 | padded[:-1], padded[1:], *lookup.value)
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(states))
-        cuts = list(range(0, len(lists), 20_000))
-        rows = [lists.slice(i, 20_000) for i in cuts]
+        cuts = list(range(0, len(lists), FOLD))
+        rows = [lists.slice(i, FOLD) for i in cuts]
         words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.concat_arrays(rows))
         trim()
         return pa.table({"asked": pa.array([None] * (len(cuts) - 1) + [len(many).to_bytes(4, "little") + fan], pa.binary()), "words": words})
@@ -361,30 +370,26 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
         out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         if not left.num_rows:
             return out.empty_table()
-        own = {c: left.column(c)[0].as_py() for c in ("ids", "counts", "places", "slices")}
-        right = right.sort_by("slice")
+        left, right = left.sort_by("n"), right.sort_by("slice")
         sizes, _, data = _lists(right.column("tokens").to_pylist(), 2)
         plain = zstandard.ZstdDecompressor()
-        by = np.argsort(np.frombuffer(plain.decompress(own["slices"]), np.uint16), kind="stable")  # the words' places in the order of the answers
+        by = np.argsort(np.frombuffer(b"".join(plain.decompress(x) for x in left.column("slices").to_pylist()), np.uint16), kind="stable")  # the words' places in the order of the answers
         values, of = np.frombuffer(data, np.uint16), np.concatenate(([0], np.cumsum(sizes)))
         where = np.empty(len(by), np.int64)
         where[by] = np.arange(len(by))
-        count = np.frombuffer(own["counts"], np.int32)
-        places, rest = np.zeros((int(count.sum(dtype=np.int64)), 4), np.uint8), own["places"]
-        for byte_of in range(4):
-            m = 4 + int.from_bytes(rest[:4], "little")
-            places[:, byte_of], rest = np.frombuffer(plain.decompress(rest[4:m]), np.uint8), rest[m:]
-        places = places.view(np.uint32).ravel()
-        n = len(count)
-        doc_ids, null = np.frombuffer(own["ids"], np.int64, n), np.frombuffer(own["ids"], np.uint8, n, 8 * n)
-        at = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
-        batches, i = [], 0
-        while i < n:
-            j = min(max(int(np.searchsorted(at, at[i] + 400_000, "right")) - 1, i + 1), n)
-            tokens, end = _spread(where[places[at[i] : at[j]]], of, values)
-            lists = pa.ListArray.from_arrays(pa.array(end[at[i : j + 1] - at[i]].astype(np.int32), mask=np.append(null[i:j] & 2 > 0, False)), pa.array(tokens.astype(np.int32)))
-            batches.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], mask=null[i:j] & 1 > 0), lists], schema=out))
-            i = j
+        batches = []
+        for row in left.select(["ids", "counts", "places"]).to_pylist():
+            count = np.frombuffer(row["counts"], np.int32)
+            places, rest = np.zeros((int(count.sum(dtype=np.int64)), 4), np.uint8), row["places"]
+            for plane in range(4):
+                m = 4 + int.from_bytes(rest[:4], "little")
+                places[:, plane], rest = np.frombuffer(plain.decompress(rest[4:m]), np.uint8), rest[m:]
+            n = len(count)
+            doc_ids, null = np.frombuffer(row["ids"], np.int64, n), np.frombuffer(row["ids"], np.uint8, n, 8 * n)
+            at = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+            tokens, end = _spread(where[places.view(np.uint32).ravel()], of, values)
+            lists = pa.ListArray.from_arrays(pa.array(end[at].astype(np.int32), mask=np.append(null & 2 > 0, False)), pa.array(tokens.astype(np.int32)))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=null & 1 > 0), lists], schema=out))
         trim()
         return pa.Table.from_batches(batches, out)
 
@@ -397,7 +402,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
     keyed = asked.select(F.pmod(F.xxhash64("block"), F.lit(families)).cast("int").alias("family"), F.floor(F.col("slice") / max(1, min(SLICES, int(ENTRIES / per_slice)))).cast("int").alias("some"), "block", "slice", "words")
     distinct = keyed.groupBy("family", "some").applyInArrow(gathered, "asked binary, words array<array<long>>")
     answers = distinct.select("asked", merged(F.col("words"), path).alias("words")).mapInArrow(released(fanned), "block long, slice int, tokens binary")
-    blocks = stored.where("slice < 0").select("block", "ids", "counts", "places", "slices")
+    blocks = stored.where("slice < 0").select("block", "n", "ids", "counts", "places", "slices")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
 
