@@ -77,10 +77,13 @@ def votes(d: np.ndarray, o: np.ndarray, known: np.ndarray) -> tuple[np.ndarray,
     repeated, passages = (_repeated(h, row, k) for k in (3, 8))
     triple = np.zeros(len(d), bool)
     triple[2:] = (kind[2:] >= 4) & (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2])
+    heads = o[:-1][o[:-1] < o[1:]]
+    triple[heads] = triple[np.minimum(heads + 1, len(d) - 1)] = False  # a run doesn't cross texts
     runs = _sums(triple, o)
-    space = np.ones(len(d) + 1, bool)
-    space[:-1] = kind == 0
-    tails = _sums((kind == 5) & space[1:], o)
+    ended = np.ones(len(d), bool)  # white space or the text's end comes next
+    ended[:-1] = kind[1:] == 0
+    ended[o[1:][o[:-1] < o[1:]] - 1] = True
+    tails = _sums((kind == 5) & ended, o)
     ends = _sums((d == 46) | (d == 63) | (d == 33), o)
     bang = _sums(d == 33, o)
     bars = _sums((d == 124) | (d == 9), o)
