@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import buffers, chunks, released, shared_dir, span_hash, trim
+from ferrule.llm._shared import bounded, buffers, chunks, released, shared_dir, span_hash, trim
 
-TOKENS = 4_000_000  # words of a block, about; one longer document is a block by itself
+TOKENS = 2_000_000  # words of a block, about; one longer document is a block by itself
 FAMILY = 512
 SLICES = 1024
 ENTRIES = 100_000  # words of blocks that meet in one call
@@ -393,7 +393,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
         trim()
         return pa.Table.from_batches(batches, out)
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(_blocks), _BLOCK)
+    own = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(_blocks), _BLOCK)
     stored = _by_block(own, docs.rdd.getNumPartitions())
     asked = stored.where("slice >= 0").select("block", "slice", "n", "words")
     total = asked.agg(F.sum("n").alias("words"), F.countDistinct("block").alias("blocks")).first()

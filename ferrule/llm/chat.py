@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import buffers
+from ferrule.llm._shared import bounded, buffers
 
 HEAD, MIDDLE, TAIL = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 MOST = 8 << 20  # bytes of content assembled at a time; one longer conversation is assembled by itself
@@ -60,7 +60,7 @@ def assembled(conv: pa.Array, role: pa.Array, text: pa.Array, scored: str) -> pa
 def chat_format(turns: DataFrame, scored: str = "assistant", *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: its id, turns and bytes, the formatted text, and the byte range of the content of each
     turn of the ``scored`` role, for a loss mask."""
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).where("conv_id is not null")
+    rows = bounded(turns).select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text")).where("conv_id is not null")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

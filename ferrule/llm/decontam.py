@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import U, WORD, buffers, chunks, mix, released, span_hash, stored
+from ferrule.llm._shared import U, WORD, bounded, buffers, chunks, mix, released, span_hash, stored
 
 WORD_, NUMBER, NAME, UNIT = range(4)
 UNITS = {
@@ -193,7 +193,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, *,
         for b in batches:
             yield from rows(b.column("text"), b.column("doc_id"), _windows(b.column("text"), sizes, least_words, known.value if known else None), "doc_id")
 
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    base = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     own = base.mapInArrow(released(of_docs), f"doc_id long, {columns}")
     right = items.select("item_id", F.col("at").alias("item_at"), "size", "key", F.col("slots").alias("item_slots"))
     met = own.join(right, ["size", "key"]).withColumn("shift", F.col("at") - F.col("item_at"))

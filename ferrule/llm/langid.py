@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm._shared import released
+from ferrule.llm._shared import bounded, released
 
 PIECE = 4096  # bytes encoded at a time, so that a long text keeps meeting the dictionary and not only itself
 MATCH = 4  # least bytes of a match: short enough for what the words of one language share
@@ -102,7 +102,7 @@ def judge(text: str | None, own: list[tuple[str, zstandard.ZstdCompressor]], lea
 def detect_language(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.01, *, text: str = "text", out: tuple[str, str, str] = ("lang_found", "lang_margin", "lang_accepted")) -> DataFrame:
     """``docs`` with the language found, its margin over the runner-up as a share of that one's size, and whether it is
     accepted; existing columns of those names are replaced."""
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in out))
+    kept = bounded(docs).select(*(F.col(f"`{c}`") for c in docs.columns if c not in out))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, t) for c, t in zip(out, (T.StringType(), T.DoubleType(), T.BooleanType())))])
     found = docs.sparkSession.sparkContext.broadcast(dictionaries)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm._bloom import bloom, bloom_size, in_bloom
-from ferrule.llm._shared import U, buffers, chunks, counted, counters, free, grams, mix, pack, released, stored, trim, unpacked, words
+from ferrule.llm._shared import U, bounded, buffers, chunks, counted, counters, free, grams, mix, pack, released, stored, trim, unpacked, words
 
 BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size of the corpus
 _CLASS = "doc_id long, hi long, lo long, size int"
@@ -183,7 +183,7 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
                 held.append((doc + n_docs, g[pos]))
                 ids.append(info)
                 n_docs, n_post = n_docs + m, n_post + len(doc)
-                if n_post > 2_500_000:
+                if n_post > 1_000_000:
                     yield flush()
                     held.clear(), ids.clear()
                     n_docs = n_post = 0
@@ -200,13 +200,18 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
         return out
 
     def count(part: pa.Table) -> pa.Table:
-        out = shared_pairs(part, t)
+        out = shared_pairs(part, t, buckets)
+        trim()
+        return out
+
+    def enough(part: pa.Table) -> pa.Table:
+        out = candidates_of(part)
         trim()
         return out
 
     met = base.mapInArrow(released(prefixes), "bucket int, docs binary, doc binary, tok binary").repartition(min(buckets, 1 << 15), "bucket").groupBy("bucket").applyInArrow(meet, "place int, docs binary, many binary, parted binary, doc binary")
-    met = met.repartition(min(buckets, 1 << 15), "place").groupBy("place").applyInArrow(count, "doc_a long, doc_b long, n int, need int, root long")
-    candidates = met.groupBy("doc_a", "doc_b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("root").alias("root")).where("n >= need and doc_a <> doc_b").select("doc_a", "doc_b", "root")
+    met = met.repartition(min(buckets, 1 << 15), "place").groupBy("place").applyInArrow(count, "part int, docs binary, a binary, b binary, n binary")
+    candidates = met.repartition(min(buckets, 1 << 15), "part").groupBy("part").applyInArrow(enough, "doc_a long, doc_b long, root long").where("doc_a <> doc_b")
     classes = stored(signed.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     return signed, classes, verified(base, stored(candidates, "candidates"), classes, n, t - 1e-9)
 
@@ -214,7 +219,10 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
 _INFO = np.dtype([("id", "<i8"), ("sig", "<u8"), ("size", "<i4"), ("ell", "u1")])
 _CLASS_INFO = np.dtype([("id", "<i8"), ("size", "<i4"), ("ell", "u1")])
 _LISTS = pa.schema([("place", pa.int32()), ("docs", pa.binary()), ("many", pa.binary()), ("parted", pa.binary()), ("doc", pa.binary())])
-_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("root", pa.int64())])
+_PAIRED = np.dtype([("id", "<i8"), ("ell", "u1"), ("root", "<i8")])
+_PAIRS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
+_CANDIDATES = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("root", pa.int64())])
+PACKED = 50_000  # pairs of a row
 
 
 def _heads(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +277,9 @@ def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int
         yield {"place": int(p), "docs": docs.tobytes(), "many": pack(size), "parted": pack(np.where(at[lists, 3] > 0, at[lists, 1], 0)), "doc": pack(local)}
 
 
-def shared_pairs(part: pa.Table, t: float) -> pa.Table:
-    """Pairs of classes that share lists of one place, how many, how many they must share in all, and the smallest id that
-    the first of them shares a list with here."""
+def shared_pairs(part: pa.Table, t: float, places: int) -> pa.Table:
+    """Pairs of classes that share lists of one place and how many, packed by a hash of the first, with the smallest id that each
+    class shares a list with here."""
     docs = [np.frombuffer(x, _CLASS_INFO) for x in part.column("docs").to_pylist()]
     many, parted = (np.concatenate([unpacked(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
     base = np.cumsum([0, *map(len, docs)])
@@ -318,8 +326,37 @@ def shared_pairs(part: pa.Table, t: float) -> pa.Table:
         return _PAIRS.empty_table()
     k, n = _sum(found)
     x, y = (k >> U(32)).astype(np.int64), (k & U(0xFFFFFFFF)).astype(np.int64)
-    a, b = head[x], head[y]
-    return pa.table([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), n.astype(np.int32), np.minimum(a["ell"], b["ell"]).astype(np.int32), np.minimum(root[x], root[y])], schema=_PAIRS)
+    to = (mix(np.ascontiguousarray(head["id"]).view(U)) % U(places)).astype(np.int32)[x]
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(places + 1))
+    rows: list[dict] = []
+    for p in np.flatnonzero(np.diff(cut)):
+        for at in range(cut[p], cut[p + 1], PACKED):
+            own = order[at : min(at + PACKED, cut[p + 1])]
+            used, local = np.unique(np.concatenate((x[own], y[own])), return_inverse=True)
+            docs = np.zeros(len(used), _PAIRED)
+            docs["id"], docs["ell"], docs["root"] = head["id"][used], head["ell"][used], root[used]
+            rows.append({"part": int(p), "docs": docs.tobytes(), "a": pack(local[: len(own)]), "b": pack(local[len(own) :]), "n": pack(n[own])})
+    return pa.Table.from_pylist(rows, _PAIRS)
+
+
+def candidates_of(part: pa.Table) -> pa.Table:
+    """(doc_a, doc_b, root) of the pairs that share enough prefix grams, from what all places found of them."""
+    docs = [np.frombuffer(x, _PAIRED) for x in part.column("docs").to_pylist()]
+    base = np.cumsum([0, *map(len, docs)])
+    a, b = (np.concatenate([unpacked(x).astype(np.int64) + i for x, i in zip(part.column(c).to_pylist(), base)]) for c in "ab")
+    n = np.concatenate([unpacked(x) for x in part.column("n").to_pylist()]).astype(np.int64)
+    info = np.concatenate(docs)
+    ids, first, place = np.unique(info["id"], return_index=True, return_inverse=True)
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, place, info["root"])
+    ell = info["ell"][first]
+    key, back = np.unique(place[a].astype(U) << U(32) | place[b].astype(U), return_inverse=True)
+    total = np.bincount(back, n, len(key))
+    a, b = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
+    ok = total >= np.minimum(ell[a], ell[b])
+    a, b = a[ok], b[ok]
+    return pa.table([ids[a], ids[b], root[a]], schema=_CANDIDATES)
 
 
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -459,6 +496,7 @@ def _documents(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Data
 
 def _linked(docs: DataFrame, n: int, threshold: float, text: str, doc_id: str, **how) -> tuple[DataFrame, DataFrame]:
     """(marked, nodes): ``docs`` with their nodes, and nodes(id, of, root, n_links, n_copies) of the documents similar to any other."""
+    bounded(docs)
     marked, names = _documents(docs, text, doc_id)
     # repeated rows are told apart by nothing that matters here
     base = marked.where("__node is not null").select(F.col("__node").alias("doc_id"), F.lower(F.col(f"`{text}`").cast("string")).alias("text"), "__several")

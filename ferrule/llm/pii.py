@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm._shared import free, released, stored
+from ferrule.llm._shared import bounded, free, released, stored
 
 GIVEN = {
     "m:latin": "James John Robert Michael William David George Henry Paul Peter Thomas Samuel Frank Jack Noah Liam Lucas Oliver Hans Pierre Carlos Miguel Juan Klaus",
@@ -318,7 +318,7 @@ def exceptions(seen: DataFrame, key: bytes) -> DataFrame:
 
 def surrogates(docs: DataFrame, key: bytes, *, text: str = "text", count: str | None = None, most_shipped: int = 1_000_000) -> DataFrame:
     """``docs`` with the entities of its texts replaced; with ``count``, how many, in a column of that name."""
-    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    texts = bounded(docs).select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     own_name, row_name = (name + "_" * sum(c.startswith(name) for c in docs.columns) * 40 for name in ("__own", "__row"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

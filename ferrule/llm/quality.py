@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import SOLID, U, WORD, buffers, chunks, mix, released, span_hash, spans
+from ferrule.llm._shared import SOLID, U, WORD, bounded, buffers, chunks, mix, released, span_hash, spans
 
 BUCKETS = 1 << 17
 LABELLERS = ("symbols", "capitals", "repetition", "function_words", "word_length", "sentences", "length", "digits", "shouting", "separators", "symbol_runs", "symbol_ends", "passages")
@@ -180,7 +180,7 @@ def quality_classifier(docs: DataFrame, least_score: float = 0.5, train_docs: in
     """doc_id, score (of the linear scorer, 0 to 1), keep (score >= least_score) and posterior (of the votes alone) of every
     document. ``train_docs`` bounds the sample the scorer is fitted on: documents whose hash is small, about as many."""
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, code = _known(), 3 ** np.arange(len(LABELLERS))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm._bloom import bloom, bloom_size, in_bloom
-from ferrule.llm._shared import SOLID, U, buffers, chunks, counted, counters, free, released, span_hash, spans, stored
+from ferrule.llm._shared import SOLID, U, bounded, buffers, chunks, counted, counters, free, released, span_hash, spans, stored
 
 _AT = U((1 << 28) - 1)  # low bits of a sort key that hold a position
 SKETCH = 20  # log2 of the counters of first digits
@@ -63,7 +63,7 @@ def repeated_windows(docs: DataFrame, length: int = 50, gram: int = 10, digits:
     mean load of a counter of the sketch, is counted before it is sent anywhere."""
     if not 0 < gram <= length:
         raise ValueError("a gram has between 1 and length words")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    base = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     cuts = [round(k * length / digits) for k in range(digits + 1)]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm._shared import U, buffers, chunks, stored, words
+from ferrule.llm._shared import U, bounded, buffers, chunks, stored, words
 
 BLOCK = 256  # documents of a block
 GROUP = 128  # blocks ordered together; a group is what a task holds in memory
@@ -86,7 +86,7 @@ def _best(score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def exact_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, text: str = "text", doc_id: str = "doc_id", query_text: str = "text", query_id: str = "item_id", most_queries: int = 2_000) -> DataFrame:
     """query_id, rank, doc_id, score of the k best documents of every query. Queries are answered ``most_queries`` or so at a
     time, each batch with its own index, so that what the executors hold of them is bounded."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    base = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_text).cast("string").alias("text")).where("query_id is not null")
     parts = asked.count() // most_queries + 1
     out = [_answered(base, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else asked, k) for p in range(parts)]
