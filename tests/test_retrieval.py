@@ -318,6 +318,34 @@ def test_stream(spark, tmp_path):
     assert {r["term"]: r["df"] for r in engine.index.dictionary.collect()}["plum"] == 2
 
 
+def plain_pieces(text, vocab):
+    """Greedy longest match over words and marks, in plain Python."""
+    out = []
+    clean = "".join(" " if c in "\t\n\r" else "" if ord(c) < 32 or ord(c) == 127 else c.lower() if c.isascii() else c for c in text)
+    marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    for word in "".join(f" {c} " if c in marks else c for c in clean).split(" "):
+        at, own = 0, []
+        while word and at < len(word):
+            lead = "##" if at else ""
+            end = next((e for e in range(len(word), at, -1) if lead + word[at:e] in vocab), None)
+            if end is None or len(word.encode()) > 200:
+                own = [vocab.get("[UNK]", 100)]
+                break
+            own.append(vocab[lead + word[at:end]])
+            at = end
+        out += own
+    return out
+
+
+def test_wordpiece_ids_against_plain_python(spark, tmp_path):
+    from ferrule.queries import VOCAB, wordpiece_ids
+
+    pages = [(1, "<p>The ring, of the\tThing!</p>"), (2, ""), (3, None), (4, "éa " + "x" * 300 + " the"), (5, "in-ter re")] + [(10 + r["page_id"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    spark.createDataFrame([(i, "u", t) for i, t in pages], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["ids"] for r in wordpiece_ids(spark, str(tmp_path)).collect()}
+    assert got == {i: plain_pieces(t or "", VOCAB) for i, t in pages}
+
+
 def test_encode_pair_has_the_reference_size(spark, tmp_path):
     from ferrule.queries import VOCAB, encode_pair
 
