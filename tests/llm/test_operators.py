@@ -345,12 +345,17 @@ def test_top_k_against_all_scores(spark, awkward, nothing):
 # 5
 
 
-def test_chat(spark):
+def test_chat(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "é" * rng.randint(1, 50), sentence(rng, rng.randint(1, 3000))])) for c in range(60) for t in range(rng.randint(1, 9))]
     rows += [(1, 0, "user", "tie"), (1, 0, "user", "tie"), (None, 0, "user", "lost"), (70, None, "user", "x"), (71, 0, "user", "long " * 500_000)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, n_turns string")
+    rows += [(80, t, "user", "w" * 900) for t in range(12_000)]  # one conversation of many batches, more than is assembled at a time
+    df = df.unionByName(spark.createDataFrame([(*r, "z") for r in rows[-12_000:]], df.schema))
+    once = {r["conv_id"]: tuple(r) for r in chat.chat_format(df).collect()}
+    monkeypatch.setattr(chat, "MOST", 5_000)
     got = {r["conv_id"]: r for r in chat.chat_format(df).collect()}
+    assert once == {i: tuple(r) for i, r in got.items()}
     key = lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in r[1:])
     for c, own in itertools.groupby(sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], key(r))), key=lambda r: r[0]):
         own = list(own)
