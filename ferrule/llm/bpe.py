@@ -42,8 +42,8 @@ SEGMENT = 64
 ROW = 100_000  # words of a row of a block, about: rows of half a megabyte or more fragment the executors' heap
 FOLD = 2_000  # words folded in a row
 _PAD = (1 << 16) - 1  # stands before and after a word and merges with nothing
-_NONE = 1 << 32
-_EMPTY = 1 << 62
+_NONE = 1 << 16
+_EMPTY = 1 << 32
 _ODD = 40_503
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
 
@@ -73,24 +73,26 @@ def merges(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=4)
 def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, bases): a pair (l, r) has the group g = (l * _ODD + r) % 65536, and slots[bases[g] + r] is g << 32 | t << 16 if
-    it merges into t. Within a group r tells pairs apart, so a group needs only a base at which its slots are free."""
+    """(slots, bases): a pair (l, r) has the group g = (l * _ODD + r) % 65536, and slots[bases[g] + r] is g << 16 | t if it
+    merges into t. Within a group r tells pairs apart, so a group needs only a base at which its slots are free."""
     key, to = merges(path)
     left, right = key >> 16, key & 0xFFFF
     group = (left * _ODD + right) & 0xFFFF
     order = np.argsort(group, kind="stable")
     first = np.flatnonzero(np.diff(group[order], prepend=-1))
-    size = 1 << int(np.ceil(np.log2(2 * len(key) + 1)))
+    size = 4 * len(key) // 3 + 1
     slots, bases = np.full(size + (1 << 16), _EMPTY, np.int64), np.zeros(1 << 16, np.int64)
     rng = np.random.default_rng(0)
     for own in sorted(np.split(order, first[1:]), key=lambda x: -len(x)):
-        for base in rng.integers(size, size=10_000):
-            at = base + right[own]
-            if (slots[at] == _EMPTY).all():
+        for _ in range(1_000):
+            base = rng.integers(size, size=64)
+            free_at = np.flatnonzero((slots[base[:, None] + right[own]] == _EMPTY).all(1))
+            if len(free_at):
                 break
         else:
             raise ValueError(f"{path}: the rank table is full")
-        slots[at] = group[own] << 32 | to[own] << 16
+        base = base[free_at[0]]
+        slots[base + right[own]] = group[own] << 16 | to[own]
         bases[group[own[0]]] = base
     return slots, bases
 
@@ -99,7 +101,7 @@ def entries(low: np.ndarray, right: np.ndarray, slots: np.ndarray, bases: np.nda
     """The state of a token, given as place << 16 | token, before another: above these the token that both merge into, or more
     than any token."""
     group = ((low & 0xFFFF) * _ODD + right) & 0xFFFF
-    return np.minimum(slots[bases[group] + right] ^ (group << 32), _NONE) << 30 | low
+    return np.minimum(slots[bases[group] + right] ^ (group << 16), _NONE) << 46 | low
 
 
 # Words
@@ -195,19 +197,27 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+@lru_cache(maxsize=4)
+def _tables(path: str) -> Column:
+    """The rank map as a literal, handed to Spark once."""
+    slots, bases = rank_table(path)
+    out = F.array(F.struct(_literal(slots, "bigint").alias("slots"), _literal(bases, "bigint").alias("bases")))
+    trim()
+    return out
+
+
 def merged(words: Column, path: str) -> Column:
     """The final states of an array of words, given as arrays of the states of their bytes."""
-    slots, bases = rank_table(path)
-    tables = F.array(F.struct(_literal(slots, "bigint").alias("slots"), _literal(bases, "bigint").alias("bases")))
-    none, token, odd = F.lit(_NONE), F.lit(0xFFFF).cast("long"), F.lit(_ODD).cast("long")
-    rest, never = F.lit(1 << 30), F.lit(_NONE << 30)
+    tables = _tables(path)
+    none, token, odd = F.lit(_NONE).cast("long"), F.lit(0xFFFF).cast("long"), F.lit(_ODD).cast("long")
+    rest, never = F.lit(1 << 30), F.lit(_NONE << 46)
     low, places = F.lit((1 << 46) - 1), F.lit((1 << 46) - (1 << 16))
 
     def folded(t: Column):
         def entry(own: Column, right: Column) -> Column:
             group = (own.bitwiseAND(token) * odd + right).bitwiseAND(token)
-            to = F.get(t["slots"], F.get(t["bases"], group) + right).bitwiseXOR(F.shiftleft(group, 32))
-            return F.shiftleft(F.least(to, none), 30).bitwiseOR(own)
+            to = F.get(t["slots"], F.get(t["bases"], group) + right).bitwiseXOR(F.shiftleft(group, 16))
+            return F.shiftleft(F.least(to, none), 46).bitwiseOR(own)
 
         def merge(state: Column, m: Column) -> Column:
             """The pair of state m becomes one token."""
