@@ -31,7 +31,7 @@ from ferrule.llm._shared import U, bounded, buffers, chunks, counted, counters,
 BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size of the corpus
 _CLASS = "doc_id long, hi long, lo long, size int"
 LIST = 4096  # classes of a list that meet at one place; a longer one is cut, and its parts meet in pairs
-PLACE = 500_000  # pairs verified at one place
+PLACE = 200_000  # pairs verified at one place
 
 
 def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -311,7 +311,7 @@ def shared_pairs(part: pa.Table, t: float, places: int) -> pa.Table:
     some = np.flatnonzero(count > 0)
     cum = np.concatenate(([0], np.cumsum(count[some])))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    i = 0
+    i, held, most = 0, 0, 1_000_000
     while i < len(some):
         j = max(int(np.searchsorted(cum, cum[i] + 500_000, "right")) - 1, i + 1)
         own, m = some[i:j], count[some[i:j]]
@@ -319,8 +319,11 @@ def shared_pairs(part: pa.Table, t: float, places: int) -> pa.Table:
         right = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(len(left))
         x, y = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
         found.append(np.unique((x.astype(U) << U(32)) | y.astype(U), return_counts=True))
-        if len(found) > 16:
+        held += len(found[-1][0])
+        if held > most:
             found = [_sum(found)]
+            held = len(found[0][0])
+            most = max(most, 2 * held)
         i = j
     if not found:
         return _PAIRS.empty_table()
