@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ferrule.storage import free, shared_dir, stored, table
 
@@ -134,25 +136,38 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[b[0]], offset=1)
 
 
-def counters(total: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """A task's counters in packed slices, those without a count left out: numbers of the slices, and their bodies."""
+FAN = 256  # bodies added up in one call
+
+
+def counters(total: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """A task's counters in packed slices, those without a count left out: the task, numbers of the slices, and their bodies."""
     parts = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE].any()]
-    return [k // SLICE for k in parts], [pack(total[k : k + SLICE]) for k in parts]
+    return [TaskContext.get().partitionId()] * len(parts), [k // SLICE for k in parts], [pack(total[k : k + SLICE]) for k in parts]
 
 
 def counted(rows: DataFrame, bits: int) -> np.ndarray:
-    """The sums of the 2**bits counters of all tasks from rows(slice, body), added up by the executors."""
+    """The sums of the 2**bits counters of all tasks from rows(task, slice, body), which is read several times: added up by the
+    executors as a tree, ``FAN`` tasks at a time, so that no call gets more however many tasks there are."""
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, U)
-        for x in part.column("body").to_pylist():
-            own = unpacked(x)
-            total[: len(own)] += own
-        return pa.table({"slice": part.column("slice")[:1].cast(pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
-
+        for chunk in part.column("body").chunks:
+            for x in chunk:
+                own = unpacked(x.as_py())
+                total[: len(own)] += own
+        out = pa.table([part.column("task")[:1], part.column("slice")[:1], pa.array([pack(total)], pa.binary())], ["task", "slice", "body"])
+        trim()
+        return out
+
+    own = rows.select("task", "slice", "body")
+    left = (own.agg(F.max("task")).first()[0] or 0) + 1
+    while left > 1:
+        own = own.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("task", "slice").applyInArrow(add, "task int, slice int, body binary")
+        left = -(-left // FAN)
     out = np.zeros(max(1 << bits, SLICE), U)
-    for r in rows.select("slice", "body").groupBy("slice").applyInArrow(add, "slice int, body binary").collect():
-        out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.body, U)
+    for r in own.collect():  # a row a slice
+        part = unpacked(r.body)
+        out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
     return out[: 1 << bits]
 
 

@@ -76,7 +76,7 @@ def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
             if seen:
                 total += np.bincount(np.concatenate(seen), minlength=1 << BITS).astype(np.uint32)
             if signed:
-                yield _rows([-1], [np.concatenate(signed).tobytes()])
+                yield _rows([None], [-1], [np.concatenate(signed).tobytes()])
         yield _rows(*counters(total))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
                 own = np.frombuffer(x, _SIGN)
                 yield pa.RecordBatch.from_arrays([pa.array(own[c]) for c in ("id", "hi", "lo", "size")], ["doc_id", "hi", "lo", "size"])
 
-    seen = stored(docs.mapInArrow(released(survey), "slice int, body binary"), "survey")
+    seen = stored(docs.mapInArrow(released(survey), "task int, slice int, body binary"), "survey")
     out = counted(seen.where("slice >= 0"), BITS)
     return out, seen.where("slice < 0").select("body").mapInArrow(unpack, _CLASS)
 
@@ -93,8 +93,8 @@ def surveyed(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame]:
 _SIGN = np.dtype([("id", "<i8"), ("hi", "<i8"), ("lo", "<i8"), ("size", "<i4")])
 
 
-def _rows(slices: list[int], bodies: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(bodies, pa.binary())], ["slice", "body"])
+def _rows(tasks: list[int | None], slices: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(slices, pa.int32()), pa.array(bodies, pa.binary())], ["task", "slice", "body"])
 
 
 def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -75,13 +75,13 @@ def repeated_windows(docs: DataFrame, length: int = 50, gram: int = 10, digits:
                 sketch += np.bincount((span_hash(tokens, start, start + cuts[1]) >> _TOP).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
             if got:
                 h, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())], columns)
-        slices, bodies = counters(sketch)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())], columns)
+        tasks, slices, bodies = counters(sketch)
         m = len(slices)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(slices, pa.int32()), pa.array(bodies, pa.binary())], columns)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(tasks, pa.int32()), pa.array(slices, pa.int32()), pa.array(bodies, pa.binary())], columns)
 
-    columns = ["anchor", "n", "slice", "body"]
-    seen = stored(base.mapInArrow(released(anchors), "anchor long, n int, slice int, body binary"), "anchors")
+    columns = ["anchor", "n", "task", "slice", "body"]
+    seen = stored(base.mapInArrow(released(anchors), "anchor long, n int, task int, slice int, body binary"), "anchors")
     again = stored(seen.where("slice is null").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "again")
     filt = docs.sparkSession.sparkContext.broadcast(bloom(again, "anchor", bloom_size(again.count())))
     load = counted(seen.where("slice is not null"), SKETCH)

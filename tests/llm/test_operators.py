@@ -736,6 +736,17 @@ def test_sql_of_the_queries(spark):
     assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
 
 
+def test_counters_add_up_as_a_tree(spark, monkeypatch):
+    from ferrule.llm import _shared
+
+    monkeypatch.setattr(_shared, "FAN", 3)
+    rng = np.random.default_rng(8)
+    own = [rng.integers(0, 1 << k, 1 << 17) * (rng.random(1 << 17) < 0.01) for k in (3, 9, 20, 33, 2, 5, 7, 8, 12, 1, 6)]
+    rows = [(i, s, _shared.pack(x[s << 16 : (s + 1) << 16])) for i, x in enumerate(own) for s in range(2)]
+    got = _shared.counted(spark.createDataFrame(rows, "task int, slice int, body binary"), 17)
+    assert (got == sum(own)).all() and not _shared.counted(spark.createDataFrame([], "task int, slice int, body binary"), 4).any()
+
+
 def test_kernels():
     from ferrule.llm._shared import buffers, grams, words
 
