@@ -513,13 +513,41 @@ def wordpiece_basic(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("page_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
-@query()
+def _pieces_sql(table_: str, column: str) -> str:
+    """Tables of the words of a column and, by word, the ids of its pieces: at each step the longest that fits."""
+    vocabulary = ", ".join("('" + t.replace("'", "''") + f"', {i})" for t, i in VOCAB.items())
+    basic = _BASIC.replace("html", f"coalesce({column}, '')")
+    return f"""v(piece, id) AS (VALUES {vocabulary}),
+part AS (SELECT id, starts_with(piece, '##') AS inner_, CASE WHEN starts_with(piece, '##') THEN piece[3:] ELSE piece END AS p FROM v),
+word AS (SELECT DISTINCT unnest({basic}) AS word FROM {table_}),
+m(word, pos, ids) AS (SELECT word, 1, CAST([] AS BIGINT[]) FROM word WHERE strlen(word) <= 200
+  UNION ALL SELECT m.word, m.pos + max(length(p)), list_append(m.ids, CAST(arg_max(id, length(p)) AS BIGINT)) FROM m JOIN part ON inner_ = (m.pos > 1) AND starts_with(substr(m.word, m.pos), p)
+  WHERE m.pos <= length(m.word) GROUP BY m.word, m.pos, m.ids),
+known AS (SELECT word, coalesce(any_value(m.ids) FILTER (pos = length(word) + 1), [CAST({VOCAB["[UNK]"]} AS BIGINT)]) AS ids FROM word LEFT JOIN m USING (word) GROUP BY word)"""
+
+
+def _ids_sql(words: str, key: str) -> str:
+    """ids of each row of ``words`` (the key columns and its words as w), in the order of the words."""
+    return f"""SELECT {key}, flatten(list(ids ORDER BY k)) AS ids FROM (SELECT {key}, unnest(w) AS word, unnest(range(len(w))) AS k FROM {words}) JOIN known USING (word) GROUP BY {key}"""
+
+
+@query(f"""WITH RECURSIVE {_pieces_sql("pages", "html")}, own AS (SELECT page_id, {_BASIC.replace("html", "coalesce(html, '')")} AS w FROM pages), got AS ({_ids_sql("own", "page_id")})
+SELECT page_id, coalesce(array_to_string(ids, ' '), '') AS ids FROM own LEFT JOIN got USING (page_id)""")
 def wordpiece_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", wordpiece.piece_ids(F.col("html"), VOCAB).alias("ids"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(wordpiece.piece_ids(F.col("html"), VOCAB).cast("array<string>"), " ").alias("ids"))
 
 
-@query()
+_TURN_WORDS = _BASIC.replace("html", "coalesce(text, '')")
+
+
+@query(f"""WITH RECURSIVE {_pieces_sql("conversations", "text")}, own AS (SELECT conv_id, turn, role, text, {_TURN_WORDS} AS w FROM conversations), got AS ({_ids_sql("own", "conv_id, turn")}),
+turns AS (SELECT own.conv_id, own.turn, role, text, coalesce(ids, []) AS d FROM own LEFT JOIN got USING (conv_id, turn)),
+pairs AS (SELECT *, lag(d) OVER p AS q, lag(text) OVER p AS before FROM turns WINDOW p AS (PARTITION BY conv_id ORDER BY turn)),
+built AS (SELECT conv_id, turn, role, text, ([{VOCAB["[CLS]"]}] || q || [{VOCAB["[SEP]"]}] || d[1:greatest(509 - len(q), 0)] || [{VOCAB["[SEP]"]}])[1:512] AS i FROM pairs WHERE before IS NOT NULL)
+SELECT conv_id, turn, role, text, array_to_string(list_resize(i, 512, {VOCAB["[PAD]"]}), ' ') AS input_ids, len(i) AS n_ids FROM built""")
 def encode_pair(spark: SparkSession, sf: str) -> DataFrame:
     turn = Window.partitionBy("conv_id").orderBy("turn")
-    own = table(spark, sf, "conversations").withColumn("query", F.lag("text").over(turn)).where("query is not null")
-    return wordpiece.encode_pairs(own.select("conv_id", "turn", "query", F.col("text").alias("content")), VOCAB).drop("query", "content")
+    own = table(spark, sf, "conversations").withColumn("query", F.lag("text").over(turn)).where("query is not null").withColumn("content", F.col("text"))
+    got = wordpiece.encode_pairs(own, VOCAB).select("conv_id", "turn", "role", "text", "input_ids", "attention_mask")
+    n = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("conv_id", "turn", "role", "text", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"), n.alias("n_ids"))
