@@ -45,6 +45,7 @@ _PAD = (1 << 16) - 1  # stands before and after a word and merges with nothing
 _NONE = 1 << 16
 _EMPTY = 1 << 32
 _ODD = 40_503
+_PLAN = "spark.sql.maxPlanStringLength"
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
 
 
@@ -328,6 +329,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids, the tokens of the text, of every row."""
     spark = docs.sparkSession
+    if spark.conf.get(_PLAN, "1") == "1":  # unset: else the driver keeps descriptions of plans with all of the literal
+        spark.conf.set(_PLAN, str(1 << 16))
     byte = np.zeros(256, np.int64)
     for i, p in enumerate(ranks(path)):
         if len(p) == 1:
@@ -404,7 +407,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
         return pa.Table.from_batches(batches, out)
 
     own = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(_blocks), _BLOCK)
-    stored = _by_block(own, docs.rdd.getNumPartitions())
+    stored = _by_block(own)
     asked = stored.where("slice >= 0").select("block", "slice", "n", "words")
     total = asked.agg(F.sum("n").alias("words"), F.countDistinct("block").alias("blocks")).first()
     families = -(-(total["blocks"] or 1) // FAMILY)
@@ -416,11 +419,11 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", doc_id: str =
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
 
-def _by_block(rows: DataFrame, parts: int) -> DataFrame:
+def _by_block(rows: DataFrame) -> DataFrame:
     """``rows`` written once to the shared folder, bucketed by block: blocks then stay where they are when their answers come."""
     spark = rows.sparkSession
     name, path = f"bpe_{uuid.uuid4().hex}", f"{shared_dir(spark)}/bpe-{uuid.uuid4().hex}"
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(parts, 50_000))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(n, "block").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved now: the plan holds the files, and the name can go
