@@ -10,6 +10,10 @@ classes that share a gram, which move on to a place named by the smallest of the
 nearly the same lists, so its pairs are counted at a few places and not once for each gram. Verification sends sets to
 places too, and leaves for each document how many it is linked to and one of its group: pairs themselves are never a result.
 
+The pairs of a large group grow with its square, so they are no rows at all: a crowd is what shares long lists with one
+smallest id, if those lists hold as many pairs as there are in it. All its pairs are compared set by set, a block of members
+against another at a time, and pass by the lists.
+
 Defined results: a null or empty text has no grams and is similar to nothing; a text of 1 to n-1 words has one gram, all of
 it; documents with equal sets are similar (jaccard 1); columns other than the id and text are ignored; an empty table
 gives no rows; a null id gives no row; repeated rows of one id and text are one document; the texts of an id with several are
@@ -32,6 +36,11 @@ BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size o
 _CLASS = "doc_id long, hi long, lo long, size int"
 LIST = 4096  # classes of a list that meet at one place; a longer one is cut, and its parts meet in pairs
 PLACE = 200_000  # pairs verified at one place
+HELD = 2_000_000  # distinct pairs that a place counts before it passes on what it has
+CROWD = 256  # classes of a crowd, and of a list that may make one, at least
+RUN = 64  # classes of one crowd in a list from which they don't meet there; fewer do, and their pairs are dropped later
+BLOCK = 1024  # members of a crowd in a block
+GRAMS = 400_000  # grams of a block
 
 
 def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -140,6 +149,7 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
     # one bucket a million postings, so that a bucket fits a Python worker at any size of the corpus
     buckets = max(4, int(counts.sum() * (1 - t) / 1.5e6) + 1)
     shipped = spark.sparkContext.broadcast((level, cost))
+    long, most, run, crowd_of, block, in_block, held_most = min(LIST, CROWD), LIST, RUN, CROWD, BLOCK, GRAMS, HELD
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, cost = shipped.value
@@ -195,25 +205,59 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
         base = np.cumsum([0, *map(len, docs)])
         doc = np.concatenate([unpacked(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
         tok = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("tok").to_pylist()])
-        out = pa.Table.from_pylist(list(shared_lists(np.concatenate(docs), doc, tok, buckets)), _LISTS)
+        out = pa.Table.from_pylist(list(shared_lists(np.concatenate(docs), doc, tok, buckets, int(part.column("bucket")[0].as_py()), t, long)), _LISTS)
         trim()
         return out
 
-    def count(part: pa.Table) -> pa.Table:
-        out = shared_pairs(part, t, buckets)
+    def unlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own, (name, least, pairs) = np.frombuffer(r["docs"], _CLASS_INFO), np.frombuffer(r["many"], np.int64)
+                full = [np.full(len(own), x) for x in (name, least)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, full), pa.array(np.where(np.arange(len(own)) == 0, pairs, 0)), pa.array(own["id"]), pa.array(own["size"]), pa.array(own["ell"].astype(np.int32))], ["list", "least", "pairs", "id", "size", "ell"])
+
+    def cut(part: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(list(cut_list(part, buckets, most, run)), _LISTS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(list(batches))
+        for out in shared_pairs(part, t, buckets, held_most):
+            yield from out.to_batches(max_chunksize=16)
         trim()
-        return out
 
     def enough(part: pa.Table) -> pa.Table:
         out = candidates_of(part)
         trim()
         return out
 
-    met = base.mapInArrow(released(prefixes), "bucket int, docs binary, doc binary, tok binary").repartition(min(buckets, 1 << 15), "bucket").groupBy("bucket").applyInArrow(meet, "place int, docs binary, many binary, parted binary, doc binary")
-    met = met.repartition(min(buckets, 1 << 15), "place").groupBy("place").applyInArrow(count, "part int, docs binary, a binary, b binary, n binary")
-    candidates = met.repartition(min(buckets, 1 << 15), "part").groupBy("part").applyInArrow(enough, "doc_a long, doc_b long, root long").where("doc_a <> doc_b")
+    lists = "place int, docs binary, many binary, parted binary, doc binary"
+    met = base.mapInArrow(released(prefixes), "bucket int, docs binary, doc binary, tok binary").repartition(min(buckets, 1 << 15), "bucket").groupBy("bucket").applyInArrow(meet, lists)
+    met = stored(met, "lists")
+    short = met.where("place >= 0")
+    crowd = stored(met.where("place < 0").select("docs", "many").mapInArrow(released(unlist), "list long, least long, pairs long, id long, size int, ell int"), "long-lists")
+    homes = crowd.groupBy("id").agg(F.min("least").alias("home"), F.max("size").alias("size"))
+    listed = crowd.groupBy(F.col("least").alias("home")).agg(F.sum("pairs").alias("pairs"))
+    large = homes.groupBy("home").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).where(F.col("m") >= crowd_of).join(listed, "home").where("m * (m - 1) / 2 <= pairs")
+    large = large.select("home", F.ceil(F.greatest(F.col("m") / block, F.col("grams") / in_block)).cast("int").alias("blocks"))
+    crowds = stored(homes.join(large, "home").select("id", "home", "blocks"), "crowds")
+    several = not crowds.isEmpty()
+    if not crowd.isEmpty():
+        rest = crowd.join(crowds.select("id", "home"), "id", "left") if several else crowd.withColumn("home", F.lit(None).cast("long"))
+        short = short.unionByName(rest.select("list", "id", "size", "ell", "home").groupBy("list").applyInArrow(cut, lists))
+    met2 = short.repartition(min(buckets, 1 << 15), "place").groupBy("place").applyInArrow(count, "part int, docs binary, a binary, b binary, n binary")
+    candidates = met2.repartition(min(buckets, 1 << 15), "part").groupBy("part").applyInArrow(enough, "doc_a long, doc_b long, root long").where("doc_a <> doc_b")
+    if several:  # the pairs within a crowd are compared as such
+        for side in "ab":
+            candidates = candidates.join(crowds.select(F.col("id").alias(f"doc_{side}"), F.col("home").alias(f"home_{side}")), f"doc_{side}", "left")
+        candidates = candidates.where("home_a is null or home_b is null or home_a <> home_b").select("doc_a", "doc_b", "root")
+    candidates = stored(candidates, "candidates")
+    free(met, crowd)
     classes = stored(signed.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-    return signed, classes, verified(base, stored(candidates, "candidates"), classes, n, t - 1e-9)
+    links = verified(base, candidates, classes, n, t - 1e-9)
+    if several:
+        links = links.unionByName(stored(within(base, crowds, classes, n, t - 1e-9), "crowd-links"))
+    free(crowds)
+    return signed, classes, links
 
 
 _INFO = np.dtype([("id", "<i8"), ("sig", "<u8"), ("size", "<i4"), ("ell", "u1")])
@@ -237,11 +281,12 @@ def _heads(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cls, first
 
 
-def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int) -> Iterator[dict]:
-    """The lists of the classes that share a gram, by place: a hash of the smallest id of the list.
+def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int, bucket: int, t: float, long: int) -> Iterator[dict]:
+    """The lists of the classes that share a gram, by place: a hash of the smallest id of the list. Classes stand in the
+    order of their size within a list.
 
-    Classes stand in the order of their size within a list. A list of more than ``LIST`` is cut: each part is a list, and so
-    are two parts together, in which only classes of different parts meet (parted: where the second begins, else 0)."""
+    A list of more than ``long`` classes is a row of its own, or several, at no place: its number, the smallest id and how
+    many of its pairs are of sizes that can be similar stand for ``many``, of which all but one row have none."""
     cls, first = _heads(info)
     own = first[doc]
     key = tok[own].astype(U) << U(32) | cls[doc[own]].astype(U)
@@ -251,35 +296,65 @@ def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int
     head = head[np.argsort(cls[first])]
     begin = np.flatnonzero(np.concatenate(([True], key[1:] >> U(32) != key[:-1] >> U(32)))) if len(key) else np.zeros(0, np.int64)
     many = np.diff(np.append(begin, len(key)))
-    begin, many = begin[many > 1], many[many > 1]
+    for b, m in zip(begin[many > long].tolist(), many[many > long].tolist()):
+        docs = _class_info(head, c[b : b + m])
+        pairs = int((np.searchsorted(docs["size"], np.floor(docs["size"] / t + 1e-6), "right") - np.arange(m) - 1).sum())
+        for i in range(0, m, PACKED):
+            yield {"place": -1, "docs": docs[i : i + PACKED].tobytes(), "many": np.array([bucket << 32 | int(key[b] >> U(32)), docs["id"].min(), pairs if i == 0 else 0], np.int64).tobytes(), "parted": b"", "doc": b""}
+    few = (many > 1) & (many <= long)
+    begin, many = begin[few], many[few]
     if not len(begin):
         return
-    pieces = [(b, m, 0, 0) for b, m in zip(begin[many > LIST].tolist(), many[many > LIST].tolist())]
-    parts = [(b + x, min(LIST, m - x), b + y if y > x else 0, min(LIST, m - y) if y > x else 0) for b, m, *_ in pieces for x in range(0, m, LIST) for y in range(x, m, LIST)]
-    short = many <= LIST
-    at = np.concatenate((np.stack((begin[short], many[short], 0 * begin[short], 0 * begin[short]), 1), np.array(parts, np.int64).reshape(-1, 4)))
-    total = at[:, 1] + at[:, 3]
-    lead = np.cumsum(total) - total
-    place_of = np.arange(total.sum()) - np.repeat(lead, total)
-    rows = np.repeat(at, total, axis=0)
-    c = c[np.where(place_of < rows[:, 1], rows[:, 0] + place_of, rows[:, 2] + place_of - rows[:, 1])]
+    lead = np.cumsum(many) - many
+    c = c[np.arange(many.sum()) + np.repeat(begin - lead, many)]
     least = np.minimum.reduceat(head["id"][c], lead)
-    place = (mix(least.view(U) ^ (at[:, 2].astype(U) << U(40))) % U(places)).astype(np.int64)
+    place = _place(least, np.zeros(len(least), U), places)
     order = np.argsort(place, kind="stable")
-    cut = np.searchsorted(place[order], np.arange(places + 1))
-    for p in np.flatnonzero(np.diff(cut)):
-        lists = order[cut[p] : cut[p + 1]]
-        size = total[lists]
+    at = np.searchsorted(place[order], np.arange(places + 1))
+    for p in np.flatnonzero(np.diff(at)):
+        lists = order[at[p] : at[p + 1]]
+        size = many[lists]
         used, local = np.unique(c[np.repeat(lead[lists] - (np.cumsum(size) - size), size) + np.arange(size.sum())], return_inverse=True)
-        docs = np.zeros(len(used), _CLASS_INFO)
-        for f in _CLASS_INFO.names:
-            docs[f] = head[f][used]
-        yield {"place": int(p), "docs": docs.tobytes(), "many": pack(size), "parted": pack(np.where(at[lists, 3] > 0, at[lists, 1], 0)), "doc": pack(local)}
-
-
-def shared_pairs(part: pa.Table, t: float, places: int) -> pa.Table:
+        yield {"place": int(p), "docs": _class_info(head, used).tobytes(), "many": pack(size), "parted": pack(np.zeros(len(size), np.int64)), "doc": pack(local)}
+
+
+def _class_info(head: np.ndarray, at: np.ndarray) -> np.ndarray:
+    docs = np.zeros(len(at), _CLASS_INFO)
+    for f in _CLASS_INFO.names:
+        docs[f] = head[f][at]
+    return docs
+
+
+def _place(least: np.ndarray, part: np.ndarray, places: int) -> np.ndarray:
+    return (mix(least.view(U) ^ (part << U(40))) % U(places)).astype(np.int64)
+
+
+def cut_list(part: pa.Table, places: int, most: int, run: int) -> Iterator[dict]:
+    """A long list in parts of ``most`` classes, as lists: a part alone, and two parts together, in which only classes of
+    different parts meet (parted: where the second begins, else 0). Classes of one crowd, if ``run`` or more, are parts of
+    their own, and don't meet each other."""
+    docs = np.zeros(len(part), _CLASS_INFO)
+    for f in _CLASS_INFO.names:
+        docs[f] = part.column(f).to_numpy()
+    _, group, times = np.unique(part.column("home").combine_chunks().fill_null(0).to_numpy(), return_inverse=True, return_counts=True)
+    alone = part.column("home").is_null().to_numpy() | (times[group] < run)
+    group = np.where(alone, -1, group)
+    order = np.lexsort((docs["id"], docs["size"], group))
+    docs, group = docs[order], group[order]
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    parts = [(x, min(x + most, int(e))) for b, e in zip([0, *ends[:-1].tolist()], ends.tolist()) for x in range(b, e, most)]
+    for i, (a, b) in enumerate(parts):
+        for c, d in parts[i:]:
+            if group[a] == group[c] and group[a] >= 0 or b - a == 1 and a == c:
+                continue
+            own = docs[a:b] if a == c else np.concatenate((docs[a:b], docs[c:d]))
+            place = _place(own["id"].min().reshape(1), np.array([0 if a == c else c], U), places)[0]
+            yield {"place": int(place), "docs": own.tobytes(), "many": pack(np.array([len(own)])), "parted": pack(np.array([0 if a == c else b - a])), "doc": pack(np.arange(len(own)))}
+
+
+def shared_pairs(part: pa.Table, t: float, places: int, most_held: int) -> Iterator[pa.Table]:
     """Pairs of classes that share lists of one place and how many, packed by a hash of the first, with the smallest id that each
-    class shares a list with here."""
+    class shares a list with here. No more than some ``most_held`` pairs are held; a pair may come several times, with part of its count."""
     docs = [np.frombuffer(x, _CLASS_INFO) for x in part.column("docs").to_pylist()]
     many, parted = (np.concatenate([unpacked(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
     base = np.cumsum([0, *map(len, docs)])
@@ -311,9 +386,9 @@ def shared_pairs(part: pa.Table, t: float, places: int) -> pa.Table:
     some = np.flatnonzero(count > 0)
     cum = np.concatenate(([0], np.cumsum(count[some])))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    i, held, most = 0, 0, 1_000_000
+    i, held, most = 0, 0, max(1, most_held // 2)
     while i < len(some):
-        j = max(int(np.searchsorted(cum, cum[i] + 500_000, "right")) - 1, i + 1)
+        j = max(int(np.searchsorted(cum, cum[i] + min(500_000, most_held), "right")) - 1, i + 1)
         own, m = some[i:j], count[some[i:j]]
         left = np.repeat(own, m)
         right = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(len(left))
@@ -323,11 +398,16 @@ def shared_pairs(part: pa.Table, t: float, places: int) -> pa.Table:
         if held > most:
             found = [_sum(found)]
             held = len(found[0][0])
-            most = max(most, 2 * held)
+            most = max(most, min(2 * held, most_held))
+            if held > most_held // 2:
+                yield _packed_pairs(*found[0], head, root, places)
+                found, held, most = [], 0, max(1, most_held // 2)
         i = j
-    if not found:
-        return _PAIRS.empty_table()
-    k, n = _sum(found)
+    if found:
+        yield _packed_pairs(*_sum(found), head, root, places)
+
+
+def _packed_pairs(k: np.ndarray, n: np.ndarray, head: np.ndarray, root: np.ndarray, places: int) -> pa.Table:
     x, y = (k >> U(32)).astype(np.int64), (k & U(0xFFFFFFFF)).astype(np.int64)
     to = (mix(np.ascontiguousarray(head["id"]).view(U)) % U(places)).astype(np.int32)[x]
     order = np.argsort(to, kind="stable")
@@ -373,9 +453,10 @@ def verified(base: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
     First by bitmaps of some two bits a gram, each the parity of the grams of its bucket: two sets differ by no less than
     their bitmaps do, which bounds their similarity from above. Only the sets of pairs that pass are sent whole. Pairs meet
     at their root, so the members of a tight group send their sets to one place once and not once a pair; a place with many
-    pairs is split."""
-    heavy = candidates.groupBy("root").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("parts")).where("parts > 1")
-    placed = candidates.join(heavy, "root", "left").select("root", F.coalesce(F.pmod(F.xxhash64("doc_a"), "parts"), F.lit(0)).cast("int").alias("part"), "doc_a", "doc_b")
+    pairs is split by both documents of a pair."""
+    heavy = candidates.groupBy("root").agg(F.ceil(F.sqrt(F.count("*") / PLACE)).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("doc_a"), "parts") * F.col("parts") + F.pmod(F.xxhash64("doc_b"), "parts")
+    placed = candidates.join(heavy, "root", "left").select("root", F.coalesce(part, F.lit(0)).cast("int").alias("part"), "doc_a", "doc_b")
 
     def likely(own: list[bytes], a: np.ndarray, b: np.ndarray, _: np.ndarray, pairs: pa.Table) -> pa.Table:
         return pairs.filter(pa.array(bound(own, a, b) >= least))
@@ -383,13 +464,7 @@ def verified(base: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
     def linked(own: list[bytes], a: np.ndarray, b: np.ndarray, members: np.ndarray, pairs: pa.Table) -> pa.Table:
         ok = jaccard([np.frombuffer(x, U) for x in own], a, b) >= least
         a, b = a[ok], b[ok]
-        group, before = np.arange(len(own)), None
-        while before is None or (group != before).any():
-            before = group.copy()
-            low = np.minimum(group[a], group[b])
-            np.minimum.at(group, a, low)
-            np.minimum.at(group, b, low)
-            group = group[group]
+        group = grouped(len(own), a, b)
         links = np.bincount(a, members[b], len(own)) + np.bincount(b, members[a], len(own))
         some = np.flatnonzero(links > 0)
         ids = np.zeros(len(own), np.int64)
@@ -407,10 +482,109 @@ def verified(base: DataFrame, candidates: DataFrame, classes: DataFrame, n: int,
 _LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
 
+def grouped(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n the smallest number that the links a[i] to b[i] lead to."""
+    group, before = np.arange(n), None
+    while before is None or (group != before).any():
+        before = group.copy()
+        low = np.minimum(group[a], group[b])
+        np.minimum.at(group, a, low)
+        np.minimum.at(group, b, low)
+        group = group[group]
+    return group
+
+
+def within(base: DataFrame, crowds: DataFrame, classes: DataFrame, n: int, least: float) -> DataFrame:
+    """links(rep, links, other) of all pairs within each crowd, from the crowds(id, home, blocks): every block of members meets
+    every other at a place of theirs, to which each member sends its set as often as there are blocks."""
+
+    def judge(part: pa.Table) -> pa.Table:
+        side = part.column("second").to_numpy()
+        part = part.take(np.argsort(side, kind="stable"))
+        ids, weight = part.column("doc_id").to_numpy(), part.column("members").to_numpy()
+        own = [np.frombuffer(x, U) for x in part.column("grams").to_pylist()]
+        size = np.array([len(x) for x in own])
+        one = part.column("one")[0].as_py()  # a block by itself
+        k = 0 if one else int(np.count_nonzero(~side))
+        left, right = (own, own) if one else (own[:k], own[k:])
+        common = shared_counts(left, right)
+        ok = common >= least * (size[: len(left), None] + size[None, k:] - common)
+        a, b = np.nonzero(np.triu(ok, 1) if one else ok)
+        b = b + k
+        links = np.bincount(a, weight[b], len(own)) + np.bincount(b, weight[a], len(own))
+        group = grouped(len(own), a, b)
+        some = np.flatnonzero(links > 0)
+        out = pa.table([ids[some], links[some].astype(np.int64), ids[group[some]]], schema=_LINKS)
+        trim()
+        return out
+
+    whole = lambda g, at: [g[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+    members = crowds.join(_several(classes), F.col("id") == F.col("doc_id"), "left").select("id", "home", "blocks", F.coalesce("members", F.lit(1)).alias("members"))
+    sent = _sets_of(base, crowds.select(F.col("id").alias("doc_id")), n, whole).join(members.withColumnRenamed("id", "doc_id"), "doc_id")
+    sent = sent.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("home", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"), (F.col("own") == F.col("other")).alias("one"), "doc_id", "members", "grams")
+    return sent.groupBy("home", "x", "y").applyInArrow(judge, "rep long, links long, other long")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many grams each set of the left has in common with each of the right: by matrix product for grams of many sets, pair by
+    pair for the others."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not out.size:
+        return out
+    _, back = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    doc = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right)]
+    gram = [back[: len(doc[0])], back[len(doc[0]) :]]
+    times = [np.bincount(x, minlength=int(back.max()) + 1) for x in gram]
+    pairs = times[0] * times[1]
+    often = pairs * 500 > out.size
+    column = np.cumsum(often) - 1
+    width = 2048
+    for i in range(0, int(often.sum()), width):
+        sides = []
+        for d, g, m in zip(doc, gram, out.shape):
+            at = np.flatnonzero(often[g] & (column[g] >= i) & (column[g] < i + width))
+            sides.append(np.zeros((m, width), np.float32))
+            sides[-1][d[at], column[g[at]] - i] = 1
+        out += sides[0] @ sides[1].T
+    seldom = (pairs > 0) & ~often
+    a, b = (np.flatnonzero(seldom[g]) for g in gram)
+    b = b[np.argsort(gram[1][b], kind="stable")]
+    many = times[1][gram[0][a]]
+    begin = np.searchsorted(gram[1][b], gram[0][a])
+    cum = np.concatenate(([0], np.cumsum(many)))
+    i = 0
+    while i < len(a):
+        j = max(int(np.searchsorted(cum, cum[i] + 2_000_000, "right")) - 1, i + 1)
+        m = many[i:j]
+        to = b[np.repeat(begin[i:j] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        flat = np.repeat(doc[0][a[i:j]] * len(right), m) + doc[1][to]
+        out += np.bincount(flat, minlength=out.size).reshape(out.shape).astype(np.float32)
+        i = j
+    return out
+
+
 def _compared(base: DataFrame, placed: DataFrame, classes: DataFrame, n: int, packed: Callable, judged: Callable, schema: str) -> DataFrame:
     """What ``judged`` makes of the pairs of each place, given what ``packed`` makes of the gram sets."""
     wanted = stored(placed.select("root", "part", F.col("doc_a").alias("doc_id")).unionByName(placed.select("root", "part", F.col("doc_b").alias("doc_id"))).distinct(), "wanted")
-    ids = wanted.select("doc_id").distinct()
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, right.column(c).to_numpy(), sorter=order)] for c in ("doc_a", "doc_b"))
+        return judged(left.column("grams").to_pylist(), a, b, left.column("members").to_numpy(), right)
+
+    sets_of = _sets_of(base, wanted.select("doc_id").distinct(), n, packed)
+    wanted = wanted.join(_several(classes), "doc_id", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    sent = wanted.join(sets_of, "doc_id").select(F.col("root").alias("place"), F.col("part").alias("piece"), "doc_id", "members", "grams")
+    return sent.groupBy("place", "piece").cogroup(placed.select("root", "part", "doc_a", "doc_b").groupBy("root", "part")).applyInArrow(check, schema)
+
+
+def _several(classes: DataFrame) -> DataFrame:
+    return classes.where("members > 1").select(F.col("rep").alias("doc_id"), "members")
+
+
+def _sets_of(base: DataFrame, ids: DataFrame, n: int, packed: Callable) -> DataFrame:
+    """(doc_id, grams) of the documents named by the distinct ids(doc_id), and of some others."""
     filt = base.sparkSession.sparkContext.broadcast(bloom(ids, "doc_id", bloom_size(ids.count())))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,16 +595,7 @@ def _compared(base: DataFrame, placed: DataFrame, classes: DataFrame, n: int, pa
                 ids = batch.column("doc_id").slice(i, len(at) - 1)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(packed(g, at), pa.binary())], ["doc_id", "grams"])
 
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("doc_id").to_numpy()
-        order = np.argsort(ids)
-        a, b = (order[np.searchsorted(ids, right.column(c).to_numpy(), sorter=order)] for c in ("doc_a", "doc_b"))
-        return judged(left.column("grams").to_pylist(), a, b, left.column("members").to_numpy(), right)
-
-    several = classes.where("members > 1").select(F.col("rep").alias("doc_id"), "members")
-    wanted = wanted.join(several, "doc_id", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    sent = wanted.join(base.mapInArrow(released(emit), "doc_id long, grams binary"), "doc_id").select(F.col("root").alias("place"), F.col("part").alias("piece"), "doc_id", "members", "grams")
-    return sent.groupBy("place", "piece").cogroup(placed.select("root", "part", "doc_a", "doc_b").groupBy("root", "part")).applyInArrow(check, schema)
+    return base.mapInArrow(released(emit), "doc_id long, grams binary")
 
 
 def bitmaps(g: np.ndarray, at: np.ndarray) -> list[bytes]:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -441,6 +442,60 @@ def test_one_of_each_group_counts_rows(spark, awkward):
     assert ngram_join.one_of_each_group(awkward).count() == awkward.count() - 3
 
 
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for size in (230, 190, 20):
+        base = sentence(rng, 60, 2000).split()
+        rows += [(len(rows) + k, " ".join(f"y{rng.randrange(999)}" if k and rng.random() < 0.06 else w for w in base)) for k in range(size)]
+    rows += [(len(rows) + k, sentence(rng, 50, 2000)) for k in range(100)] + [(5000, rows[3][1]), (5001, rows[3][1])]
+    sets = {i: gram_set(t) for i, t in rows}
+    links = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common >= (0.6 - 1e-9) * (len(sets[a]) + len(sets[b]) - common):
+            links[a], links[b] = links[a] + 1, links[b] + 1
+    made, own = {}, ngram_join.stored
+
+    def stored(df, name):
+        out = own(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    d = docs(spark, rows).repartition(3)
+    want = {i: k for i, k in links.items() if k}
+    for name, least in (("CROWD", 40), ("RUN", 5), ("BLOCK", 50), ("GRAMS", 3000), ("LIST", 30), ("HELD", 500)):
+        monkeypatch.setattr(ngram_join, name, least, raising=False)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_jaccard_join(d).collect()} == want
+    assert made["candidates"] < sum(want.values()) // 20
+
+
+def test_pairs_of_a_place_are_passed_on_in_parts():
+    rng = np.random.default_rng(3)
+    docs = np.zeros(300, ngram_join._CLASS_INFO)
+    docs["id"], docs["size"], docs["ell"] = np.arange(300), 100, 1
+    lists = [np.sort(rng.choice(300, 200, replace=False)) for _ in range(6)]
+    row = {"place": 0, "docs": docs.tobytes(), "many": ngram_join.pack(np.array([200] * 6)), "parted": ngram_join.pack(np.zeros(6, np.int64)), "doc": ngram_join.pack(np.concatenate(lists))}
+    want = Counter(p for x in lists for p in itertools.combinations(x.tolist(), 2))
+    got, parts = Counter(), 0
+    for out in ngram_join.shared_pairs(pa.Table.from_pylist([row], ngram_join._LISTS), 0.6, 4, 1000):
+        parts += 1
+        for r in out.to_pylist():
+            ids = np.frombuffer(r["docs"], ngram_join._PAIRED)["id"]
+            for a, b, n in zip(*(ngram_join.unpacked(r[c]).tolist() for c in ("a", "b", "n"))):
+                got[int(ids[a]), int(ids[b])] += n
+    assert got == want and parts > 1
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    for many in (40, 400, 4000):
+        left, right = ([np.unique(rng.integers(0, many, rng.integers(1, 120)).astype(np.uint64)) for _ in range(n)] for n in (70, 90))
+        want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+        assert (ngram_join.shared_counts(left, right) == np.array(want)).all()
+
+
 def test_bitmaps_never_bound_too_low():
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 1 << 12, rng.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)) for _ in range(60)]
