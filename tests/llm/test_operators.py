@@ -471,6 +471,24 @@ def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
     assert made["candidates"] < sum(want.values()) // 20
 
 
+def test_one_of_each_large_group(spark, monkeypatch):
+    rng = random.Random(9)
+    base = sentence(rng, 60, 2000).split()
+    rows = [(k, " ".join(f"y{rng.randrange(999)}" if k and rng.random() < 0.03 else w for w in base)) for k in range(150)] + [(900, sentence(rng, 50, 2000)), (None, "a b")]
+    made, own = {}, ngram_join.stored
+
+    def stored(df, name):
+        out = own(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    for name, least in (("CROWD", 40), ("BLOCK", 60)):
+        monkeypatch.setattr(ngram_join, name, least, raising=False)
+    assert {r["doc_id"] for r in ngram_join.one_of_each_group(docs(spark, rows).repartition(3)).collect()} == {0, 900, None}
+    assert made["candidates"] < 150 * 149 // 20
+
+
 def test_pairs_of_a_place_are_passed_on_in_parts():
     rng = np.random.default_rng(3)
     docs = np.zeros(300, ngram_join._CLASS_INFO)
