@@ -157,6 +157,16 @@ def test_bpe_of_many_blocks(spark, monkeypatch):
     assert any(want[i][1] for i in range(80))
 
 
+def test_bpe_plans_hold_no_vocabulary(spark):
+    rows = docs(spark, [(1, "one two"), (2, "three")])
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        plan = bpe.bpe_round_trip(rows, RANKS)._jdf.queryExecution()
+        assert all(len(x.toString()) < 200_000 for x in (plan.optimizedPlan(), plan.executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+
+
 def test_words_are_those_of_the_pattern():
     import public_tokenizers
     import regex
