@@ -36,7 +36,8 @@ BITS = 21  # log2 of the buckets of the count sketch: fixed, whatever the size o
 _CLASS = "doc_id long, hi long, lo long, size int"
 LIST = 4096  # classes of a list that meet at one place; a longer one is cut, and its parts meet in pairs
 PLACE = 200_000  # pairs verified at one place
-HELD = 2_000_000  # distinct pairs that a place counts before it passes on what it has
+HELD = 500_000  # distinct pairs that a place counts before it passes on what it has
+ONCE = 250_000  # postings of a bucket, entries of lists or pairs worked on at once
 CROWD = 256  # classes of a crowd, and of a list that may make one, at least
 RUN = 64  # classes of one crowd in a list from which they don't meet there; fewer do, and their pairs are dropped later
 BLOCK = 1024  # members of a crowd in a block
@@ -149,7 +150,7 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
     # one bucket a million postings, so that a bucket fits a Python worker at any size of the corpus
     buckets = max(4, int(counts.sum() * (1 - t) / 1.5e6) + 1)
     shipped = spark.sparkContext.broadcast((level, cost))
-    long, most, run, crowd_of, block, in_block, held_most = min(LIST, CROWD), LIST, RUN, CROWD, BLOCK, GRAMS, HELD
+    long, most, run, crowd_of, block, in_block, held_most, once = min(LIST, CROWD), LIST, RUN, CROWD, BLOCK, GRAMS, HELD, ONCE
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, cost = shipped.value
@@ -201,13 +202,10 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
             yield flush()
 
     def meet(part: pa.Table) -> pa.Table:
-        docs = [np.frombuffer(x, _INFO) for x in part.column("docs").to_pylist()]
-        base = np.cumsum([0, *map(len, docs)])
-        doc = np.concatenate([unpacked(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
-        tok = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("tok").to_pylist()])
-        out = pa.Table.from_pylist(list(shared_lists(np.concatenate(docs), doc, tok, buckets, int(part.column("bucket")[0].as_py()), t, long)), _LISTS)
+        bucket = int(part.column("bucket")[0].as_py())
+        out = [pa.Table.from_pylist(list(shared_lists(*own, buckets, bucket, t, long)), _LISTS) for own in bucket_pieces(part, once)]
         trim()
-        return out
+        return pa.concat_tables(out)
 
     def unlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +219,12 @@ def similar(base: DataFrame, n: int, threshold: float, most_matches: int = 8, ve
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(list(batches))
-        for out in shared_pairs(part, t, buckets, held_most):
+        for out in shared_pairs(part, t, buckets, held_most, once):
             yield from out.to_batches(max_chunksize=16)
         trim()
 
     def enough(part: pa.Table) -> pa.Table:
-        out = candidates_of(part)
+        out = candidates_of(part, once)
         trim()
         return out
 
@@ -281,6 +279,26 @@ def _heads(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cls, first
 
 
+def bucket_pieces(part: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(info, doc, tok) of the postings of a bucket in pieces of about ``most``, all postings of a gram in one of them. Only the packed rows
+    are held whole: they grow with the share of postings that bring a document of their own."""
+    rows = [part.column(c) for c in ("docs", "doc", "tok")]
+    pieces = max(1, -(-sum(len(x.as_buffer()) // 4 for x in rows[2]) // most))
+    for k in range(pieces):
+        docs, doc, tok, n = [], [], [], 0
+        for x, y, z in zip(*rows):
+            own = np.frombuffer(z.as_buffer(), np.uint32)
+            some = np.flatnonzero(own % np.uint32(pieces) == k)
+            if len(some):
+                used, local = np.unique(unpacked(y.as_buffer())[some], return_inverse=True)
+                docs.append(np.frombuffer(x.as_buffer(), _INFO)[used])
+                doc.append(local + n)
+                tok.append(own[some])
+                n += len(used)
+        if n:
+            yield np.concatenate(docs), np.concatenate(doc), np.concatenate(tok)
+
+
 def shared_lists(info: np.ndarray, doc: np.ndarray, tok: np.ndarray, places: int, bucket: int, t: float, long: int) -> Iterator[dict]:
     """The lists of the classes that share a gram, by place: a hash of the smallest id of the list. Classes stand in the
     order of their size within a list.
@@ -352,57 +370,69 @@ def cut_list(part: pa.Table, places: int, most: int, run: int) -> Iterator[dict]
             yield {"place": int(place), "docs": own.tobytes(), "many": pack(np.array([len(own)])), "parted": pack(np.array([0 if a == c else b - a])), "doc": pack(np.arange(len(own)))}
 
 
-def shared_pairs(part: pa.Table, t: float, places: int, most_held: int) -> Iterator[pa.Table]:
+def shared_pairs(part: pa.Table, t: float, places: int, most_held: int, once: int = ONCE) -> Iterator[pa.Table]:
     """Pairs of classes that share lists of one place and how many, packed by a hash of the first, with the smallest id that each
-    class shares a list with here. No more than some ``most_held`` pairs are held; a pair may come several times, with part of its count."""
-    docs = [np.frombuffer(x, _CLASS_INFO) for x in part.column("docs").to_pylist()]
-    many, parted = (np.concatenate([unpacked(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
+    class shares a list with here. No more than some ``most_held`` pairs are held; a pair may come several times, with part of its count.
+    Lists are taken ``once`` entries at a time."""
+    docs = [np.frombuffer(x.as_buffer(), _CLASS_INFO) for x in part.column("docs")]
+    all_many, all_parted = (np.concatenate([unpacked(x).astype(np.int64) for x in part.column(c).to_pylist()]) for c in ("many", "parted"))
     base = np.cumsum([0, *map(len, docs)])
-    doc = np.concatenate([unpacked(x).astype(np.int64) + b for x, b in zip(part.column("doc").to_pylist(), base)])
     info = np.concatenate(docs)
     order = np.lexsort((info["id"], info["size"]))
     new = np.ones(len(order), bool)
     new[1:] = info["id"][order][1:] != info["id"][order][:-1]
-    cls = np.empty(len(order), np.int64)
+    cls = np.empty(len(order), np.int32)
     cls[order] = np.cumsum(new) - 1
     head = info[order[new]]
-    c = cls[doc]
-    end_of = np.cumsum(many)
-    begin = end_of - many
-    root = np.full(len(head), np.iinfo(np.int64).max)
-    np.minimum.at(root, c, np.repeat(np.minimum.reduceat(head["id"][c], begin), many))
+    all_c = np.concatenate([cls[b:][unpacked(x.as_buffer())] for x, b in zip(part.column("doc"), base)])
+    del docs, info, order, new, cls
     last = np.searchsorted(head["size"], np.floor(head["size"] / t + 1e-6), "right") - 1
-    number = np.repeat(np.arange(len(many)), many)
-    at = np.arange(len(c))
-    # in a list of two parts a class of the first meets those of the second, in any other those after it; sizes ascend in each part
-    start = np.where(parted[number] > 0, (begin + parted)[number], at + 1)
-    # the order of classes here isn't that of the list among equal sizes, so partners end by size
-    upto = head["size"][last[c]]
-    sizes = number * (1 << 32) + head["size"][c]
-    second = at >= (begin + parted)[number]
-    sizes += np.where((parted[number] > 0) & second, 1 << 31, 0)
-    end = np.searchsorted(sizes, number * (1 << 32) + upto + np.where(parted[number] > 0, 1 << 31, 0), "right")
-    count = np.where((parted[number] > 0) & second, 0, np.maximum(end - start, 0))
-    some = np.flatnonzero(count > 0)
-    cum = np.concatenate(([0], np.cumsum(count[some])))
+    upto = head["size"][last]
+    ends = np.cumsum(all_many)
+    cuts = [0]  # whole lists
+    while cuts[-1] < len(ends):
+        before = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(int(np.searchsorted(ends, before + once, "right")), cuts[-1] + 1))
+    runs = [(a, b, int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:])]
+    root = np.full(len(head), np.iinfo(np.int64).max)
+    for a, b, x, y in runs:
+        many, c = all_many[a:b], all_c[x:y]
+        np.minimum.at(root, c, np.repeat(np.minimum.reduceat(head["id"][c], np.cumsum(many) - many), many))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    i, held, most = 0, 0, max(1, most_held // 2)
-    while i < len(some):
-        j = max(int(np.searchsorted(cum, cum[i] + min(500_000, most_held), "right")) - 1, i + 1)
-        own, m = some[i:j], count[some[i:j]]
-        left = np.repeat(own, m)
-        right = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(len(left))
-        x, y = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
-        found.append(np.unique((x.astype(U) << U(32)) | y.astype(U), return_counts=True))
-        held += len(found[-1][0])
-        if held > most:
-            found = [_sum(found)]
-            held = len(found[0][0])
-            most = max(most, min(2 * held, most_held))
-            if held > most_held // 2:
-                yield _packed_pairs(*found[0], head, root, places)
-                found, held, most = [], 0, max(1, most_held // 2)
-        i = j
+    held, most = 0, max(1, most_held // 2)
+    for a, b, x, y in runs:
+        many, parted, c = all_many[a:b], all_parted[a:b], all_c[x:y]
+        begin = np.cumsum(many) - many
+        number = np.repeat(np.arange(len(many)), many)
+        at = np.arange(len(c))
+        # in a list of two parts a class of the first meets those of the second, in any other those after it; sizes ascend in each part
+        two, middle = parted[number] > 0, (begin + parted)[number]
+        start = np.where(two, middle, at + 1)
+        # the order of classes here isn't that of the list among equal sizes, so partners end by size
+        second = two & (at >= middle)
+        sizes = number * (1 << 32) + head["size"][c] + np.where(second, 1 << 31, 0)
+        end = np.searchsorted(sizes, number * (1 << 32) + upto[c] + np.where(two, 1 << 31, 0), "right")
+        count = np.where(second, 0, np.maximum(end - start, 0))
+        some = np.flatnonzero(count > 0)
+        cum = np.concatenate(([0], np.cumsum(count[some])))
+        del number, at, two, middle, second, sizes, end
+        i = 0
+        while i < len(some):
+            j = max(int(np.searchsorted(cum, cum[i] + min(once, most_held), "right")) - 1, i + 1)
+            own, m = some[i:j], count[some[i:j]]
+            left = np.repeat(own, m)
+            right = np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(len(left))
+            p, q = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
+            found.append(np.unique((p.astype(U) << U(32)) | q.astype(U), return_counts=True))
+            held += len(found[-1][0])
+            if held > most:
+                found = [_sum(found)]
+                held = len(found[0][0])
+                most = max(most, min(2 * held, most_held))
+                if held > most_held // 2:
+                    yield _packed_pairs(*found[0], head, root, places)
+                    found, held, most = [], 0, max(1, most_held // 2)
+            i = j
     if found:
         yield _packed_pairs(*_sum(found), head, root, places)
 
@@ -423,12 +453,31 @@ def _packed_pairs(k: np.ndarray, n: np.ndarray, head: np.ndarray, root: np.ndarr
     return pa.Table.from_pylist(rows, _PAIRS)
 
 
-def candidates_of(part: pa.Table) -> pa.Table:
-    """(doc_a, doc_b, root) of the pairs that share enough prefix grams, from what all places found of them."""
-    docs = [np.frombuffer(x, _PAIRED) for x in part.column("docs").to_pylist()]
-    base = np.cumsum([0, *map(len, docs)])
-    a, b = (np.concatenate([unpacked(x).astype(np.int64) + i for x, i in zip(part.column(c).to_pylist(), base)]) for c in "ab")
-    n = np.concatenate([unpacked(x) for x in part.column("n").to_pylist()]).astype(np.int64)
+def candidates_of(part: pa.Table, most: int = ONCE) -> pa.Table:
+    """(doc_a, doc_b, root) of the pairs that share enough prefix grams, from what all places found of them. Pairs that share a gram grow
+    faster than documents, so they are unpacked ``most`` at a time, about, by a hash of the first."""
+    rows = [part.column(c) for c in ("docs", "a", "b", "n")]
+    pieces = max(1, -(-sum((len(x.as_buffer()) - 1) // x.as_buffer()[0] for x in rows[3]) // most))
+    return pa.concat_tables([_candidates(rows, k, pieces) for k in range(pieces)])
+
+
+def _candidates(rows: list[pa.ChunkedArray], k: int, pieces: int) -> pa.Table:
+    docs, parts, base = [], [], 0
+    for row in zip(*rows):
+        info, (a, b, n) = np.frombuffer(row[0].as_buffer(), _PAIRED), (unpacked(x.as_buffer()) for x in row[1:])
+        here = (mix(np.ascontiguousarray(info["id"]).view(U)) >> U(40)) % U(pieces) == k
+        own = here[a]
+        if not own.any():
+            continue
+        a, b, n = a[own], b[own], n[own]
+        here[b] = True
+        to = np.cumsum(here) - 1 + base
+        docs.append(info[here])
+        parts.append((to[a], to[b], n.astype(np.int64)))
+        base += len(docs[-1])
+    if not docs:
+        return _CANDIDATES.empty_table()
+    a, b, n = (np.concatenate(x) for x in zip(*parts))
     info = np.concatenate(docs)
     ids, first, place = np.unique(info["id"], return_index=True, return_inverse=True)
     root = np.full(len(ids), np.iinfo(np.int64).max)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -516,6 +517,45 @@ def test_pairs_of_a_place_are_passed_on_in_parts():
     assert got == want and parts > 1
 
 
+def test_a_place_works_in_bounded_memory():
+    """A place, a part and a bucket as large as some gigabytes of input make them."""
+    rng = np.random.default_rng(4)
+    info = np.zeros(200_000, ngram_join._CLASS_INFO)
+    info["id"], info["size"], info["ell"] = rng.permutation(200_000), rng.integers(90, 140, 200_000), 2
+    many = rng.integers(2, 6, 350_000)
+    lists = [np.sort(x) for x in np.split(rng.integers(0, 200_000, many.sum()), np.cumsum(many)[:-1])]
+    by_size = np.concatenate([x[np.argsort(info["size"][x], kind="stable")] for x in lists])
+    place = pa.Table.from_pylist([{"place": 0, "docs": info.tobytes(), "many": ngram_join.pack(many), "parted": ngram_join.pack(np.zeros(len(many), np.int64)), "doc": ngram_join.pack(by_size)}], ngram_join._LISTS)
+    rows = []
+    for _ in range(40):
+        docs = np.zeros(30_000, ngram_join._PAIRED)
+        docs["id"], docs["ell"], docs["root"] = np.sort(rng.choice(200_000, 30_000, replace=False)), 1, rng.integers(0, 200_000, 30_000)
+        a, b = np.sort(rng.integers(0, 30_000, (2, 40_000)), axis=0)
+        rows.append({"part": 0, "docs": docs.tobytes(), "a": ngram_join.pack(a), "b": ngram_join.pack(b), "n": ngram_join.pack(rng.integers(1, 3, 40_000))})
+    part = pa.Table.from_pylist(rows, ngram_join._PAIRS)
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            return out, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    pairs, at_place = peak(lambda: sum(len(r["a"]) for out in ngram_join.shared_pairs(place, 0.6, 400, ngram_join.HELD) for r in out.select(["a"]).to_pylist()))
+    got, at_part = peak(lambda: ngram_join.candidates_of(part))
+    assert pairs and max(at_place, at_part) < 100, (at_place, at_part)
+    pieces, whole = (sorted(zip(*(x.column(c).to_pylist() for c in x.column_names))) for x in (got, ngram_join.candidates_of(part, 1 << 40)))
+    assert pieces == whole and len(whole) > 1_000_000
+
+    info = np.zeros(5_000, ngram_join._INFO)
+    info["id"], info["sig"], info["size"] = np.arange(5_000), rng.integers(0, 4_000, 5_000), 100
+    doc, tok = rng.integers(0, 5_000, 20_000), rng.integers(0, 3_000, 20_000).astype(np.uint32)
+    bucket = pa.table({"docs": [info.tobytes()], "doc": [ngram_join.pack(doc)], "tok": [tok.tobytes()]})
+    meetings = [[(int(x["id"]), int(x["sig"]), int(y)) for i, d, z in ngram_join.bucket_pieces(bucket, most) for x, y in zip(i[d], z)] for most in (1_000, 1 << 40)]
+    assert sorted(meetings[0]) == sorted(meetings[1]) and len(meetings[0]) == 20_000
+
+
 def test_shared_counts():
     rng = np.random.default_rng(5)
     for many in (40, 400, 4000):
