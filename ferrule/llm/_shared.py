@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.storage import free, shared_dir, stored, table
+from ferrule.storage import bounded, free, shared_dir, stored, table
 
 __all__ = ["SOLID", "U", "WORD", "bounded", "buffers", "chunks", "counted", "counters", "free", "grams", "mix", "pack", "released", "shared_dir", "span_hash", "spans", "stored", "table", "trim", "unpacked", "words"]
 
@@ -174,18 +174,6 @@ def counted(rows: DataFrame, bits: int) -> np.ndarray:
 # memory of Python workers
 
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``; texts go to the Python workers in batches of some 8 MB, unless the session says otherwise. The number of rows
-    alone, by which batches are cut without this, doesn't bound what a batch of long texts takes."""
-    conf = docs.sparkSession.conf
-    if conf.get(_BATCH, "1") == "1":  # unset
-        conf.set(_BATCH, str(8 << 20))
-    return docs
-
-
 def trim() -> None:
     """Give back what a Python worker no longer needs; it's used again for other work."""
     pa.default_memory_pool().release_unused()

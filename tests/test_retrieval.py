@@ -374,3 +374,49 @@ def test_encode_pair_has_the_reference_size(spark, tmp_path):
         q = ids(turns[turn - 1][3])
         want = ([cls, *q, sep, *ids(turns[turn][3])[: max(512 - 3 - len(q), 0)], sep])[:512]
         assert got[turn]["input_ids"] == " ".join(map(str, want + [pad] * (512 - len(want)))) and got[turn]["n_ids"] == len(want)
+
+
+ODD = [(1, "apple pear"), (1, "pear Plum pear"), (None, "apple"), (None, "apple APPLE"), (2, None), (3, "The of"), (4, "café naïve Ka x-Y_z (a) b)\t\u0000c\n"), (70_000, "apple"), (5, "")]
+
+
+def plain_counts(rows):
+    from collections import Counter
+
+    from ferrule.plans.ast import query_tokens
+
+    return Counter((t, d) for d, text in rows for t in query_tokens(text or ""))
+
+
+def test_no_table_of_all_pairs(spark):
+    """Rows of pairs are sorted, not held in a table whose size is that of the largest task."""
+    df = postings(spark.createDataFrame(MICRO, "doc_id long, text string"))
+    assert "HashAggregate" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_index_of_lists(spark, tmp_path):
+    """A batch of documents has a row a term in the index; the counts of an id that comes again add up."""
+    from ferrule.operators.index import Index
+
+    for name, rows in (("once", MICRO), ("again", ODD)):
+        path = str(tmp_path / name)
+        build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, num_shards=4)
+        assert {"term", "doc_ids", "tfs"} <= set(spark.read.parquet(f"{path}/postings").columns)
+        want, index = plain_counts(rows), Index(spark, path)
+        assert {(r.term, r.doc_id): r.tf for r in index.postings().collect()} == want
+        assert index.postings().count() == len(want)
+        df = {t: sum(t == u for u, _ in want) for t, _ in want}
+        assert {r.term: (r.df, r.cf) for r in index.dictionary.collect()} == {t: (n, sum(c for (u, _), c in want.items() if u == t)) for t, n in df.items()}
+
+
+def test_postings_add_up(spark):
+    got = postings(spark.createDataFrame(ODD, "doc_id long, text string")).collect()
+    assert len(got) == len(plain_counts(ODD)) and {(r.term, r.doc_id): r.tf for r in got} == plain_counts(ODD)
+
+
+def test_store_is_preprocessed_text(spark):
+    from ferrule.functions.text import preprocess
+    from ferrule.operators.index import doc_store
+
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    want = docs.select("doc_id", preprocess(docs["text"]).alias("content")).where("content <> ''")
+    assert sorted(map(repr, doc_store(docs).collect())) == sorted(map(repr, want.collect()))
