@@ -420,3 +420,16 @@ def test_store_is_preprocessed_text(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     want = docs.select("doc_id", preprocess(docs["text"]).alias("content")).where("content <> ''")
     assert sorted(map(repr, doc_store(docs).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_posting_lists_move_as_lists(spark):
+    """What a batch has of a list moves as a row; lists are cut by blocks and have a document as often as the term."""
+    from ferrule.operators.index import posting_lists
+
+    df = posting_lists(spark.createDataFrame(ODD, "doc_id long, text string"))
+    assert "MapInArrow" in df._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.term, r.block): r.doc_ids for r in df.collect()}
+    want = {}
+    for (t, d), n in plain_counts(ODD).items():
+        want.setdefault((t, None if d is None else d >> 16), []).extend([d] * n)
+    assert got == {k: sorted(v, key=lambda d: -1 if d is None else d) for k, v in want.items()}
