@@ -433,3 +433,12 @@ def test_posting_lists_move_as_lists(spark):
     for (t, d), n in plain_counts(ODD).items():
         want.setdefault((t, None if d is None else d >> 16), []).extend([d] * n)
     assert got == {k: sorted(v, key=lambda d: -1 if d is None else d) for k, v in want.items()}
+
+
+def test_topics_count_where_pairs_meet(spark):
+    """Pairs of topic and document aren't counted before they move: both halves of the count come after the exchange."""
+    from ferrule import queries
+
+    plan = queries.plain_hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = plan.index("hashpartitioning(qid#", plan.index("count(1)"))
+    assert plan[:moved].count("partial_count(1)") >= 1 and "REPARTITION_BY_NUM" in plan
