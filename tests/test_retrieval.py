@@ -442,3 +442,30 @@ def test_topics_count_where_pairs_meet(spark):
     plan = queries.plain_hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     moved = plan.index("hashpartitioning(qid#", plan.index("count(1)"))
     assert plan[:moved].count("partial_count(1)") >= 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_pieces_take_little_memory(spark):
+    """Remembered pieces are the vocabulary's own strings, and a worker has the ids of a bounded amount of text at once."""
+    import pandas as pd
+
+    from ferrule.operators import wordpiece
+
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able"])}
+    own = wordpiece.WordPiece(vocab)
+    assert all(p is next(t for t in own.vocab if t == p) for p in own.pieces("unaffable"))
+    texts = pd.Series(["x" * n for n in (wordpiece.PART // 2, wordpiece.PART // 2, 5, wordpiece.PART * 3, 1, 1)] + [None, ""])
+    cut = list(wordpiece._cut(texts))
+    assert [len(c) for c in cut] == [2, 1, 1, 4] and pd.concat(cut).equals(texts)
+
+
+def test_pairs_in_parts(spark, monkeypatch):
+    """Pairs are encoded a part at a time, in batches that are bounded by bytes."""
+    from ferrule.operators import wordpiece
+
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghij"])}
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(i, "abcdefghij"[i % 10], "ab" * (i % 7)) for i in range(3000)]  # more than a part
+    got = wordpiece.encode_pairs(spark.createDataFrame(rows, "k int, query string, content string").coalesce(1), vocab).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20
+    own = wordpiece.WordPiece(vocab)
+    assert {r.k: (r.input_ids, r.attention_mask) for r in got} == {k: own.encode_pair(q, d) for k, q, d in rows}
